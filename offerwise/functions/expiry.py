@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,21 @@ NUMERIC = rf"{WORD_START}([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{2,4}}){BOUN
 
 
 
+# fragments of which a text must hold one for the wording to match
+_TRIGGER_HINTS = ("valid", "expir", "end", "till", "until", "last date")
+
+
+def expiry_matches(low: Column) -> Column:
+    """Dates printed in a normalised lower-case text with expiry wording.
+
+    An array of matched texts; null when there is no such wording.
+    """
+    hinted = reduce(lambda a, b: a | b, (low.contains(h) for h in _TRIGGER_HINTS))
+    shapes = (DAY_FIRST, MONTH_FIRST, NUMERIC)
+    found = F.concat(*(F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in shapes))
+    return F.when(hinted & low.rlike("[0-9]") & low.rlike(TRIGGER), found)
+
+
 def _end_of_day(year: Column, month: Column, day: Column) -> Column:
     """23:59:59 of that day; days past the month's end roll over."""
     ok = year.between(1900, 2200) & month.between(1, 12) & day.between(1, 31)
@@ -27,50 +44,52 @@ def _end_of_day(year: Column, month: Column, day: Column) -> Column:
     return midnight + F.expr("INTERVAL 86399 SECONDS")
 
 
-def _full_year(text: Column) -> Column:
-    year = F.when(text != "", text).try_cast("int")
-    return F.when(F.length(text) == 2, year + 2000).otherwise(year)
-
-
-def _dated(text: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
-    """Every match as struct(year, month, day) texts."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-    return F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "ymd")))
+def _parts(match: Column) -> Column:
+    """struct(day, month, year) of one matched text; year null when not printed."""
+    number = r"[0-9]+"
+    numbers = F.regexp_extract_all(match, F.lit(number), F.lit(0))
+    name = F.regexp_extract(match, "(" + "|".join(MONTHS) + ")", 1)
+    named = name != ""
+    month_at = F.array_position(F.array(*map(F.lit, MONTHS)), name)
+    at = lambda i: F.get(numbers, F.lit(i))
+    year = F.when(named, at(1)).otherwise(at(2))
+    full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    return F.struct(
+        at(0).try_cast("int").alias("day"),
+        F.when(named, month_at).otherwise(at(1).try_cast("int")).cast("int").alias("month"),
+        full.try_cast("int").alias("year"),
+    )
 
 
-def _next_occurrence(month: Column, day: Column, now: Column) -> Column:
-    """This year, or the next when the date lies more than 7 days back."""
-    guess = _end_of_day(F.year(now), month, day)
-    recent = guess >= now - F.expr("INTERVAL 7 DAYS")
-    return F.when(recent, F.year(now)).otherwise(F.year(now) + 1)
+def _resolve(parts: Column, now: Column) -> Column:
+    """The date; without a year this year's, or next year's when over 7 days past."""
+    this_year = _end_of_day(F.year(now), parts["month"], parts["day"])
+    recent = this_year >= now - F.expr("INTERVAL 7 DAYS")
+    next_year = _end_of_day(F.year(now) + 1, parts["month"], parts["day"])
+    return F.when(
+        parts["year"].isNotNull(), _end_of_day(parts["year"], parts["month"], parts["day"])
+    ).otherwise(F.when(recent, this_year).otherwise(next_year))
 
 
-def expiry_date(normalised: Column, now: Column) -> Column:
-    """Nearest plausible future date named next to expiry wording, else the latest past one."""
-    low = F.lower(normalised)
-
-    def named(item: Column) -> Column:
-        month = F.array_position(
-            F.array(*map(F.lit, MONTHS)), F.substring(item["m"], 1, 3)
-        ).cast("int")
-        day = item["d"].try_cast("int")
-        year = F.coalesce(_full_year(item["y"]), _next_occurrence(month, day, now))
-        return _end_of_day(year, month, day)
-
-    def numeric(item: Column) -> Column:
-        return _end_of_day(
-            _full_year(item["y"]), item["m"].try_cast("int"), item["d"].try_cast("int")
-        )
-
-    dates = F.concat(
-        F.transform(_dated(low, DAY_FIRST, (3, 2, 1)), named),
-        F.transform(_dated(low, MONTH_FIRST, (3, 1, 2)), named),
-        F.transform(_dated(low, NUMERIC, (3, 2, 1)), numeric),
-    )
+def nearest_date(matches: Column, now: Column) -> Column:
+    """Nearest plausible future date, else the latest plausible past one."""
+    dates = F.transform(F.transform(matches, _parts), lambda p: _resolve(p, now))
     plausible = F.filter(
         dates,
         lambda d: (d > now - F.expr("INTERVAL 730 DAYS")) & (d < now + F.expr("INTERVAL 1095 DAYS")),
     )
-    # one pass over the few dates: array<timestamp> -> best
-    ahead = F.array_min(F.filter(plausible, lambda d: d >= now))
-    return F.when(low.rlike(TRIGGER) & low.rlike("[0-9]"), F.coalesce(ahead, F.array_max(plausible)))
+    # smallest first: future dates by distance, then past dates by distance
+    ranked = F.transform(
+        plausible,
+        lambda d: F.struct(
+            (d < now).alias("past"),
+            F.abs(F.unix_micros(d) - F.unix_micros(now)).alias("away"),
+            d.alias("date"),
+        ),
+    )
+    return F.when(F.size(matches) > 0, F.array_min(ranked)["date"])
+
+
+def expiry_date(normalised: Column, now: Column) -> Column:
+    """The expiry date a normalised text names, null without expiry wording."""
+    return nearest_date(expiry_matches(F.lower(normalised)), now)

@@ -112,7 +112,7 @@ def format_amount(value: Column) -> Column:
     digits = F.regexp_replace(
         F.floor(value).cast("string"), r"(?<=\d)(?=(\d\d)+\d$)", ","
     )
-    return F.when(whole, digits).otherwise(F.format_string("%.2f", value))
+    return F.when(whole, digits).when(value.isNotNull(), F.format_string("%.2f", value))
 
 
 def format_rupees(value: Column) -> Column:
@@ -120,8 +120,8 @@ def format_rupees(value: Column) -> Column:
 
 
 def _trim_number(value: Column) -> Column:
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(
-        F.format_string("%.1f", value)
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).when(
+        value.isNotNull(), F.format_string("%.1f", value)
     )
 
 

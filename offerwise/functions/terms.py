@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerwise.functions.expiry import expiry_date
+from offerwise.functions.expiry import expiry_matches, nearest_date
 from offerwise.functions.text import (
     BOUNDARY,
     RUPEE,
     WORD_END,
     WORD_START,
     normalise_text,
-    parse_amount,
 )
 
 # Wording of amounts, minimums, caps and eligibility. All patterns
@@ -76,6 +77,19 @@ FLAGS = {
     ),
 }
 
+# Fragments of which a text must hold one for the wording above to
+# match. Testing them first spares most texts the search; results are the same.
+HINTS = {
+    "new_users_only": ("new", "first", "1st"),
+    "first_order_only": ("first", "1st"),
+    "app_only": ("app",),
+    "selected_users_only": ("select", "specific", "targeted", "not for all"),
+    "selected_products_only": ("select", "marked", "participating", "specific"),
+    "existing_users_allowed": ("existing", "old user", "all user", "everyone", "repeat"),
+    "reported_expired": ("expired", "no longer", "not working", "ended", "dead"),
+}
+SALE_HINTS = ("sale", "clearance", "season", "deal", "wide")
+
 TERM_COLUMNS = [
     "discount_type",
     "discount_value",
@@ -88,9 +102,16 @@ TERM_COLUMNS = [
 ]
 
 
+def _holds(low: Column, fragments: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (low.contains(f) for f in fragments))
+
+
 def eligibility(low: Column) -> dict[str, Column]:
     """The seven flags: true or null, never false."""
-    hit = {name: low.rlike(f"{WORD_START}(?:{words}){WORD_END}") for name, words in FLAGS.items()}
+    hit = {
+        name: _holds(low, HINTS[name]) & low.rlike(f"{WORD_START}(?:{words}){WORD_END}")
+        for name, words in FLAGS.items()
+    }
     hit["existing_users_allowed"] = hit["existing_users_allowed"] & ~hit["new_users_only"]
     return {name: F.when(cond, F.lit(True)) for name, cond in hit.items()}
 
@@ -100,14 +121,14 @@ def is_empty_offer(discount_type: Column, discount_value: Column) -> Column:
     return (discount_type == "unknown") & discount_value.isNull()
 
 
-def _amounts(low: Column, pattern: str) -> Column:
-    """Valid amounts of every match, in text order."""
-    raw = F.regexp_extract_all(low, F.lit(pattern), F.lit(1))
-    return F.filter(F.transform(raw, parse_amount), lambda v: v.isNotNull())
+def _money(digits: Column) -> Column:
+    """``parse_amount`` for texts already known to be digits and commas."""
+    value = F.translate(digits, ",", "").try_cast("double")
+    return F.when((value > 0) & (value <= 1_000_000), value)
 
 
-def _first_amount(low: Column, pattern: str) -> Column:
-    return parse_amount(F.regexp_extract(low, pattern, 1))
+def _monies(digits: Column) -> Column:
+    return F.filter(F.transform(digits, _money), lambda v: v.isNotNull())
 
 
 def parse_terms(
@@ -116,55 +137,92 @@ def parse_terms(
     """Append ``TERM_COLUMNS`` parsed from ``text``.
 
     ``assume_coupon``: the text is known to describe a coupon, so sale wording does
-    not turn it into a store-wide sale. Stages are separate projections, so each
-    search of the text runs once.
+    not turn it into a store-wide sale. The stages are separate projections: texts are
+    searched once, behind cheap substring tests, and everything after works on the
+    few characters found.
     """
     if isinstance(assume_coupon, bool):
         assume_coupon = F.lit(assume_coupon)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in TERM_COLUMNS]
+    c = F.col
+    kept = [F.col(f"`{n}`") for n in df.columns if n not in TERM_COLUMNS]
     texted = df.select(
         *kept, normalise_text(F.col(text)).alias("_text"), assume_coupon.alias("_coupon")
     ).withColumn("_low", F.lower("_text"))
 
-    low = F.col("_low")
-    has_rupee, has_percent = low.contains(RUPEE), low.contains("%")
-    searched = texted.withColumns(
+    low = c("_low")
+    rupee, percent = low.contains(RUPEE), low.contains("%")
+    off = low.contains("off") | low.contains("discount")
+    found = {
+        # discount and minimum in one match, parted by a bar
+        "_combined": F.when(
+            rupee & off,
+            F.regexp_replace(
+                F.regexp_extract(low, f"({COMBINED})", 1), f"^{COMBINED}$", "$1|$2"
+            ),
+        ),
+        "_any_pct": percent & low.rlike(ANY_PERCENT),
+        "_up": F.when(
+            low.contains("up") & (rupee | percent),
+            F.regexp_extract_all(low, F.lit(UP_TO), F.lit(0)),
+        ),
+        "_max": F.when(
+            low.contains("max") & rupee, F.regexp_extract_all(low, F.lit(MAXIMUM), F.lit(1))
+        ),
+        "_pct": F.when(percent, F.regexp_extract(low, PERCENT, 1)),
+        # the first pattern that matches decides, valid amount or not
+        "_flat": F.coalesce(
+            F.when(rupee & off, F.nullif(F.regexp_extract(low, FLAT[0], 1), F.lit(""))),
+            F.when(rupee, F.nullif(F.regexp_extract(low, FLAT[1], 1), F.lit(""))),
+            F.when(low.contains("off"), F.regexp_extract(low, FLAT[2], 1)),
+        ),
+        "_min1": F.when(rupee & low.contains("min"), F.regexp_extract(low, MINIMUM[0], 1)),
+        "_min2": F.when(rupee, F.regexp_extract(low, MINIMUM[1], 1)),
+        "_min3": F.when(
+            rupee & (low.contains("or ") | low.contains("above") | low.contains("+")),
+            F.regexp_extract(low, MINIMUM[2], 1),
+        ),
+        "_cashback": low.contains("cash") & low.rlike(CASHBACK),
+        "_sale": _holds(low, SALE_HINTS) & low.rlike(SALE),
+        **eligibility(low),
+        "_dates": expiry_matches(low),
+    }
+    searched = texted.select(
+        *kept, "_coupon", *(value.alias(name) for name, value in found.items())
+    )
+
+    is_pct = lambda m: m.endswith("%")
+    counted = searched.withColumns(
         {
-            "_c1": F.when(has_rupee, _first_amount(low, COMBINED)),
-            "_c2": F.when(has_rupee, parse_amount(F.regexp_extract(low, COMBINED, 2))),
-            "_pct_any": has_percent & low.rlike(ANY_PERCENT),
-            "_up_amt": F.when(has_rupee, F.get(_amounts(low, UP_TO), F.lit(0))),
-            "_up_pct": F.when(
-                has_percent,
-                F.get(
-                    F.filter(
-                        F.regexp_extract_all(low, F.lit(UP_TO), F.lit(2)), lambda p: p != ""
-                    ),
-                    F.lit(0),
+            "_up_pct": F.get(
+                F.transform(
+                    F.filter("_up", is_pct), lambda m: F.regexp_extract(m, PERCENT + "$", 1)
                 ),
+                F.lit(0),
             ).try_cast("double"),
-            "_max": F.when(has_rupee, F.array_min(_amounts(low, MAXIMUM))),
-            "_pct": F.when(
-                has_percent, F.nullif(F.regexp_extract(low, PERCENT, 1), F.lit(""))
-            ).try_cast("double"),
-            # the first pattern that matches decides, valid amount or not
-            "_flat": parse_amount(
-                F.coalesce(
-                    *(F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in FLAT)
-                )
+            "_up_amt": F.get(
+                _monies(
+                    F.transform(
+                        F.filter("_up", lambda m: ~is_pct(m)),
+                        lambda m: F.regexp_extract(m, _AMT + "$", 1),
+                    )
+                ),
+                F.lit(0),
             ),
-            "_min1": F.when(has_rupee, _first_amount(low, MINIMUM[0])),
-            "_min2": F.when(has_rupee, _first_amount(low, MINIMUM[1])),
-            "_min3": F.when(has_rupee, _first_amount(low, MINIMUM[2])),
-            **eligibility(low),
-            "expiry_date": expiry_date(F.col("_text"), now),
+            "_c1": _money(F.split_part("_combined", F.lit("|"), F.lit(1))),
+            "_c2": _money(F.split_part("_combined", F.lit("|"), F.lit(2))),
+            "_max": F.array_min(_monies(c("_max"))),
+            "_pct": c("_pct").try_cast("double"),
+            "_flat": _money(c("_flat")),
+            "_min1": _money(c("_min1")),
+            "_min2": _money(c("_min2")),
+            "_min3": _money(c("_min3")),
+            "expiry_date": nearest_date(c("_dates"), now),
         }
     )
 
-    c = F.col
     combined = F.coalesce(c("_c2") >= c("_c1"), F.lit(False))
     hedged_pct = c("_up_pct").isNotNull()
-    hedged_amt = ~c("_pct_any") & c("_up_amt").isNotNull()
+    hedged_amt = ~c("_any_pct") & c("_up_amt").isNotNull()
     exact_pct = F.coalesce((c("_pct") > 0) & (c("_pct") <= 95), F.lit(False))
     base_type = (
         F.when(combined, "flat")
@@ -181,9 +239,16 @@ def parse_terms(
         .when(exact_pct, c("_pct"))
         .otherwise(c("_flat"))
     )
-    typed = searched.withColumns(
+    is_sale = (
+        ~c("_coupon")
+        & c("is_up_to")
+        & c("_type").isin("percentage", "unknown")
+        & c("_sale")
+        & ~c("_cashback")
+    )
+    typed = counted.withColumns(
         {
-            "_combined": combined,
+            "_is_combined": combined,
             "_type": base_type,
             "discount_value": value,
             "maximum_discount": F.least(c("_up_amt"), c("_max")),
@@ -191,16 +256,7 @@ def parse_terms(
         }
     ).withColumn(
         "discount_type",
-        F.when(c("_low").rlike(CASHBACK), "cashback").otherwise(c("_type")),
-    ).withColumn(
-        "discount_type",
-        F.when(
-            ~c("_coupon")
-            & c("is_up_to")
-            & c("discount_type").isin("percentage", "unknown")
-            & c("_low").rlike(SALE),
-            "sale",
-        ).otherwise(c("discount_type")),
+        F.when(c("_cashback"), "cashback").when(is_sale, "sale").otherwise(c("_type")),
     )
 
     # a minimum below a flat value is a misparse, so the next wording is tried
@@ -211,7 +267,7 @@ def parse_terms(
     return (
         typed.withColumn(
             "minimum_order",
-            F.when(c("_combined"), c("_c2")).otherwise(
+            F.when(c("_is_combined"), c("_c2")).otherwise(
                 F.coalesce(fits(c("_min1")), fits(c("_min2")), fits(c("_min3")))
             ),
         )

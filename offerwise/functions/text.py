@@ -14,6 +14,8 @@ RUPEE = "₹"
 # The whitespace set and word boundary the rules are written for.
 # Java's \s misses Unicode spaces and its \b is Unicode-aware, so both are spelled out.
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# a run of whitespace that is not already one plain blank
+_LOOSE_SPACE = SPACE.replace(" ", "", 1) + SPACE + "*| " + SPACE + "+"
 WORD_START = "(?<![A-Za-z0-9_])"
 WORD_END = "(?![A-Za-z0-9_])"
 BOUNDARY = (
@@ -26,16 +28,21 @@ MAX_OFFER_TEXT = 600
 
 def squeeze(text: Column) -> Column:
     """Collapse whitespace runs to one blank and trim."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, _LOOSE_SPACE, " "))
 
 
 def normalise_text(text: Column) -> Column:
-    """One spelling for quotes, dashes, rupee amounts and whitespace."""
+    """One spelling for quotes, dashes, rupee amounts and whitespace.
+
+    The spellings are looked for only in texts that hold their letters.
+    """
+    low = F.lower(text)
     text = F.translate(text, "\u00a0\u2018\u2019\u201c\u201d\u2013\u2014", " ''''--")
-    for spelling in (r"rs\.?", "inr", "rupees?"):
-        text = F.regexp_replace(text, f"(?i){WORD_START}{spelling}{SPACE}?", RUPEE)
-    text = F.regexp_replace(text, rf"([0-9]){SPACE}*/-", "$1")
-    return squeeze(text)
+    for hint, spelling in (("rs", r"rs\.?"), ("inr", "inr"), ("rupee", "rupees?")):
+        unified = F.regexp_replace(text, f"(?i){WORD_START}{spelling}{SPACE}?", RUPEE)
+        text = F.when(low.contains(hint), unified).otherwise(text)
+    plain = F.regexp_replace(text, rf"([0-9]){SPACE}*/-", "$1")
+    return squeeze(F.when(low.contains("/-"), plain).otherwise(text))
 
 
 def parse_amount(raw: Column) -> Column:
