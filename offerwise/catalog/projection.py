@@ -44,12 +44,17 @@ def _int_text(value: Column) -> Column:
     return value.cast("bigint").cast("string")
 
 
-def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as claims, in the claims schema, with part and supplier keys kept."""
+def raw_claims(
+    spark: SparkSession, sf_dir: str, lines: DataFrame | None = None
+) -> DataFrame:
+    """Line items as claims, in the claims schema, with part and supplier keys kept.
+
+    ``lines``: other rows than the whole table, such as a stream of it.
+    """
     c = F.col
     seen = c("l_shipdate").cast("timestamp")
     line = (
-        table(spark, sf_dir, "lineitem")
+        (table(spark, sf_dir, "lineitem") if lines is None else lines)
         .select(
             "l_orderkey",
             "l_partkey",
@@ -126,6 +131,10 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(raw_claims(spark, sf_dir), CLAIMS)
 
 
+def claims_from(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    return conform(raw_claims(spark, sf_dir, lines), CLAIMS)
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sources(claims(spark, sf_dir), PARAMS)
 
@@ -262,7 +271,7 @@ BARE_HTML = (
 )
 
 
-def _braced(template: str, values: dict[str, Column]) -> Column:
+def braced(template: str, values: dict[str, Column]) -> Column:
     """As ``_filled`` with ``{{`` and ``}}`` standing for braces."""
     marked = template.replace("{{", "\x01").replace("}}", "\x02")
     return F.translate(filled(marked, values), "\x01\x02", "{}")
@@ -280,11 +289,11 @@ def offer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c": whole(200 + 5 * c("p_size")),
         "p": whole(5 + c("p_size")),
     }
-    html = F.when(c("p_partkey") % 3 == 2, _braced(BARE_HTML, values)).otherwise(
-        _braced(PAGE_HTML, values)
+    html = F.when(c("p_partkey") % 3 == 2, braced(BARE_HTML, values)).otherwise(
+        braced(PAGE_HTML, values)
     )
     site = (c("p_partkey") % 8).cast("string")
-    return part.select(
+    made = part.select(
         c("p_partkey").alias("page_id"),
         c("p_partkey").alias("page_ord"),
         F.concat(
@@ -296,3 +305,4 @@ def offer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("http").alias("via"),
         html.alias("html"),
     )
+    return spread(made)

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from offerwise.session import carry_code
+
+carry_code()
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 

@@ -33,7 +33,9 @@ CODE_PHRASES = (
 
 def normalise_code(code: Column) -> Column:
     """Upper case without any whitespace; null when nothing is left."""
-    return F.nullif(F.regexp_replace(F.upper(code), SPACE + "+", ""), F.lit(""))
+    # nullif by pattern: one reference to the text instead of two
+    plain = F.regexp_replace(F.upper(code), SPACE + "+", "")
+    return F.get(F.regexp_extract_all(plain, F.lit("^.+$"), F.lit(0)), F.lit(0))
 
 
 def is_plausible_code(token: Column, strong: bool, params: Params) -> Column:
@@ -54,14 +56,15 @@ def is_plausible_code(token: Column, strong: bool, params: Params) -> Column:
 
 def code_from_text(text: Column, params: Params) -> Column:
     """The code named by the first phrase that yields an upper-case plausible token."""
-    found = []
-    for pattern in CODE_PHRASES:
-        raw = F.regexp_extract(text, pattern, 1)
-        letters = F.length(F.regexp_replace(raw, "[^A-Za-z]", ""))
-        capitals = F.length(F.regexp_replace(raw, "[^A-Z]", ""))
-        shouted = (letters == 0) | (capitals >= letters * F.lit(0.6))
-        found.append(
-            F.when((raw != "") & shouted & is_plausible_code(raw, True, params), F.upper(raw))
-        )
+    letters = lambda t: F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
+    capitals = lambda t: F.length(F.regexp_replace(t, "[^A-Z]", ""))
+
+    def is_code(token: Column) -> Column:
+        shouted = (letters(token) == 0) | (capitals(token) >= letters(token) * F.lit(0.6))
+        return (token != "") & shouted & is_plausible_code(token, True, params)
+
+    tokens = F.array(*(F.regexp_extract(text, pattern, 1) for pattern in CODE_PHRASES))
     # a cheap test spares most texts the three searches
-    return F.when(F.lower(text).contains("code"), F.coalesce(*found))
+    return F.when(
+        F.lower(text).contains("code"), F.upper(F.get(F.filter(tokens, is_code), F.lit(0)))
+    )

@@ -32,17 +32,11 @@ def squeeze(text: Column) -> Column:
 
 
 def normalise_text(text: Column) -> Column:
-    """One spelling for quotes, dashes, rupee amounts and whitespace.
-
-    The spellings are looked for only in texts that hold their letters.
-    """
-    low = F.lower(text)
+    """One spelling for quotes, dashes, rupee amounts and whitespace."""
     text = F.translate(text, "\u00a0\u2018\u2019\u201c\u201d\u2013\u2014", " ''''--")
-    for hint, spelling in (("rs", r"rs\.?"), ("inr", "inr"), ("rupee", "rupees?")):
-        unified = F.regexp_replace(text, f"(?i){WORD_START}{spelling}{SPACE}?", RUPEE)
-        text = F.when(low.contains(hint), unified).otherwise(text)
-    plain = F.regexp_replace(text, rf"([0-9]){SPACE}*/-", "$1")
-    return squeeze(F.when(low.contains("/-"), plain).otherwise(text))
+    for spelling in (r"rs\.?", "inr", "rupees?"):
+        text = F.regexp_replace(text, f"(?i){WORD_START}{spelling}{SPACE}?", RUPEE)
+    return squeeze(F.regexp_replace(text, rf"([0-9]){SPACE}*/-", "$1"))
 
 
 def parse_amount(raw: Column) -> Column:

@@ -79,14 +79,34 @@ def append_observations(observations: DataFrame, path: str) -> None:
     )
 
 
-def replay(observations: DataFrame) -> DataFrame:
-    """Each offer's history: every row with the event and time before it."""
-    by_time = Window.partitionBy("dedupe_key").orderBy("observed_at", "observation_id")
-    return observations.withColumns(
-        {
-            "previous_event": F.lag("event").over(by_time),
-            "previous_at": F.lag("observed_at").over(by_time),
-        }
+def replay(observations: DataFrame, span: str = "day") -> DataFrame:
+    """Each offer's history: every row with the event and time before it.
+
+    Rows are ordered within (offer, span of time), so an offer with a very long
+    history is spread over tasks; the last row of the span before is handed over by
+    a table of one row per offer and span.
+    """
+    c = F.col
+    spans = observations.withColumn("_span", F.date_trunc(span, "observed_at"))
+    order = F.struct("observed_at", "observation_id")
+    ends = spans.groupBy("dedupe_key", "_span").agg(
+        F.max_by(F.struct("event", "observed_at"), order).alias("_end")
+    )
+    before = F.lag("_end").over(Window.partitionBy("dedupe_key").orderBy("_span"))
+    handed = ends.select("dedupe_key", "_span", before.alias("_before"))
+    inside = Window.partitionBy("dedupe_key", "_span").orderBy("observed_at", "observation_id")
+    return (
+        spans.withColumns(
+            {"_event": F.lag("event").over(inside), "_at": F.lag("observed_at").over(inside)}
+        )
+        .join(handed, ["dedupe_key", "_span"])
+        .withColumns(
+            {
+                "previous_event": F.coalesce(c("_event"), c("_before.event")),
+                "previous_at": F.coalesce(c("_at"), c("_before.observed_at")),
+            }
+        )
+        .drop("_event", "_at", "_before", "_span")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that suit every job here; a cluster's own settings win.
@@ -21,6 +22,16 @@ SETTINGS = {
 }
 
 
+def carry_code() -> None:
+    """Send this package's functions to the workers by value.
+
+    Workers then need neither the package installed nor this process's import path.
+    """
+    import offerwise
+
+    cloudpickle.register_pickle_by_value(offerwise)
+
+
 def local_session(app: str = "offerwise", cpus: int | str = "*", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark."""
     cores = os.cpu_count() if cpus == "*" else int(cpus)

@@ -55,10 +55,12 @@ class Page(HTMLParser):
     """Elements in document order as [tag, attributes, text start, text end, last descendant].
 
     ``text`` is the list of text runs; an element's text is the slice between its marks.
+    ``drop`` leaves out scripts, styles and page furniture with all they hold.
     """
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, drop: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self._drop = drop
         self.elements: list[list] = []
         self.text: list[str] = []
         self._open: list[int] = []
@@ -81,7 +83,7 @@ class Page(HTMLParser):
         for name, value in attrs:
             values.setdefault(name, value or "")
         is_data = values.get("type") == "application/ld+json"
-        if tag in DROPPED_TAGS or (tag == "script" and not is_data):
+        if self._drop and (tag in DROPPED_TAGS or (tag == "script" and not is_data)):
             self._dropped, self._depth = tag, 1
             return
         if tag in P_CLOSERS:
@@ -105,8 +107,8 @@ class Page(HTMLParser):
                 return
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        # "<div/>" opens a div in HTML; only dropped foreign markup closes itself
-        if tag in DROPPED_TAGS and tag == "svg":
+        # "<div/>" opens a div in HTML; only foreign markup closes itself
+        if tag == "svg":
             return
         self.handle_starttag(tag, attrs)
 
@@ -241,7 +243,7 @@ def raw_parts(pages: DataFrame) -> DataFrame:
 
 def page_anchors(html: str) -> Iterator[dict]:
     """The first anchors with an href, in document order."""
-    page = Page(html)
+    page = Page(html, drop=False)
     links = [e for e in page.elements if e[0] == "a" and "href" in e[1]]
     for pos, element in enumerate(links[:MAX_ANCHORS]):
         if element[1]["href"]:
@@ -255,7 +257,7 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 def page_results(html: str) -> Iterator[dict]:
     """Result rows of an HTML result page: first link and first snippet of each."""
-    page = Page(html)
+    page = Page(html, drop=False)
 
     def has_class(element: list, name: str) -> bool:
         return name in element[1].get("class", "").split()

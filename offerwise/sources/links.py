@@ -18,26 +18,30 @@ NOT_PROMO = (
 
 def promo_links(
     pages: DataFrame,
-    hosts: list[str],
+    hosts: list[str] | None,
     hint: str = PROMO_HINT,
     schemes: tuple[str, ...] = ("https",),
 ) -> DataFrame:
-    """Distinct promotion links per page, in document order, on the allowed hosts."""
+    """Distinct promotion links per page, in document order, on the allowed hosts.
+
+    ``hosts`` None: the page's own host. The parts of a URL are taken by pattern, since
+    links in the wild hold characters that strict URL parsing refuses.
+    """
     c = F.col
     hinted = anchors(pages).where(c("href").rlike(hint) | F.trim("text").rlike(hint))
     resolved = hinted.withColumn("absolute", resolve_url(c("href"), c("url")))
-    scheme = F.lower(F.try_parse_url("absolute", F.lit("PROTOCOL")))
-    host = F.lower(F.try_parse_url("absolute", F.lit("HOST")))
-    target = F.concat(
-        F.coalesce(F.try_parse_url("absolute", F.lit("PATH")), F.lit("")),
-        F.coalesce(
-            F.concat(F.lit("?"), F.try_parse_url("absolute", F.lit("QUERY"))), F.lit("")
-        ),
-    )
+    host_pattern = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+    host = F.lower(F.regexp_extract("absolute", host_pattern, 1))
+    own = F.lower(F.regexp_extract("url", host_pattern, 1))
+    scheme = F.lower(F.regexp_extract("absolute", "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    target = F.regexp_extract("absolute", "^[^/]*//[^/?#]*([^#]*)", 1)
+    on_host = (host == own) if hosts is None else host.isin(*hosts)
     kept = resolved.where(
-        scheme.isin(*schemes) & host.isin(*hosts) & ~target.rlike(NOT_PROMO)
+        scheme.isin(*schemes) & on_host & ~target.rlike(NOT_PROMO)
     ).withColumn("link", F.regexp_replace("absolute", "#.*$", ""))
-    return kept.groupBy("page_id", "page_ord", "link").agg(F.min("pos").alias("pos"))
+    return kept.groupBy("page_id", "page_ord", "source_name", "link").agg(
+        F.min("pos").alias("pos")
+    )
 
 
 def frontier_step(links: DataFrame, visited: DataFrame, params: Params) -> DataFrame:
@@ -53,11 +57,11 @@ def frontier_step(links: DataFrame, visited: DataFrame, params: Params) -> DataF
 
 
 def frontier_by_source(links: DataFrame, visited: DataFrame, params: Params) -> DataFrame:
-    """As ``frontier_step`` for many crawls at once: the limit holds per ``source``."""
+    """As ``frontier_step`` for many crawls at once: the limit holds per source."""
     c = F.col
     fresh = (
         links.where(is_safe_url(c("link")))
-        .groupBy("source", c("link").alias("url"))
+        .groupBy(c("source_name").alias("source"), c("link").alias("url"))
         .agg(F.min(F.struct("page_ord", "pos")).alias("found"))
         .join(visited.select("url"), "url", "left_anti")
     )

@@ -13,7 +13,6 @@ from offerwise.functions.text import (
     RUPEE,
     mentions_brand,
     normalise_text,
-    title_of,
 )
 from offerwise.operators.dedupe import page_dedupe
 from offerwise.params import Params
@@ -43,88 +42,76 @@ def _first_plausible(values: str, strong: bool, params: Params) -> Column:
     return normalise_code(F.get(fitting, F.lit(0)))
 
 
-def node_candidates(parts: DataFrame, params: Params) -> DataFrame:
-    """Offer containers -> candidates. The code: own attributes, nested attributes, a
-    phrase in the text, a code-like chip; the first that is plausible."""
+def structured_candidates(parts: DataFrame, params: Params) -> DataFrame:
+    """JSON-LD nodes and offer containers -> candidates, parsed in one projection.
+
+    The code of a container: own attributes, nested attributes, a phrase in the text, a
+    code-like chip; the first that is plausible. A JSON-LD node names its code and may
+    publish an end date, which overrides a parsed one.
+    """
     c = F.col
+    is_node = c("kind") == "node"
     short_chips = F.filter(
         F.transform("chips", normalise_text), lambda t: (t != "") & (F.length(t) <= 24)
     )
-    texts = parts.where(c("kind") == "node").withColumns(
-        {"raw_text": normalise_text(c("text")), "chips": short_chips}
+    normal = normalise_text(c("text"))
+    texts = parts.where(c("kind").isin("node", "jsonld")).withColumns(
+        {
+            "raw_text": F.when(is_node, normal).otherwise(F.substring(normal, 1, MAX_OFFER_TEXT)),
+            "chips": F.when(is_node, short_chips),
+        }
+    )
+    of_offer_size = F.length("raw_text").between(MIN_OFFER_TEXT, MAX_OFFER_TEXT)
+    found_in_node = F.coalesce(
+        _first_plausible("own_codes", True, params),
+        _first_plausible("nested_codes", True, params),
+        code_from_text(c("raw_text"), params),
+        _first_plausible("chips", False, params),
     )
+    published = F.when(is_plausible_code(c("code"), True, params), normalise_code(c("code")))
     named = texts.where(
-        F.length("raw_text").between(MIN_OFFER_TEXT, MAX_OFFER_TEXT)
-        & (about_brand(params) | mentions_brand(c("raw_text"), params))
+        (~is_node | of_offer_size) & (about_brand(params) | mentions_brand(c("raw_text"), params))
     ).select(
         *PAGE_COLUMNS,
-        (c("pos") + _NODES_FROM).alias("pos"),
+        (c("pos") + F.when(is_node, _NODES_FROM).otherwise(0)).alias("pos"),
         "raw_text",
-        F.coalesce(
-            _first_plausible("own_codes", True, params),
-            _first_plausible("nested_codes", True, params),
-            code_from_text(c("raw_text"), params),
-            _first_plausible("chips", False, params),
-        ).alias("code"),
+        F.when(is_node, found_in_node).otherwise(published).alias("code"),
+        "valid_through",
     )
-    return offers_only(named, params)
-
-
-def jsonld_candidates(parts: DataFrame, params: Params) -> DataFrame:
-    """JSON-LD nodes -> candidates; a published end date overrides a parsed one."""
-    c = F.col
-    named = (
-        parts.where(c("kind") == "jsonld")
-        .where(about_brand(params) | mentions_brand(c("text"), params))
-        .select(
-            *PAGE_COLUMNS,
-            "pos",
-            F.substring(normalise_text(c("text")), 1, MAX_OFFER_TEXT).alias("raw_text"),
-            F.when(is_plausible_code(c("code"), True, params), normalise_code(c("code"))).alias(
-                "code"
+    offers = offers_only(named, params)
+    return offers.withColumns(
+        {
+            "expiry_date": F.coalesce(
+                F.when(c("valid_through").isNotNull(), published_date(c("valid_through"))),
+                c("expiry_date"),
             ),
-            "valid_through",
-        )
-    )
-    return (
-        offers_only(named, params)
-        .withColumns(
-            {
-                "expiry_date": F.coalesce(published_date(c("valid_through")), c("expiry_date")),
-                "title": title_of(c("raw_text")),
-                "raw_text": F.when(c("raw_text") != "", c("raw_text")).otherwise(
-                    F.concat(F.lit("coupon "), c("code"))
-                ),
-            }
-        )
-        .drop("valid_through")
-    )
+            "raw_text": F.when(c("raw_text") != "", c("raw_text")).otherwise(
+                F.concat(F.lit("coupon "), c("code"))
+            ),
+        }
+    ).drop("valid_through")
 
 
-def page_candidates(pages: DataFrame, params: Params, keep_parts: bool = True) -> DataFrame:
+def page_candidates(pages: DataFrame, params: Params) -> DataFrame:
     """All candidates of ``pages(PAGE columns, html)``, deduplicated per page.
 
-    Pages are tokenised once and the parts materialised (``keep_parts``); JSON-LD,
-    containers and the bare body of pages that yield neither are then plain
-    projections over them.
+    Pages are tokenised once and offers parsed once; both results are materialised,
+    because the dedupe and the search for bare pages read them again.
     """
     c = F.col
-    parts = raw_parts(pages)
-    parts = cut(parts) if keep_parts else parts
-    structured = page_dedupe(
-        jsonld_candidates(parts, params).unionByName(node_candidates(parts, params)),
-        params,
-        PAGE_COLUMNS[:1] + ["via"],
-    )
+    page = ["page_id", "via"]
+    parts = cut(raw_parts(pages))
+    found = cut(structured_candidates(parts, params))
     # pages without any structured candidate are read as text
     body = parts.where(c("kind") == "body").withColumn(
         "text", F.substring(normalise_text(c("text")), 1, MAX_BODY)
     )
     bare = body.where(about_brand(params) | mentions_brand(c("text"), params)).join(
-        structured.select("page_id", "via").distinct(), ["page_id", "via"], "left_anti"
+        found.select(*page).distinct(), page, "left_anti"
     )
     bare = bare.withColumn("about_brand", F.coalesce(c("page_about_brand"), F.lit(False)))
     loose = text_candidates(bare, params, keys=tuple(PAGE_COLUMNS))
+    structured = page_dedupe(found, params, page)
     return structured.unionByName(loose.select(*structured.columns))
 
 
@@ -160,17 +147,10 @@ def readable(fetched: DataFrame) -> DataFrame:
     return fetched.where(challenge_reason(F.col("html"), F.col("status")).isNull())
 
 
-def scan_pages(pages: DataFrame, registry: DataFrame) -> DataFrame:
-    """Pages of registered, enabled sources with the source's settings.
+def scan_pages(pages: DataFrame, registry_pages: DataFrame) -> DataFrame:
+    """Pages of registered sources with the source's settings.
 
-    The registry is configuration, a few rows per source, and is joined by host and
-    path; Spark broadcasts it by its size.
+    ``registry_pages`` is configuration, one row per page to scan; Spark broadcasts it
+    when its size allows and shuffles by URL otherwise.
     """
-    urls = registry.where("enabled").select(
-        "ordinal",
-        F.col("name").alias("source_name"),
-        "source_type",
-        "page_about_brand",
-        F.posexplode("urls").alias("page_ord", "url"),
-    )
-    return pages.join(urls, "url")
+    return pages.join(registry_pages, "url")
