@@ -53,8 +53,9 @@ def raw_claims(
     """
     c = F.col
     seen = c("l_shipdate").cast("timestamp")
+    given = lines is not None
     line = (
-        (table(spark, sf_dir, "lineitem") if lines is None else lines)
+        (lines if given else table(spark, sf_dir, "lineitem"))
         .select(
             "l_orderkey",
             "l_partkey",
@@ -67,6 +68,7 @@ def raw_claims(
         )
         .where(c("l_shipdate") <= F.lit(NOW))
     )
+    line = line if given else spread(line)
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     joined = line.join(supplier, c("l_suppkey") == c("s_suppkey")).join(

@@ -87,9 +87,7 @@ def stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     claims = data.claims_from(spark, sf_dir, stream_of(spark, sf_dir, "lineitem"))
     events = drain(observe_stream(claims, PARAMS), shared_folder(spark, "observations"))
-    grown = F.element_at(
-        F.filter("changes", lambda t: t.startswith("sourceCount: ")), 1
-    )
+    grown = F.get(F.filter("changes", lambda t: t.startswith("sourceCount: ")), F.lit(0))
     count = F.regexp_extract(grown, r"-> (\d+)$", 1).try_cast("bigint")
     return events.groupBy("dedupe_key").agg(
         F.count(F.lit(1)).alias("events"),

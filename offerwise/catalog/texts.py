@@ -11,11 +11,12 @@ from offerwise.catalog.registry import big, query, ts
 from offerwise.functions import codes as code_fn
 from offerwise.functions import messages, urls
 from offerwise.functions import text as text_fn
-from offerwise.functions.expiry import expiry_date
+from offerwise.functions.expiry import expiry_matches, nearest_date
 from offerwise.functions.terms import eligibility, is_empty_offer
 from offerwise.functions.terms import parse_terms as parse
 from offerwise.operators.dedupe import dedupe_key as key_of
 from offerwise.sources.candidates import with_source
+from offerwise.session import spread
 from offerwise.sources.plaintext import text_candidates
 
 _WS = "[\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
@@ -42,7 +43,7 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = data.table(spark, sf_dir, "conversations").select(
         F.lit("turn").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text"
     )
-    return docs.unionByName(turns).select(
+    return spread(docs.unionByName(turns)).select(
         "origin", "text_id", text_fn.normalise_text(F.col("text")).alias("normal")
     )
 
@@ -60,16 +61,16 @@ def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices written as grouped, decimal, signed, large and worded texts."""
     c = F.col
     n = F.round("l_extendedprice").cast("bigint")
-    forms = F.array(
+    forms = [
         F.format_number(n, 0),
         F.concat((n * 10).cast("string"), F.lit(".5")),
         F.concat(F.lit("-"), n.cast("string")),
         (n * 100).cast("string"),
         F.concat(n.cast("string"), F.lit(" or so")),
-    )
+    ]
     return data.table(spark, sf_dir, "lineitem").select(
         (c("l_orderkey") * 10 + c("l_linenumber")).alias("line_id"),
-        text_fn.parse_amount(F.element_at(forms, (c("l_orderkey") % 5 + 1).cast("int"))).alias(
+        text_fn.parse_amount(data.choose(c("l_orderkey") % 5, forms)).alias(
             "amount"
         ),
     )
@@ -148,25 +149,26 @@ def parse_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     d = c("o_orderdate").cast("timestamp")
     f = lambda pattern: F.date_format(d, pattern)
-    forms = F.array(
+    forms = [
         F.concat(F.lit("Offer valid till "), f("d MMMM yyyy")),
         F.concat(F.lit("Expires "), f("MMM d"), F.lit("th, "), f("yyyy")),
         F.concat(F.lit("ends on "), f("dd/MM/yyyy"), F.lit(" at midnight")),
         F.concat(F.lit("last date "), f("d-M-yyyy")),
         F.concat(F.lit("Published on "), f("d MMMM yyyy")),
         F.concat(F.lit("Ending "), f("d"), F.lit(" of "), f("MMMM")),
-    )
-    text = F.element_at(forms, (c("o_orderkey") % 6 + 1).cast("int"))
+    ]
+    text = data.choose(c("o_orderkey") % 6, forms)
     leap = (c("o_orderkey") % 6 == 5) & (F.month(d) == 2) & (F.dayofmonth(d) == 29)
-    return (
-        data.table(spark, sf_dir, "orders")
-        .where(~leap)
-        .select(
-            "o_orderkey",
-            expiry_date(text_fn.normalise_text(text), PARAMS.now_col()).alias("expiry_date"),
-        )
-        .select("o_orderkey", ts("expiry_date"))
+    printed = data.table(spark, sf_dir, "orders").where(~leap).select(
+        "o_orderkey", text.alias("text")
+    )
+    # matches first, dates in a second projection, so the texts are searched once
+    found = spread(printed).select(
+        "o_orderkey", expiry_matches(F.lower(text_fn.normalise_text(c("text")))).alias("found")
     )
+    return found.select(
+        "o_orderkey", nearest_date(c("found"), PARAMS.now_col()).alias("expiry_date")
+    ).select("o_orderkey", ts("expiry_date"))
 
 
 @query(
@@ -206,15 +208,15 @@ def brand_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalise_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     name = F.regexp_replace("c_name", "#", "")
-    forms = F.array(
+    forms = [
         F.concat(F.lit("  "), F.lower(name), F.lit(" ")),
         F.regexp_replace(name, "Customer", "Cus tomer "),
         F.concat(name, F.lit("\t\n")),
         F.lit("   "),
-    )
+    ]
     return data.table(spark, sf_dir, "customer").select(
         "c_custkey",
-        code_fn.normalise_code(F.element_at(forms, (c("c_custkey") % 4 + 1).cast("int"))).alias(
+        code_fn.normalise_code(data.choose(c("c_custkey") % 4, forms)).alias(
             "code"
         ),
     )
@@ -274,7 +276,7 @@ def plausible_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     key = c("o_orderkey").cast("string")
-    forms = F.array(
+    forms = [
         F.concat(F.lit("Use code ORD"), key, F.lit(" to get Rs.800 off")),
         F.concat(F.lit("Coupon code: NEW-"), key),
         F.concat(F.lit("CODE - SAVE"), key, F.lit(", today only")),
@@ -282,8 +284,8 @@ def code_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Use code Mixed"), key),
         # the first phrase names prose, the second a code
         F.concat(F.lit("apply code at checkout; promo code LATE"), key),
-    )
-    text = F.element_at(forms, (c("o_orderkey") % 6 + 1).cast("int"))
+    ]
+    text = data.choose(c("o_orderkey") % 6, forms)
     return data.table(spark, sf_dir, "orders").select(
         "o_orderkey", code_fn.code_from_text(text, PARAMS).alias("code")
     )
@@ -446,14 +448,14 @@ def text_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Use code TEXT{k} for Rs.{v} off. We ship all over the country. "
         "Acme sale: up to {p}% off. "
     )
-    forms = F.array(
+    forms = [
         data.filled(shared + "Use code TEXT{k} for Rs.{v} off again.", values),
         data.filled(shared + "Extra {p}% off at Acme! Too short.", values),
         data.filled(shared + "Nothing more to say here.", values),
-    )
+    ]
     docs = part.select(
         c("p_partkey").alias("doc_id"),
-        F.element_at(forms, (c("p_partkey") % 3 + 1).cast("int")).alias("text"),
+        data.choose(c("p_partkey") % 3, forms).alias("text"),
         F.lit(True).alias("about_brand"),
     )
     found = with_source(

@@ -127,7 +127,11 @@ def upsert(stored: Stored, claims: DataFrame, params: Params) -> Upserted:
         }
     )
     scored = refresh_derived(attach_evidence(state, sources, params), params)
-    scored = scored.withColumn("changes", history.changes("old_", ""))
+    # offers no claim touched keep their score until the whole store is rescored
+    kept = F.when(c("touched"), c("confidence")).otherwise(c("old_confidence"))
+    scored = scored.withColumns(
+        {"confidence": kept, "changes": history.changes("old_", "")}
+    )
     events = scored.where("touched").withColumn(
         "event", history.event_of(c("is_new"), c("changes"), c("old_status"), c("status"))
     )
