@@ -20,6 +20,7 @@ from offerwise.operators.pricing import refresh_derived as refreshed
 from offerwise.operators.pricing import with_target_analysis
 from offerwise.params import Params
 from offerwise.plans import discovery, revalidation
+from offerwise.session import cut
 
 # --- merging -------------------------------------------------------------------
 
@@ -98,7 +99,7 @@ def _upserted(spark: SparkSession, sf_dir: str) -> discovery.Upserted:
     early = everything.where(F.col("last_seen_at") < cutoff)
     late = everything.where(F.col("last_seen_at") >= cutoff)
     first = discovery.upsert(discovery.empty_store(spark), early, PARAMS)
-    stored = discovery.Stored(first.offers, first.sources)
+    stored = discovery.Stored(cut(first.offers), cut(first.sources))
     return discovery.upsert(stored, late, PARAMS)
 
 

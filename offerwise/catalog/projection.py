@@ -20,7 +20,7 @@ from offerwise.operators.merge import merge_sources, merge_terms
 from offerwise.operators.pricing import refresh_derived
 from offerwise.params import Params
 from offerwise.schemas import CLAIMS, OFFERS, conform
-from offerwise.session import spread
+from offerwise.session import cut, spread
 
 NOW = dt.datetime(1998, 6, 1)
 PARAMS = Params(now=NOW, brand="acme")
@@ -176,7 +176,9 @@ def offers(
             "updated_at": now,
         }
     )
-    return refresh_derived(attach_evidence(state, found, params), params), found
+    scored = refresh_derived(attach_evidence(state, found, params), params)
+    # a snapshot is a stored table for what follows, so it is computed once
+    return cut(scored), found
 
 
 def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
