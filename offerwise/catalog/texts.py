@@ -413,12 +413,12 @@ def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each turn adds to the turn before it."""
-    from pyspark.sql import Window
-
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    turns = data.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "text", before.alias("before")
-    )
+    c = F.col
+    told = data.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    # turns are numbered without gaps, so the one before is found by an equi-join
+    # whose keys are unique, however long one conversation is
+    earlier = told.select("conv_id", (c("turn") + 1).alias("turn"), c("text").alias("before"))
+    turns = told.join(earlier, ["conv_id", "turn"], "left")
     return turns.select(
         "conv_id", "turn", messages.new_text(F.col("before"), F.col("text")).alias("added")
     )

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from offerwise.functions.codes import normalise_code
 from offerwise.functions.text import number_text
+from offerwise.operators.skew import split_join
 from offerwise.params import Params
+from offerwise.session import cut
 
 
 def _points(cond: Column, points: int) -> Column:
@@ -102,22 +104,30 @@ def page_dedupe(df: DataFrame, params: Params, page: list[str], pos: str = "pos"
     A page holds at most ``max_candidates_per_page`` keys; once full, everything
     further down the page is dropped, better duplicates too.
     """
+    c = F.col
     keyed = df.withColumn("_key", text_key())
-    firsts = keyed.groupBy(*page, "_key").agg(F.min(pos).alias("_first"))
+    firsts = keyed.groupBy(*page, "_key").agg(
+        F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_rows")
+    )
     # position of the last key that fits: the limit-th smallest first occurrence
     rank = F.row_number().over(Window.partitionBy(*page).orderBy("_first"))
+    limit = params.max_candidates_per_page
     closing = (
-        firsts.withColumn("_rank", rank)
-        .where(F.col("_rank") <= params.max_candidates_per_page)
+        firsts.select(*page, "_first")
+        .withColumn("_rank", rank)
+        .where(c("_rank") <= limit)
         .groupBy(*page)
-        .agg(F.max("_first").alias("_last"), F.count(F.lit(1)).alias("_keys"))
-        .where(F.col("_keys") == params.max_candidates_per_page)
-        .select(*page, "_last")
-    )
-    kept = keyed.join(closing, page, "left").where(
-        F.col("_last").isNull() | (F.col(pos) <= F.col("_last"))
+        .agg(F.max("_first").alias("_max"), F.count(F.lit(1)).alias("_keys"))
+        .select(*page, F.when(c("_keys") == limit, c("_max")).alias("_last"))
     )
-    return _best(kept.drop("_last"), [*page, "_key"], information_score(), pos).drop("_key")
+    sizes = firsts.groupBy(*page).agg(F.sum("_rows").alias("_rows"))
+    ends = cut(sizes.join(closing, page))
+
+    def finish(rows: DataFrame) -> DataFrame:
+        kept = rows.where(c("_last").isNull() | (c(pos) <= c("_last"))).drop("_last", "_rows")
+        return _best(kept, [*page, "_key"], information_score(), pos)
+
+    return split_join(keyed, ends, page, "_rows", finish, params).drop("_key")
 
 
 def cycle_dedupe(claims: DataFrame) -> DataFrame:

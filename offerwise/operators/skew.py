@@ -16,13 +16,13 @@ BROADCAST_ROWS = 100_000
 def split_join(
     rows: DataFrame,
     keyed: DataFrame,
-    key: str,
+    key: str | list[str],
     weight: str,
     finish: Callable[[DataFrame], DataFrame],
     params: Params,
     broadcast_rows: int | None = None,
 ) -> DataFrame:
-    """``finish(rows join keyed)``, where ``finish`` aggregates by ``key``.
+    """``finish(rows join keyed)``, where ``finish`` aggregates by ``key`` or finer.
 
     ``keyed`` has one narrow row per key and says in ``weight`` how many rows each
     key has; it should be materialised. Small: broadcast, so the rows are combined
@@ -38,6 +38,8 @@ def split_join(
     threshold = max(params.hot_min_rows, (stats["total"] or 0) // params.hot_share)
     hot = keyed.where(F.col(weight) > threshold)
     cold = keyed.where(F.col(weight) <= threshold)
+    keys = [key] if isinstance(key, str) else key
+    others = rows.join(F.broadcast(hot.select(*keys)), key, "left_anti")
     return finish(rows.join(F.broadcast(hot), key)).unionByName(
-        finish(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+        finish(others.join(cold, key))
     )

@@ -268,3 +268,26 @@ def test_nothing_is_collected_per_offer(spark, params):
     plan = merge.merge_terms(frame(spark, random_claims(50, 5, 1)), params)
     assert "collect_list" not in plan._jdf.queryExecution().toString()
     assert dt.datetime(2026, 8, 19, 15) == NOW
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_page_dedupe_splits_hot_pages(spark, params, monkeypatch, hot):
+    rng = random.Random(2)
+    rows = [claim(i, "", code=f"K{rng.randrange(12)}X", discount_value=rng.choice([None, 1.0])) for i in range(400)]
+    pages = frame(spark, rows).withColumn("page", F.when(F.col("seq") % 3 == 0, 1).otherwise(F.col("seq") % 7))
+    limited = replace(params, max_candidates_per_page=5, hot_min_rows=60, hot_share=4)
+    if hot:
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    found = {(r.page, r.code): (r.seq, r.discount_value) for r in page_dedupe(pages, limited, ["page"], pos="seq").collect()}
+    want = {}
+    for r in rows:
+        page = 1 if r["seq"] % 3 == 0 else r["seq"] % 7
+        full = sum(1 for p, _ in want if p == page) >= 5
+        held = want.get((page, r["code"]))
+        if full:
+            continue
+        if held is None:
+            want[page, r["code"]] = (r["seq"], r["discount_value"])
+        elif held[1] is None and r["discount_value"] is not None:
+            want[page, r["code"]] = (held[0], r["discount_value"])
+    assert found == want
