@@ -44,4 +44,27 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join h using (r) left join t using (r)
 """
 
-ORACLES = {"op5_line_dedup": OP5, "op10_decontamination": OP10}
+OP9 = f"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}),
+                                    '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 5 then w else w[i + 1 : i + 5] end as g
+      from (select doc_id, w, unnest(range(greatest(1, len(w) - 4))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+m as (select a.doc_id as a, b.doc_id as b, count(*) as met
+      from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from m join n x on x.doc_id = a join n y on y.doc_id = b
+          where 100 * met >= 85 * (x.n + y.n - met)),
+reach as (select doc_id as a, doc_id as b from d
+          union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id,
+       doc_id = component_id as kept
+from c left join n using (doc_id)
+"""
+
+ORACLES = {
+    "op9_minhash": OP9,
+    "op5_line_dedup": OP5,
+    "op10_decontamination": OP10,
+}
