@@ -5,31 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerwise.llm import decontaminate, lines
-from offerwise.llm.common import stage, table
+from offerwise.llm import decontaminate, lines, minhash, packing, toxicity
+from offerwise.llm.common import bounded_broadcast, stage, table, text_of
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines leave the texts; documents of which nothing is left go."""
+#: Near duplicates have a Jaccard similarity of at least so many hundredths; with so many
+#: bands of five coordinates a pair right at it misses all buckets once in 150,000.
+SIMILAR, BANDS = 80, 30
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but those whose id and text are among the (_id, _hash) rows of ``gone``."""
+    gone = bounded_broadcast(stage(gone.distinct(), "gone"))
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of("text")) == F.col("_hash"))
+    return docs.join(gone, met, "left_anti")
+
+
+def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar, fitted on the labelled ones among them, rejects go."""
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct("*").alias("doc"), text_of("text").alias("_text"))
+    return toxicity.scored(rows, grammar).filter(F.col("_score") < toxicity.THRESHOLD).select("doc.*")
+
+
+def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Common lines leave the texts; all documents stay."""
     out = lines.drop_common_lines(docs)
-    gone = (F.col("n_dropped") > 0) & (F.btrim("kept") == "")
-    kept = {
+    new = {
         "text": F.when(F.col("doc.text").isNotNull(), F.col("kept")),
         "n_chars": F.length("kept").cast("bigint"),
     }
-    return out.filter(~gone).select(*[kept.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    out = minhash.near_duplicates(docs, SIMILAR, BANDS)
+    copies = out.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return without(docs, copies.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
     judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = judged.filter("contaminated").select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    own = docs.withColumn("_own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
-    return own.join(bad, met, "left_anti").select(*docs.columns)
+    return without(docs, judged.filter("contaminated").select(F.col("doc_id").alias("_id"), "_hash"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place."""
+    return packing.pack(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("benchmark decontamination", decontaminated)]
+STAGES = [
+    ("toxicity", nontoxic),
+    ("line dedup", without_common_lines),
+    ("MinHash near-dedup", without_near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
 
 #: Tokenizers and a learned grammar are beyond SQL.
 ORACLE_SQL = None

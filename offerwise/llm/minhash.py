@@ -87,11 +87,12 @@ def _sign_rows(bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([_class_of(n) if n else None for n in norms], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     _lists(keys),
                 ],
-                names=["doc_id", "class", "n_shingles", "bands"],
+                names=["doc_id", "text_hash", "class", "n_shingles", "bands"],
             )
 
     return run
@@ -149,12 +150,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per document row: doc_id, class (null without words), n_shingles, component_id."""
-    own = docs.select("doc_id", text_of("text").cast("binary").alias("text"))
+    """One row per document row: doc_id, text_hash, n_shingles, component_id."""
+    own = docs.select(
+        "doc_id",
+        F.xxhash64(text_of("text")).alias("text_hash"),
+        text_of("text").cast("binary").alias("text"),
+    )
     signed = stage(
         own.mapInArrow(
             _sign_rows(bands, rows),
-            "doc_id bigint, class binary, n_shingles bigint, bands array<bigint>",
+            "doc_id bigint, text_hash bigint, class binary, n_shingles bigint, bands array<bigint>",
         ),
         "signatures",
     )
@@ -256,7 +261,7 @@ def near_duplicates(
     placed = stage(placed, "class-components")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = stage(placed.join(stage(least, "least"), "comp").select("class", "component_id"), "named")
-    return signed.select("doc_id", "class", "n_shingles").join(named, "class", "left").select(
-        "doc_id", "class", "n_shingles",
+    return signed.drop("bands").join(named, "class", "left").select(
+        "doc_id", "text_hash", "n_shingles",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )

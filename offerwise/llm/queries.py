@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerwise.llm import decontaminate, lines, minhash
+from offerwise.llm import decontaminate, lines, minhash, packing, toxicity
 from offerwise.llm.common import table
 from offerwise.llm.oracles import ORACLES as SQL
 from offerwise.session import carry_code
@@ -33,6 +33,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
