@@ -63,7 +63,20 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id,
 from c left join n using (doc_id)
 """
 
+OP2 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+q as (select page_id, strlen(h)::bigint as payload_bytes, sha256(h) as payload_digest from p),
+r as (select *, case when payload_bytes >= 100
+                     then min(page_id) over (partition by payload_digest) end as original from q)
+select page_id, payload_bytes, payload_digest,
+       case when original is null or original is not distinct from page_id
+            then 'response' else 'revisit' end as record_type,
+       case when original is distinct from page_id then original end as refers_to
+from r
+"""
+
 ORACLES = {
+    "op2_warc": OP2,
     "op9_minhash": OP9,
     "op5_line_dedup": OP5,
     "op10_decontamination": OP10,
