@@ -17,8 +17,9 @@ SIMILAR, BANDS = 80, 30
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but those whose id and text are among the (_id, _hash) rows of ``gone``."""
     gone = bounded_broadcast(stage(gone.distinct(), "gone"))
-    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of("text")) == F.col("_hash"))
-    return docs.join(gone, met, "left_anti")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(text_of("text")).alias("hash"))
+    met = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return rows.join(gone, met, "left_anti").select("doc.*")
 
 
 def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
