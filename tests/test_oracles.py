@@ -36,7 +36,7 @@ def plain(value):
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
