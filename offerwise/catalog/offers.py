@@ -109,7 +109,7 @@ _BOTH = sql.chain(
     sql.merged(),
     sql.sources(),
     sql.evidence(),
-    sql.claims("claims0", _CUT, closed=False),
+    sql.claims("claims0", _CUT),
     sql.merged("merged0", "claims0"),
     sql.sources("srcs0", "claims0"),
     sql.evidence("evid0", "srcs0"),
@@ -195,7 +195,7 @@ _EVENTS = f"""{_BOTH}, old AS (
 @query(
     f"""{_EVENTS} SELECT dedupe_key, event, new_status AS status, source_name,
     CASE WHEN event = 'status_changed' THEN old_status END AS previous_status,
-    kind AS discount_type, val AS discount_value, '1998-06-01 00:00:00' AS observed_at
+    kind AS discount_type, val AS discount_value, '2001-11-05 00:00:00' AS observed_at
     FROM events"""
 )
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,9 @@ def term_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(*) FROM (SELECT DISTINCT dedupe_key, source_name FROM claims
       WHERE seen >= {_CUT})) AS unique_candidates,
     count(*) FILTER (is_new) AS new_offers, count(*) FILTER (NOT is_new) AS updated_offers,
-    count(*) FILTER (NOT is_new AND changes <> '') AS changed_offers FROM events"""
+    count(*) FILTER (NOT is_new AND changes <> '') AS changed_offers,
+    -- an end date that is past when it is claimed expires the offer at once
+    0::BIGINT AS expired_offers FROM events"""
 )
 def cycle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-cycle totals; the upsert reads all claims, as duplicates within a cycle
@@ -234,8 +236,9 @@ def cycle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("last_seen_at") >= F.lit(data.CUTOFF).cast("timestamp")
     )
     unique = discovery.claims_of(late)
-    result = _upserted(spark, sf_dir).result
-    return discovery.cycle_stats(late, unique, result).drop("expired_offers")
+    step = _upserted(spark, sf_dir)
+    swept = validation.expire_sweep(step.offers, PARAMS)
+    return discovery.cycle_stats(late, unique, step.result, swept)
 
 
 # --- evidence ------------------------------------------------------------------
@@ -541,9 +544,8 @@ def validation_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.select("dedupe_key", "status", validation.is_due(PARAMS).alias("due"))
 
 
-_QUEUE = f"""{sql.OFFERS}, front AS (
-  SELECT * FROM offers WHERE status <> 'expired' ORDER BY {sql.QUEUE} LIMIT 200
-), queue AS (SELECT * FROM front WHERE {_DUE} ORDER BY {sql.QUEUE} LIMIT 40)"""
+_QUEUE = f"""{sql.OFFERS}, queue AS (
+  SELECT * FROM offers WHERE status <> 'expired' AND {_DUE} ORDER BY {sql.QUEUE} LIMIT 40)"""
 _ELIGIBLE = f"(NOT coalesce(expiry < {sql.NOW}, false) AND current_seen IS NULL)"
 
 
@@ -740,7 +742,7 @@ def validation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revalidation.validation_stats(cycle.outcomes)
 
 
-_LATER = "(TIMESTAMP '1998-06-01 00:00:00' + INTERVAL 100 DAY)"
+_LATER = f"({sql.NOW} + INTERVAL 100 DAY)"
 
 
 @query(

@@ -4,12 +4,12 @@ They state the same projection and the merge rules independently of the Spark co
 claims are numbered by a window, marks and merged terms are plain SQL aggregates.
 """
 
-NOW = "TIMESTAMP '1998-06-01 00:00:00'"
+NOW = "TIMESTAMP '2001-11-05 00:00:00'"
 
 
-def claims(name: str = "claims", before: str = NOW, closed: bool = True) -> str:
-    """Line items seen up to ``before`` as claims."""
-    op = "<=" if closed else "<"
+def claims(name: str = "claims", before: str | None = None) -> str:
+    """Line items as claims; with ``before`` only those seen earlier."""
+    seen = f"WHERE l_shipdate < {before}" if before else ""
     return f"""
 {name} AS (
   SELECT p_partkey AS k, 'CODE:PART' || p_partkey AS dedupe_key, 'PART' || p_partkey AS code,
@@ -33,7 +33,7 @@ def claims(name: str = "claims", before: str = NOW, closed: bool = True) -> str:
     s_nationkey % 5 = 0 AS official,
     l_shipdate AS seen
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-  WHERE l_shipdate <= {NOW} AND l_shipdate {op} {before}
+  {seen}
 )"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerwise.catalog import oracle_base as sql
 from offerwise.catalog import projection as data
-from offerwise.catalog.projection import PARAMS
+from offerwise.catalog.projection import TEXT_PARAMS as PARAMS
 from offerwise.catalog.registry import big, query, ts
 from offerwise.functions import urls
 from offerwise.operators import dedupe, history
@@ -466,7 +466,7 @@ def _post_adapter(sf_dir: str):
 
 def _claim_rows(found: DataFrame, ordinal, page_ord) -> DataFrame:
     return discovery.claims_of(
-        found.withColumn("seq", arrival(ordinal, page_ord, F.col("pos") % 1_000_000))
+        found.withColumn("seq", arrival(ordinal, page_ord, F.col("pos")))
     )
 
 

@@ -22,10 +22,12 @@ from offerwise.params import Params
 from offerwise.schemas import CLAIMS, OFFERS, conform
 from offerwise.session import cut, spread
 
-NOW = dt.datetime(1998, 6, 1)
+# the instant after the last claim, and that at which the texts and pages were read
+NOW = dt.datetime(2001, 11, 5)
 PARAMS = Params(now=NOW, brand="acme")
+TEXT_PARAMS = Params(now=dt.datetime(1998, 6, 1), brand="acme")
 # claims seen before this instant form the stored state of the upsert queries
-CUTOFF = "1996-01-01"
+CUTOFF = "1998-06-01"
 
 
 @cache
@@ -54,19 +56,15 @@ def raw_claims(
     c = F.col
     seen = c("l_shipdate").cast("timestamp")
     given = lines is not None
-    line = (
-        (lines if given else table(spark, sf_dir, "lineitem"))
-        .select(
-            "l_orderkey",
-            "l_partkey",
-            "l_suppkey",
-            "l_linenumber",
-            "l_quantity",
-            "l_tax",
-            "l_returnflag",
-            "l_shipdate",
-        )
-        .where(c("l_shipdate") <= F.lit(NOW))
+    line = (lines if given else table(spark, sf_dir, "lineitem")).select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        "l_quantity",
+        "l_tax",
+        "l_returnflag",
+        "l_shipdate",
     )
     line = line if given else spread(line)
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")

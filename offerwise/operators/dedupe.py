@@ -101,11 +101,13 @@ def _best(df: DataFrame, keys: list[str], score: Column, order: str) -> DataFram
 def page_dedupe(df: DataFrame, params: Params, page: list[str], pos: str = "pos") -> DataFrame:
     """Per page one candidate per code or text, the best specified first.
 
-    A page holds at most ``max_candidates_per_page`` keys; once full, everything
-    further down the page is dropped, better duplicates too.
+    With ``max_candidates_per_page`` set, a page holds at most so many keys; once full,
+    everything further down the page is dropped, better duplicates too.
     """
     c = F.col
     keyed = df.withColumn("_key", text_key())
+    if params.max_candidates_per_page is None:
+        return _best(keyed, [*page, "_key"], information_score(), pos).drop("_key")
     firsts = keyed.groupBy(*page, "_key").agg(
         F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_rows")
     )

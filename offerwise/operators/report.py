@@ -67,12 +67,13 @@ def source_summary(sources: DataFrame, limit: int = 6) -> DataFrame:
 
 
 def nested_sources(offers: DataFrame, sources: DataFrame, params: Params) -> DataFrame:
-    """Each offer's lineage as an array, for offers of bounded source count.
+    """Each offer's lineage as an array.
 
-    Offers above ``max_nested_sources`` get none here; their complete lineage is in
-    the lineage table that is written with every report.
+    With ``max_nested_sources`` set, offers above it get none here; their complete lineage
+    is in the lineage table that is written with every report.
     """
-    small = offers.where(F.col("source_count") <= params.max_nested_sources).select(KEY)
+    limit = params.max_nested_sources
+    small = (offers if limit is None else offers.where(F.col("source_count") <= limit)).select(KEY)
     entry = F.struct("arrived_at", "first_seq", F.struct(*LINEAGE).alias("source"))
     ordered = F.array_sort(F.collect_list(entry))
     return (

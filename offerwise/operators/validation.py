@@ -42,10 +42,10 @@ def queue_order() -> list[Column]:
 
 
 def validation_queue(offers: DataFrame, params: Params, limit: int | None = None) -> DataFrame:
-    """Offers to revalidate now: the first 5n by promise, of these the due ones, n at most."""
+    """Offers to revalidate now: of all that are due, the n most promising."""
     n = params.max_validations if limit is None else limit
-    front = offers.where(F.col("status") != "expired").orderBy(*queue_order()).limit(5 * n)
-    return front.where(is_due(params)).orderBy(*queue_order()).limit(n)
+    due = offers.where((F.col("status") != "expired") & is_due(params))
+    return due.orderBy(*queue_order()).limit(n)
 
 
 def check_eligible(params: Params) -> Column:

@@ -222,18 +222,28 @@ def source_metrics(claims: DataFrame, registry: DataFrame, errors: DataFrame) ->
     )
 
 
-def cycle_stats(candidates: DataFrame, claims: DataFrame, result: DataFrame) -> DataFrame:
-    """One row: total and unique candidates, new, updated, changed and expired offers."""
-    c = F.col
-    upserted = result.agg(
-        F.count(F.when(c("is_new"), 1)).alias("new_offers"),
-        F.count(F.when(~c("is_new"), 1)).alias("updated_offers"),
-        F.count(F.when(~c("is_new") & (F.size("changes") > 0), 1)).alias("changed_offers"),
-        F.count(F.when(c("status") == "expired", 1)).alias("expired_offers"),
-    )
-    totals = candidates.agg(F.count(F.lit(1)).alias("total_candidates"))
-    unique = claims.agg(F.count(F.lit(1)).alias("unique_candidates"))
-    one = F.lit(1).alias("_one")
-    parts = [p.select(one, "*") for p in (totals, unique, upserted)]
-    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
+def cycle_stats(
+    candidates: DataFrame, claims: DataFrame, result: DataFrame, swept: DataFrame
+) -> DataFrame:
+    """One row: total and unique candidates, new, updated, changed and expired offers.
 
+    ``swept``: the offers that this cycle's expiry sweep moved. Each input is counted where
+    it lies and one row of it joins the union.
+    """
+    c = F.col
+    rows = F.count(F.lit(1))
+    parts = [
+        candidates.agg(rows.alias("total_candidates")),
+        claims.agg(rows.alias("unique_candidates")),
+        result.agg(
+            F.count(F.when(c("is_new"), 1)).alias("new_offers"),
+            F.count(F.when(~c("is_new"), 1)).alias("updated_offers"),
+            F.count(F.when(~c("is_new") & (F.size("changes") > 0), 1)).alias("changed_offers"),
+        ),
+        swept.agg(rows.alias("expired_offers")),
+    ]
+    names = [name for part in parts for name in part.columns]
+    counted = parts[0]
+    for part in parts[1:]:
+        counted = counted.unionByName(part, allowMissingColumns=True)
+    return counted.agg(*(F.sum(name).alias(name) for name in names))
