@@ -56,31 +56,28 @@ CHALLENGES = (
 
 def challenge_reason(body: Column, status: Column) -> Column:
     """Why a fetched page is a challenge or block page; null for an ordinary page."""
-    head = F.substring(body, 1, 20_000)
-    reason = F.lit(None).cast("string")
-    walled = status.isin(403, 429, 503) & head.rlike("(?i)captcha|blocked|challenge")
+    walled = status.isin(403, 429, 503) & body.rlike("(?i)captcha|blocked|challenge")
     reason = F.when(
         walled, F.concat(F.lit("http "), status.cast("string"), F.lit(" with block markers"))
     )
     for pattern, detail in reversed(CHALLENGES):
-        reason = F.when(head.rlike(pattern), F.lit(detail)).otherwise(reason)
+        reason = F.when(body.rlike(pattern), F.lit(detail)).otherwise(reason)
     return reason
 
 
 def verdict(message: Column) -> Column:
     """accepted / rejected / conditional / blocked / unavailable, a blocker winning."""
-    text = F.substring(message, 1, 6000)
     return (
-        F.when(text.rlike(BLOCKED), "blocked")
-        .when(text.rlike(REJECTED), "rejected")
-        .when(text.rlike(CONDITIONAL), "conditional")
-        .when(text.rlike(ACCEPTED), "accepted")
+        F.when(message.rlike(BLOCKED), "blocked")
+        .when(message.rlike(REJECTED), "rejected")
+        .when(message.rlike(CONDITIONAL), "conditional")
+        .when(message.rlike(ACCEPTED), "accepted")
         .otherwise("unavailable")
     )
 
 
 def verdict_detail(verdict_col: Column, message: Column, code: Column) -> Column:
-    summary = F.substring(squeeze(F.substring(message, 1, 6000)), 1, 200)
+    summary = F.substring(squeeze(message), 1, 200)
     return (
         F.when(
             verdict_col == "blocked",
@@ -101,9 +98,8 @@ def verdict_detail(verdict_col: Column, message: Column, code: Column) -> Column
 
 def terms_in_message(message: Column) -> dict[str, Column]:
     """Terms a coupon-field message discloses, null where it does not."""
-    text = F.substring(message, 1, 6000)
-    minimum = parse_amount(F.regexp_extract(text, MESSAGE_MINIMUM, 1))
-    saved = parse_amount(F.regexp_extract(text, MESSAGE_SAVED, 1))
+    minimum = parse_amount(F.regexp_extract(message, MESSAGE_MINIMUM, 1))
+    saved = parse_amount(F.regexp_extract(message, MESSAGE_SAVED, 1))
     return {
         "observed_minimum": minimum,
         "observed_value": saved,

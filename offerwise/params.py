@@ -37,19 +37,21 @@ class Params:
 
     # limits that are part of the results
     max_candidates_per_source: int = 60
-    max_candidates_per_page: int = 100
     max_validations: int = 40
     max_cart_checks: int = 5
     search_pages_to_open: int = 5
     max_discovered_links: int = 4
     cart_checks_enabled: bool = True
 
+    # off unless set: at most so many codes or texts of one page
+    max_candidates_per_page: int | None = None
+
     # execution: a key is hot above max(hot_min_rows, total / hot_share) rows, so
     # there are never more than ``hot_share`` hot keys and they may be broadcast
     hot_share: int = 4096
     hot_min_rows: int = 1_000_000
-    # offers with more sources than this keep them only in the sources table
-    max_nested_sources: int = 1000
+    # off unless set: offers with more sources keep them only in the lineage table
+    max_nested_sources: int | None = None
 
     extra_source_urls: tuple[str, ...] = field(default=())
 

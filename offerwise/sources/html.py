@@ -6,6 +6,7 @@ emits raw text and attributes. All parsing of offers happens in column expressio
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -14,14 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from offerwise.functions.text import MAX_OFFER_TEXT
 from offerwise.schemas import conform, names
-from offerwise.sources.jsonld import MAX_VISITS, block_nodes
+from offerwise.sources.jsonld import block_nodes
 
 # Markup that carries offers, codes, and markup that is dropped.
 CODE_ATTRIBUTES = (
-    "data-coupon-code data-couponcode data-code data-clipboard-text data-coupon "
-    "data-promo-code data-voucher value"
-).split()
+    "data-coupon-code",
+    "data-couponcode",
+    "data-code",
+    "data-clipboard-text",
+    "data-coupon",
+    "data-promo-code",
+    "data-voucher",
+    "value",
+)
 MARKED_BY_ATTRIBUTE = {"data-coupon-code", "data-code", "data-clipboard-text"}
 CLASS_WORDS = ("coupon", "offer", "deal", "promo", "voucher")
 ID_WORDS = ("coupon", "offer")
@@ -44,11 +52,9 @@ P_CLOSERS = set(
 )
 SCOPES = set("ul ol dl select table div article section body".split())
 
-MAX_CONTAINERS = 500
-MAX_CHIPS = 12
-MAX_JSONLD = 200_000
-MAX_ANCHORS = 400
-MAX_RESULTS = 25
+# Spelling rules shorten a text to a seventh at most, so a container with more characters
+# than this, blanks not counted, can't become an offer's text.
+TOO_LONG = 7 * MAX_OFFER_TEXT
 
 
 class Page(HTMLParser):
@@ -106,6 +112,15 @@ class Page(HTMLParser):
             if tag in SCOPES:
                 return
 
+    def parse_html_declaration(self, i: int) -> int:
+        # "<![foo[x]]>" and the like are comments on the web
+        if self.rawdata[i : i + 3] == "<![":
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def unknown_decl(self, data: str) -> None:
+        """Declarations carry no text."""
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         # "<div/>" opens a div in HTML; only foreign markup closes itself
         if tag == "svg":
@@ -151,49 +166,68 @@ def is_container(tag: str, attrs: dict) -> bool:
     )
 
 
-def _chips(page: Page, index: int) -> list[str]:
-    """Texts of short code-like elements: by class first, then by tag."""
-    found = []
-    tests = [lambda t, a: _has_word(a.get("class"), ("code",))]
-    tests += [lambda t, a, name=name: t == name for name in CHIP_TAGS]
-    for test in tests:
-        hits = [i for i in page.inside(index) if test(*page.elements[i][:2])][:MAX_CHIPS]
-        found += [page.text_of(page.elements[i]) for i in hits]
-    short = (" ".join(t.split()) for t in found)
-    return [t for t in short if 0 < len(t) <= 200]
+def _chip_lists(page: Page, sizes: list[int]) -> list[tuple[list[int], list[str]]]:
+    """Code-like elements with a short text, by class first, then by tag: for each kind the
+    elements' indexes and texts."""
+    found = [([], []) for _ in range(1 + len(CHIP_TAGS))]
+    for index, (tag, attrs, start, end, _) in enumerate(page.elements):
+        kinds = [0] if _has_word(attrs.get("class"), ("code",)) else []
+        kinds += [1 + CHIP_TAGS.index(tag)] if tag in CHIP_TAGS else []
+        # codes have at most 24 characters, see ``structured_candidates``
+        if kinds and 0 < sizes[end] - sizes[start] <= 200:
+            text = " ".join(page.text_of(page.elements[index]).split())
+            for kind in kinds:
+                found[kind][0].append(index)
+                found[kind][1].append(text)
+    return found
 
 
 def page_parts(html: str) -> Iterator[dict]:
-    """Raw parts of one page: JSON-LD nodes, offer containers, body text."""
+    """Raw parts of one page: JSON-LD nodes, offer containers, body text.
+
+    Positions number nodes and containers through. Sizes, chips and code attributes are
+    taken in one pass over the page, so nested containers cost what they emit.
+    """
     page = Page(html)
     titles = [e for e in page.elements if e[0] == "title"]
     title = page.text_of(titles[0]) if titles else ""
-    scripts = [e for e in page.elements if e[0] == "script"]
-    for block, element in enumerate(scripts):
-        text = page.text_of(element)
-        if text and len(text) <= MAX_JSONLD:
-            for node in block_nodes(text):
-                pos = block * (MAX_VISITS + 1) + node.pop("visit")
-                yield {"title": title, "kind": "jsonld", "pos": pos, **node}
-    containers = [i for i, e in enumerate(page.elements) if is_container(e[0], e[1])]
-    for pos, index in enumerate(containers[:MAX_CONTAINERS]):
-        attrs = page.elements[index][1]
-        nested = next(
-            (
-                page.elements[i][1]
-                for i in page.inside(index)
-                if not page.elements[i][1].keys().isdisjoint(CODE_ATTRIBUTES)
-            ),
-            {},
-        )
+    pos = 0
+    for element in (e for e in page.elements if e[0] == "script"):
+        last = pos
+        try:
+            for node in block_nodes(page.text_of(element)):
+                last = pos + node.pop("visit")
+                yield {"title": title, "kind": "jsonld", "pos": last, **node}
+        except RecursionError:
+            yield {"title": title, "kind": "error", "pos": last, "text": "JSON-LD nested too deep"}
+        pos = last
+    sizes = [0]
+    for run in page.text:
+        sizes.append(sizes[-1] + len("".join(run.split())))
+    chips = _chip_lists(page, sizes)
+    coded = [
+        i for i, e in enumerate(page.elements) if not e[1].keys().isdisjoint(CODE_ATTRIBUTES)
+    ]
+    for index, element in enumerate(page.elements):
+        tag, attrs, start, end, stop = element
+        if not is_container(tag, attrs):
+            continue
+        pos += 1
+        if not 0 < sizes[end] - sizes[start] <= TOO_LONG:
+            continue
+        k = bisect_left(coded, index + 1)
+        nested = page.elements[coded[k]][1] if k < len(coded) and coded[k] < stop else {}
+        inside = []
+        for indexes, texts in chips:
+            inside += texts[bisect_left(indexes, index + 1) : bisect_left(indexes, stop)]
         yield {
             "title": title,
             "kind": "node",
             "pos": pos,
-            "text": page.text_of(page.elements[index]),
+            "text": " ".join(page.text_of(element).split()),
             "own_codes": [attrs[a] for a in CODE_ATTRIBUTES if attrs.get(a)],
             "nested_codes": [nested[a] for a in CODE_ATTRIBUTES if nested.get(a)],
-            "chips": _chips(page, index),
+            "chips": inside,
         }
     bodies = [e for e in page.elements if e[0] == "body"]
     body = page.text_of(bodies[0]) if bodies else "".join(page.text)
@@ -242,16 +276,16 @@ def raw_parts(pages: DataFrame) -> DataFrame:
 
 
 def page_anchors(html: str) -> Iterator[dict]:
-    """The first anchors with an href, in document order."""
+    """The anchors with an href, in document order."""
     page = Page(html, drop=False)
     links = [e for e in page.elements if e[0] == "a" and "href" in e[1]]
-    for pos, element in enumerate(links[:MAX_ANCHORS]):
+    for pos, element in enumerate(links):
         if element[1]["href"]:
             yield {"pos": pos, "href": element[1]["href"], "text": page.text_of(element)}
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """``PAGE`` columns, pos, href and text of up to 400 anchors per page."""
+    """``PAGE`` columns, pos, href and text of all anchors."""
     return _tokenise(pages, page_anchors, f"{PAGE}, pos BIGINT, href STRING, text STRING")
 
 
@@ -267,7 +301,7 @@ def page_results(html: str) -> Iterator[dict]:
         for i, e in enumerate(page.elements)
         if has_class(e, "result") or has_class(e, "web-result")
     ]
-    for pos, index in enumerate(rows[:MAX_RESULTS]):
+    for pos, index in enumerate(rows):
         inner = [page.elements[i] for i in page.inside(index)]
         link = next((e for e in inner if e[0] == "a" and has_class(e, "result__a")), None)
         snippet = next((e for e in inner if has_class(e, "result__snippet")), None)

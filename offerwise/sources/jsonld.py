@@ -9,8 +9,6 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_VISITS = 2000
-
 # Date spellings accepted beside ISO 8601.
 DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "M/d/yyyy", "yyyy/M/d")
 
@@ -23,17 +21,22 @@ def _text(value: object) -> str:
         return "true"
     if isinstance(value, float) and value.is_integer():
         return str(int(value))
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    # half of a surrogate pair, as in a cut emoji, has no UTF-8 form
+    return text.encode("utf-8", "replace").decode("utf-8")
 
 
 def block_nodes(raw: str) -> Iterator[dict]:
-    """Objects of one block that carry a name, description or code, breadth first."""
+    """Objects of one block that carry a name, description or code, breadth first.
+
+    Raises RecursionError where the block is nested deeper than the JSON reader goes.
+    """
     try:
         queue = deque([json.loads(raw)])
     except ValueError:
         return
     visit = 0
-    while queue and visit < MAX_VISITS:
+    while queue:
         visit += 1
         current = queue.popleft()
         if isinstance(current, list):
@@ -51,7 +54,7 @@ def block_nodes(raw: str) -> Iterator[dict]:
                     "visit": visit,
                     "text": description,
                     "code": _text(code) or None,
-                    "valid_through": until if isinstance(until, str) else None,
+                    "valid_through": _text(until) if isinstance(until, str) else None,
                 }
 
 

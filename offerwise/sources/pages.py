@@ -20,13 +20,10 @@ from offerwise.schemas import names
 from offerwise.session import cut
 from offerwise.sources.candidates import offers_only
 from offerwise.sources.html import PAGE, raw_parts
-from offerwise.sources.jsonld import MAX_VISITS, published_date
+from offerwise.sources.jsonld import published_date
 from offerwise.sources.plaintext import text_candidates
 
-MAX_BODY = 20_000
 PAGE_COLUMNS = names(PAGE)
-# positions: JSON-LD first, then containers; a page has far fewer than this
-_NODES_FROM = (MAX_VISITS + 1) * 4096
 OFFER_HINT = rf"(?i)coupon|discount|% off|{RUPEE}"
 
 
@@ -57,7 +54,7 @@ def structured_candidates(parts: DataFrame, params: Params) -> DataFrame:
     normal = normalise_text(c("text"))
     texts = parts.where(c("kind").isin("node", "jsonld")).withColumns(
         {
-            "raw_text": F.when(is_node, normal).otherwise(F.substring(normal, 1, MAX_OFFER_TEXT)),
+            "raw_text": normal,
             "chips": F.when(is_node, short_chips),
         }
     )
@@ -73,7 +70,7 @@ def structured_candidates(parts: DataFrame, params: Params) -> DataFrame:
         (~is_node | of_offer_size) & (about_brand(params) | mentions_brand(c("raw_text"), params))
     ).select(
         *PAGE_COLUMNS,
-        (c("pos") + F.when(is_node, _NODES_FROM).otherwise(0)).alias("pos"),
+        "pos",
         "raw_text",
         F.when(is_node, found_in_node).otherwise(published).alias("code"),
         "valid_through",
@@ -103,9 +100,7 @@ def page_candidates(pages: DataFrame, params: Params) -> DataFrame:
     parts = cut(raw_parts(pages))
     found = cut(structured_candidates(parts, params))
     # pages without any structured candidate are read as text
-    body = parts.where(c("kind") == "body").withColumn(
-        "text", F.substring(normalise_text(c("text")), 1, MAX_BODY)
-    )
+    body = parts.where(c("kind") == "body").withColumn("text", normalise_text(c("text")))
     bare = body.where(about_brand(params) | mentions_brand(c("text"), params)).join(
         found.select(*page).distinct(), page, "left_anti"
     )

@@ -16,16 +16,14 @@ from offerwise.operators.dedupe import text_key
 from offerwise.params import Params
 from offerwise.sources.candidates import offers_only
 
-MAX_CHUNKS = 200
 # Fixed value: sentence ends and separators.
 SPLIT = r"(?<=[.!?\n])\s+|\s{2,}|\||•"
 
 
 def chunks(text: Column) -> Column:
-    """The first 200 sentence-like chunks of 12 to 600 characters."""
+    """The sentence-like chunks of 12 to 600 characters."""
     parts = F.transform(F.split(normalise_text(text), SPLIT, -1), F.trim)
-    fitting = F.filter(parts, lambda p: F.length(p).between(MIN_OFFER_TEXT, MAX_OFFER_TEXT))
-    return F.slice(fitting, 1, MAX_CHUNKS)
+    return F.filter(parts, lambda p: F.length(p).between(MIN_OFFER_TEXT, MAX_OFFER_TEXT))
 
 
 def text_candidates(

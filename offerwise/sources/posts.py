@@ -13,7 +13,6 @@ from offerwise.sources.plaintext import text_candidates
 POST = """struct<title:string,selftext:string,permalink:string,subreddit:string,
 created_utc:double,url:string>"""
 LISTING = f"data struct<children:array<struct<data:{POST}>>>".replace("\n", "")
-MAX_BODY = 2000
 SITE = "https://www.reddit.com"
 
 
@@ -32,7 +31,7 @@ def posts(payloads: DataFrame, params: Params) -> DataFrame:
         F.concat(
             F.coalesce("title", F.lit("")),
             F.lit(". "),
-            F.substring(F.coalesce("selftext", F.lit("")), 1, MAX_BODY),
+            F.coalesce("selftext", F.lit("")),
         ).alias("text"),
         F.when(
             F.coalesce("permalink", F.lit("")) != "", F.concat(F.lit(SITE), "permalink")
