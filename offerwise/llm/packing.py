@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerwise.llm.common import bounded_broadcast, stage, text_of
+from offerwise.llm.common import bounded_broadcast, short_batches, stage, text_of
 
 CAPACITY = 2048
 ROUNDS = 30
@@ -37,7 +37,7 @@ STEP = 0.5
 #: Pieces that one task numbers at a time.
 CHUNK_ROWS = 200_000
 #: Words whose ids a task keeps before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class WordTokenizer:
@@ -259,6 +259,7 @@ def pack(
     docs: DataFrame, paths: tuple[str, str, str] | None = None, capacity: int = CAPACITY
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    short_batches(docs.sparkSession)
     spark = docs.sparkSession
     pieces = stage(
         docs.select("doc_id", text_of("text").alias("text")).mapInArrow(

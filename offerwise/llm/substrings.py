@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerwise.llm.bwt import repeated_windows
-from offerwise.llm.common import bounded_broadcast, stage, text_of
+from offerwise.llm.common import bounded_broadcast, short_batches, stage, text_of
 from offerwise.llm.shingles import CHUNK, mix, prefix_sums, spans
 
 WINDOW = 400
@@ -272,6 +272,7 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
+    short_batches(docs.sparkSession)
     text = text_of("text").cast("binary")
     own = docs.select("doc_id", F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     listed = stage(

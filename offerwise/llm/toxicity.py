@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerwise.llm.common import bounded_broadcast, stage, text_of
+from offerwise.llm.common import bounded_broadcast, short_batches, stage, text_of
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 20_000
@@ -283,6 +283,7 @@ def _score_rows(grammar: Grammar):
 
 def scored(rows: DataFrame, grammar: Grammar) -> DataFrame:
     """``rows`` that have ``_text``, with ``_score`` in its place."""
+    short_batches(rows.sparkSession)
     kept = [f for f in rows.schema.fields if f.name != "_text"]
     schema = T.StructType([*kept, T.StructField("_score", T.DoubleType())])
     return rows.mapInArrow(_score_rows(grammar), schema)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerwise.llm.common import bounded_broadcast, shared_folder, stage
+from offerwise.llm.common import bounded_broadcast, shared_folder, short_batches, stage
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -218,6 +218,7 @@ def _write_rows(folder: str):
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write every row as a record; the names of the archives and their numbers of records."""
+    short_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload")).withColumn(
         "digest", F.sha2("payload", 256)
