@@ -15,7 +15,7 @@ from offerwise.catalog.registry import big, query, ts
 from offerwise.session import SETTINGS, checkpoint_dir
 from offerwise.streaming.dedupe import drop_repeats
 from offerwise.streaming.ingest import read_store, upsert_stream
-from offerwise.streaming.observations import observe_stream
+from offerwise.streaming.observations import observe_stream, read_events
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +85,12 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per claim; per offer their number, the discovery and the last state."""
     c = F.col
-    claims = data.claims_from(spark, sf_dir, stream_of(spark, sf_dir, "lineitem"))
-    events = drain(observe_stream(claims, PARAMS), shared_folder(spark, "observations"))
+    store = shared_folder(spark, "observations")
+    lines = stream_of(spark, sf_dir, "lineitem")
+    observe_stream(
+        lines, lambda rows: data.claims_from(spark, sf_dir, rows), store, PARAMS
+    ).awaitTermination()
+    events = read_events(spark, store)
     grown = F.get(F.filter("changes", lambda t: t.startswith("sourceCount: ")), F.lit(0))
     count = F.regexp_extract(grown, r"-> (\d+)$", 1).try_cast("bigint")
     return events.groupBy("dedupe_key").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from offerwise.params import Params
-from offerwise.plans.discovery import Stored, empty_store, upsert
+from offerwise.plans.discovery import Stored, discovery_cycle, empty_store
 from offerwise.schemas import OFFERS, SOURCES
 from offerwise.session import cut
 
@@ -23,15 +23,21 @@ def read_store(spark: SparkSession, store: str, version: int) -> Stored:
     )
 
 
+def params_of(params: Params | Callable[[int], Params], number: int) -> Params:
+    """The parameters, and so the clock, of one micro-batch."""
+    return params(number) if callable(params) else params
+
+
 def upsert_stream(
     stream: DataFrame,
     to_claims: Callable[[DataFrame], DataFrame],
     store: str,
-    params: Params,
+    params: Params | Callable[[int], Params],
     available_now: bool = True,
     every: str = "30 minutes",
 ) -> StreamingQuery:
-    """Upsert every micro-batch. ``store`` is a folder all executors share.
+    """Upsert, sweep and rescore with every micro-batch. ``store`` is a folder all executors
+    share; ``params`` may be a function of the batch's number, so that the clock moves.
 
     Micro-batches run one after another, so cycles never overlap. Each batch reads
     the version before it and writes its own, overwriting what a failed attempt left,
@@ -40,7 +46,8 @@ def upsert_stream(
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        step = upsert(read_store(spark, store, number - 1), cut(to_claims(batch)), params)
+        stored = read_store(spark, store, number - 1)
+        step = discovery_cycle(stored, cut(to_claims(batch)), params_of(params, number))
         base = f"{store}/v{number}"
         step.offers.write.mode("overwrite").parquet(f"{base}/offers")
         step.sources.write.mode("overwrite").parquet(f"{base}/sources")

@@ -1,23 +1,32 @@
-"""Per-claim change events from a stream, with the offer as keyed state.
+"""Per-claim change events from a stream of claims.
 
-The batch upsert compares whole cycles; this operator reports every claim. State is
-the merged offer and one small map entry per publishing page, never the claims.
+The batch upsert compares whole cycles; this reports every claim, in arrival order. Each
+micro-batch puts the stored offer before its new claims and takes all running terms as
+windows over that order: a term starts anew at an official claim that names it and
+tightens in between. An event compares a row with the row before it.
+
+State is one row per offer and one per publishing page, in a folder all executors share.
+A micro-batch reads and writes only the offers it touches; every ``COMPACT`` batches the
+whole state is written as one version, and older versions are read no more. A batch that is
+retried overwrites its own version, so it gives the same events.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StreamingQuery
 
-from offerwise.operators.history import TRACKED
+from offerwise.operators.history import TRACKED, changes, event_of
 from offerwise.params import Params
+from offerwise.schemas import CLAIMS, conform
+from offerwise.session import cut
+from offerwise.streaming.ingest import params_of
 
+KEY = "dedupe_key"
 FLAGS = (
     "new_users_only",
     "first_order_only",
@@ -26,129 +35,185 @@ FLAGS = (
     "selected_products_only",
 )
 STATE = """
-    status STRING, discount_type STRING, discount_value DOUBLE, minimum_order DOUBLE,
-    maximum_discount DOUBLE, is_up_to BOOLEAN, minimum_order_known BOOLEAN, expiry_date BIGINT,
-    source_count BIGINT, new_users_only BOOLEAN, first_order_only BOOLEAN, app_only BOOLEAN,
-    selected_users_only BOOLEAN, selected_products_only BOOLEAN, existing_users_allowed BOOLEAN
+    dedupe_key STRING, status STRING, discount_type STRING, discount_value DOUBLE,
+    minimum_order DOUBLE, maximum_discount DOUBLE, is_up_to BOOLEAN, minimum_order_known BOOLEAN,
+    expiry_date TIMESTAMP, source_count BIGINT, new_users_only BOOLEAN, first_order_only BOOLEAN,
+    app_only BOOLEAN, selected_users_only BOOLEAN, selected_products_only BOOLEAN,
+    existing_users_allowed BOOLEAN
 """
-FIELDS = [part.split()[0] for part in STATE.split(",")]
+PAGES = "dedupe_key STRING, page STRING"
 EVENTS = """
     dedupe_key STRING, seq BIGINT, event STRING, status STRING, previous_status STRING,
     source_name STRING, changes ARRAY<STRING>
 """
+COMPACT = 16
+
+
+def running_terms(rows: DataFrame, params: Params) -> DataFrame:
+    """Claims and stored offers in arrival order, each with the offer's terms after it.
+
+    ``rows``: claims with ``stored`` (0 for the stored offer, else 1), ``page`` and
+    ``new_pages`` (pages a stored offer has; 1 where a claim's page is new to the offer).
+    """
+    c = F.col
+    order = ("stored", "seq")
+    ordered = Window.partitionBy(KEY).orderBy(*order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+
+    def within(group: str):
+        own = Window.partitionBy(KEY, group).orderBy(*order)
+        return own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def count(condition, over):
+        return F.coalesce(F.sum(F.coalesce(condition, F.lit(False)).cast("int")).over(over), F.lit(0))
+
+    official = F.coalesce(c("source_type") == "official", F.lit(False))
+    known = F.coalesce(c("discount_type") != "unknown", F.lit(False))
+    minimum = c("minimum_order_known") & c("minimum_order").isNotNull()
+    allowed = c("existing_users_allowed").isNotNull()
+    marked = rows.withColumns(
+        {
+            "_known": count(known, before),
+            "_allowed": count(allowed, before),
+            "_minimum": count(official & minimum, upto),
+            "_maximum": count(official & c("maximum_discount").isNotNull(), upto),
+            "_expiry": count(official & c("expiry_date").isNotNull(), upto),
+            "_official": count(official, upto),
+        }
+    )
+    # the first known kind counts, then official ones; a value starts anew with its kind
+    first_kind = known & (c("_known") == 0)
+    sets_kind = first_kind | (known & official)
+    starts = first_kind | (known & official & c("discount_value").isNotNull())
+    sets_allowed = allowed & (official | (c("_allowed") == 0))
+    marked = marked.withColumn("_value", count(starts, upto))
+    stated = F.max(F.when(minimum, c("minimum_order"))).over(within("_minimum"))
+    terms = {
+        "discount_type": F.coalesce(
+            F.last(F.when(sets_kind, c("discount_type")), True).over(upto), F.lit("unknown")
+        ),
+        "discount_value": F.first("discount_value", True).over(within("_value")),
+        "minimum_order": F.coalesce(stated, F.first("minimum_order").over(upto)),
+        "minimum_order_known": F.coalesce(F.first("minimum_order_known").over(upto), F.lit(False))
+        | (count(minimum, upto) > 0),
+        "maximum_discount": F.min("maximum_discount").over(within("_maximum")),
+        "is_up_to": F.max("is_up_to").over(within("_official")),
+        "expiry_date": F.min("expiry_date").over(within("_expiry")),
+        "existing_users_allowed": F.last(
+            F.when(sets_allowed, c("existing_users_allowed")), True
+        ).over(upto),
+        "source_count": F.sum("new_pages").over(upto),
+        **{
+            flag: F.when(count(c(flag), upto) > 0, True).otherwise(F.first(flag).over(upto))
+            for flag in FLAGS
+        },
+    }
+    kept = [KEY, "seq", "stored", "source_name", c("status").alias("_status")]
+    done = marked.select(*kept, *(value.alias(name) for name, value in terms.items()))
+    past = (c("expiry_date") < params.now_col()) | (c("_status") == "expired")
+    # expired is for good
+    return done.withColumn(
+        "status", F.when(count(past, upto) > 0, "expired").otherwise("unverified")
+    ).drop("_status")
+
+
+def events_of(terms: DataFrame) -> DataFrame:
+    """One event per claim of ``running_terms``."""
+    c = F.col
+    ordered = Window.partitionBy(KEY).orderBy("stored", "seq")
+    lagged = {f"was_{name}": F.lag(name).over(ordered) for name in TRACKED}
+    is_new = F.row_number().over(ordered) == 1
+    seen = terms.withColumns({**lagged, "_new": is_new}).where(c("stored") == 1)
+    diff = seen.withColumn("changes", changes("was_"))
+    moved = ~c("_new") & (c("was_status") != c("status"))
+    return diff.select(
+        KEY,
+        "seq",
+        event_of(c("_new"), c("changes"), c("was_status"), c("status")).alias("event"),
+        "status",
+        F.when(moved, c("was_status")).alias("previous_status"),
+        "source_name",
+        F.when(~c("_new") & (F.size("changes") > 0), c("changes")).alias("changes"),
+    )
 
 
-def shown(name: str, value) -> str:
-    """A tracked value as change texts print it."""
-    if value is None:
-        return "unknown"
-    if name == "expiry_date":
-        moment = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=value)
-        return moment.isoformat(timespec="milliseconds") + "Z"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, float) and value.is_integer():
-        return str(int(value))
-    return str(value)
-
-
-def merge_claim(offer: dict, claim: dict) -> None:
-    """Merge one later claim into an offer: official claims replace, others tighten."""
-    official = claim["source_type"] == "official"
-    kind, value = claim["discount_type"], claim["discount_value"]
-    if kind != "unknown" and (official or offer["discount_type"] == "unknown"):
-        was_unknown = offer["discount_type"] == "unknown"
-        offer["discount_type"] = kind
-        if was_unknown or value is not None:
-            offer["discount_value"] = value
-    elif offer["discount_value"] is None:
-        offer["discount_value"] = value
-
-    def settle(name: str, incoming, tighter) -> None:
-        if incoming is not None:
-            held = offer[name]
-            offer[name] = incoming if held is None or official else tighter(held, incoming)
-
-    if claim["minimum_order_known"] and claim["minimum_order"] is not None:
-        if not offer["minimum_order_known"]:
-            offer["minimum_order"] = None
-        settle("minimum_order", claim["minimum_order"], max)
-        offer["minimum_order_known"] = True
-    settle("maximum_discount", claim["maximum_discount"], min)
-    settle("expiry_date", claim["expiry_date"], min)
-    offer["is_up_to"] = claim["is_up_to"] if official else offer["is_up_to"] or claim["is_up_to"]
-    for flag in FLAGS:
-        if claim[flag]:
-            offer[flag] = True
-    allowed = claim["existing_users_allowed"]
-    if allowed is not None and (official or offer["existing_users_allowed"] is None):
-        offer["existing_users_allowed"] = allowed
-
-
-class OfferState(StatefulProcessor):
-    """Keeps each offer and reports what every claim changed."""
-
-    def __init__(self, now_micros: int) -> None:
-        self.now = now_micros
-        # parsed here, where a session runs; workers have none
-        self.schemas = [StructType.fromDDL(d) for d in (STATE, "page STRING", "seen BOOLEAN")]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.offer = handle.getValueState("offer", self.schemas[0])
-        self.pages = handle.getMapState("pages", *self.schemas[1:])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        held = self.offer.get()
-        offer = dict(zip(FIELDS, held)) if held else None
-        for chunk in rows:
-            out = []
-            clean = chunk.sort_values("seq").astype(object)
-            clean = clean.where(chunk.notna(), None)
-            for claim in clean.to_dict("records"):
-                before = dict(offer) if offer else None
-                page = (f"{claim['source_name']}|{claim['source_url']}",)
-                if offer is None:
-                    offer = {name: claim.get(name) for name in FIELDS}
-                    offer.update(status="unverified", source_count=0)
-                else:
-                    merge_claim(offer, claim)
-                if not self.pages.containsKey(page):
-                    self.pages.updateValue(page, (True,))
-                    offer["source_count"] += 1
-                if offer["expiry_date"] is not None and offer["expiry_date"] < self.now:
-                    offer["status"] = "expired"
-                out.append((key[0], claim["seq"], *self.event(before, offer, claim)))
-            yield pd.DataFrame(out, columns=[p.split()[0] for p in EVENTS.split(",")])
-        if offer is not None:
-            self.offer.update(tuple(offer[name] for name in FIELDS))
-
-    @staticmethod
-    def event(before: dict | None, after: dict, claim: dict) -> tuple:
-        if before is None:
-            return ("discovered", after["status"], None, claim["source_name"], None)
-        changes = [
-            f"{label}: {shown(name, before[name])} -> {shown(name, after[name])}"
-            for name, label in TRACKED.items()
-            if before[name] != after[name]
-        ]
-        moved = before["status"] != after["status"]
-        event = "rediscovered"
-        if changes:
-            event = "status_changed" if moved else "terms_changed"
-        previous = before["status"] if moved else None
-        return (event, after["status"], previous, claim["source_name"], changes or None)
-
-    def close(self) -> None:
-        pass
-
-
-def observe_stream(claims: DataFrame, params: Params) -> DataFrame:
-    """Change events of a stream of claims, in arrival order per offer."""
-    micros = int(params.now_utc.timestamp() * 1_000_000)
-    shaped = claims.withColumn("expiry_date", F.unix_micros("expiry_date"))
-    return shaped.groupBy("dedupe_key").transformWithStateInPandas(
-        statefulProcessor=OfferState(micros),
-        outputStructType=StructType.fromDDL(EVENTS),
-        outputMode="Append",
-        timeMode="None",
+def _read(spark: SparkSession, store: str, name: str, schema: str, number: int) -> DataFrame:
+    """All rows of the versions before ``number`` that still count, with their version."""
+    base = max(0, (number - 1) // COMPACT * COMPACT)
+    found = [
+        spark.read.schema(schema).parquet(f"{store}/{name}/v{v}").withColumn("_v", F.lit(v))
+        for v in range(base, number)
+    ]
+    empty = spark.createDataFrame([], f"{schema}, _v INT")
+    return reduce(DataFrame.unionByName, found, empty)
+
+
+def read_state(spark: SparkSession, store: str, number: int) -> DataFrame:
+    """The offers as the micro-batches before ``number`` left them."""
+    rows = _read(spark, store, "offers", STATE, number)
+    last = rows.groupBy(KEY).agg(F.max("_v").alias("_v"))
+    return rows.join(last, [KEY, "_v"]).drop("_v")
+
+
+def read_events(spark: SparkSession, store: str) -> DataFrame:
+    files = spark.read.schema(EVENTS).option("recursiveFileLookup", True)
+    return files.parquet(f"{store}/events")
+
+
+def observe_batch(
+    claims: DataFrame, spark: SparkSession, store: str, number: int, params: Params
+) -> None:
+    """Append the events of one micro-batch and keep the offers it touched."""
+    c = F.col
+    page = F.concat_ws("|", "source_name", "source_url")
+    claims = cut(conform(claims, CLAIMS).withColumn("page", page))
+    touched = claims.select(KEY).distinct()
+    offers = read_state(spark, store, number)
+    pages = _read(spark, store, "pages", PAGES, number).drop("_v").distinct()
+    once = Window.partitionBy(KEY, "page").orderBy("seq")
+    known = pages.withColumn("_seen", F.lit(True))
+    new_page = c("_seen").isNull() & (F.row_number().over(once) == 1)
+    came = claims.join(known, [KEY, "page"], "left").withColumns(
+        {"stored": F.lit(1), "new_pages": new_page.cast("bigint"), "status": F.lit(None).cast("string")}
+    )
+    held = offers.join(touched, KEY, "left_semi").withColumns(
+        {"stored": F.lit(0), "new_pages": c("source_count")}
+    )
+    rows = came.drop("_seen").unionByName(held.drop("source_count"), allowMissingColumns=True)
+    terms = cut(running_terms(rows, params))
+    events_of(terms).write.mode("overwrite").parquet(f"{store}/events/v{number}")
+
+    latest = F.row_number().over(
+        Window.partitionBy(KEY).orderBy(c("stored").desc(), c("seq").desc())
     )
+    after = terms.withColumn("_place", latest).where("_place = 1")
+    new_offers = after.select(*offers.columns)
+    new_pages = claims.select(KEY, "page").distinct()
+    if number % COMPACT == 0:
+        new_offers = offers.join(touched, KEY, "left_anti").unionByName(new_offers)
+        new_pages = pages.union(new_pages).distinct()
+    new_offers.write.mode("overwrite").parquet(f"{store}/offers/v{number}")
+    new_pages.write.mode("overwrite").parquet(f"{store}/pages/v{number}")
+
+
+def observe_stream(
+    stream: DataFrame,
+    to_claims: Callable[[DataFrame], DataFrame],
+    store: str,
+    params: Params | Callable[[int], Params],
+    available_now: bool = True,
+    every: str = "30 minutes",
+) -> StreamingQuery:
+    """Observe every claim of a stream; ``read_events`` has what it wrote.
+
+    ``params`` may be a function of the micro-batch's number, so that the clock moves. The
+    claims of one offer in one micro-batch are sorted by one task, which spills.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        observe_batch(to_claims(batch), batch.sparkSession, store, number, params_of(params, number))
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{store}/_progress")
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    return writer.trigger(**trigger).start()

@@ -1,5 +1,9 @@
 """Streams against the batch results and a sequential fold."""
 
+import datetime as dt
+from dataclasses import replace
+
+import pytest
 from conftest import NOW
 from test_merge import claim, fold, frame, random_claims
 
@@ -7,7 +11,7 @@ from offerwise.operators import history
 from offerwise.plans import discovery
 from offerwise.schemas import CLAIMS, names
 from offerwise.streaming.ingest import read_store, upsert_stream
-from offerwise.streaming.observations import observe_stream
+from offerwise.streaming.observations import observe_stream, read_events
 
 
 def files(spark, folder, parts):
@@ -44,12 +48,7 @@ def test_every_claim_is_observed(spark, params, tmp_path):
         claim(6, "CODE:B1CD", new_users_only=True),
     ]
     stream = files(spark, str(tmp_path / "in"), [rows])
-    query = (
-        observe_stream(stream, params).writeStream.format("memory").queryName("seen")
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    found = {r.seq: r for r in spark.table("seen").collect()}
+    found = {r.seq: r for r in observed(stream, params, tmp_path)}
     assert [found[i].event for i in range(1, 7)] == [
         "discovered", "rediscovered", "terms_changed", "terms_changed", "status_changed", "discovered",
     ]
@@ -59,18 +58,57 @@ def test_every_claim_is_observed(spark, params, tmp_path):
     assert found[5].previous_status == "unverified"
 
 
-def test_observed_state_is_the_fold(spark, params, tmp_path):
-    rows = random_claims(400, 20, seed=5)
-    stream = files(spark, str(tmp_path / "in"), [rows])
-    query = (
-        observe_stream(stream, params).writeStream.format("memory").queryName("folded")
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    last = {}
-    for row in spark.table("folded").orderBy("seq").collect():
-        last[row.dedupe_key] = row.status
-    assert last == {k: v["status"] for k, v in fold(rows).items()}
+def observed(stream, params, tmp_path):
+    store = str(tmp_path / "observations")
+    observe_stream(stream, lambda batch: batch, store, params).awaitTermination()
+    return read_events(stream.sparkSession, store).collect()
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_observed_state_is_the_fold_after_every_claim(spark, params, tmp_path, parts):
+    rows = random_claims(240, 4, seed=5)
+    step = len(rows) // parts
+    stream = files(spark, str(tmp_path / "in"), [rows[i : i + step] for i in range(0, len(rows), step)])
+    events = {r.seq: r for r in observed(stream, params, tmp_path)}
+    assert len(events) == len(rows)
+    seen, before = [], {}
+    for row in rows:
+        seen.append(row)
+        after = fold([r for r in seen if r["dedupe_key"] == row["dedupe_key"]])[row["dedupe_key"]]
+        event, was = events[row["seq"]], before.get(row["dedupe_key"])
+        assert event.status == after["status"]
+        told = {t.split(": ")[0] for t in event.changes or ()}
+        if was is None:
+            assert event.event == "discovered"
+        else:
+            for name, label in history.TRACKED.items():
+                if name in after and name in was:
+                    assert (label in told) == (was[name] != after[name]), (name, was, after, event)
+        before[row["dedupe_key"]] = dict(after)
+
+
+def test_a_hot_offer_in_reverse_and_over_batches(spark, params, tmp_path):
+    rows = [claim(i, "CODE:A1BC", discount_value=800.0, source_name=f"s{i % 7}") for i in range(3000)]
+    batches = [rows[:1000][::-1], rows[1000:2000][::-1], rows[2000:][::-1]]
+    events = sorted(observed(files(spark, str(tmp_path / "in"), batches), params, tmp_path), key=lambda r: r.seq)
+    assert [e.seq for e in events] == list(range(3000))
+    assert [e.seq for e in events if e.event == "discovered"] == [0]
+    assert [e.seq for e in events if e.event == "terms_changed"] == [1, 2, 3, 4, 5, 6]
+
+
+def test_the_clock_moves_between_batches(spark, params, tmp_path):
+    rows = [
+        claim(1, "CODE:A1BC", expiry_date=NOW + dt.timedelta(days=1)),
+        claim(2, "CODE:A1BC"),
+        claim(3, "CODE:A1BC"),
+    ]
+    later = lambda number: replace(params, now=NOW + dt.timedelta(days=number))
+    events = observed(files(spark, str(tmp_path / "in"), [[r] for r in rows]), later, tmp_path)
+    assert [e.status for e in sorted(events, key=lambda r: r.seq)] == ["unverified", "unverified", "expired"]
+    store = str(tmp_path / "store")
+    stream = files(spark, str(tmp_path / "in2"), [[r] for r in rows])
+    upsert_stream(stream, lambda batch: batch, store, later).awaitTermination()
+    assert read_store(spark, store, 2).offers.first().status == "expired"
 
 
 def test_observation_log_is_appended_by_day(spark, params, tmp_path):
