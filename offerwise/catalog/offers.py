@@ -139,6 +139,23 @@ def upsert_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""{sql.EVIDENCE}, {sql.merged()} SELECT dedupe_key, source_count,
+    independent AS independent_sources, 'discovered' AS events,
+    {_STATUS.format(m='merged')} AS status FROM merged JOIN evid USING (dedupe_key)"""
+)
+def discovery_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cycle over all claims: upsert, sweep, rescoring, and each offer's events."""
+    step = discovery.discovery_cycle(
+        discovery.empty_store(spark), data.claims(spark, sf_dir), PARAMS
+    )
+    told = F.array_join(F.sort_array(F.collect_set("event")), ",").alias("events")
+    log = step.observations.groupBy("dedupe_key").agg(told)
+    return step.offers.join(log, "dedupe_key", "left").select(
+        "dedupe_key", big("source_count"), big("independent_sources"), "events", "status"
+    )
+
+
 def _num(x: str) -> str:
     return f"coalesce(regexp_replace({x}::VARCHAR, '\\.0$', ''), 'unknown')"
 

@@ -16,7 +16,7 @@ from offerwise.operators import dedupe, history
 from offerwise.plans import discovery
 from offerwise.sources import links, pages, posts, registry, robots, search
 from offerwise.sources.candidates import arrival, with_source
-from offerwise.sources.html import raw_parts
+from offerwise.sources.html import anchors, raw_parts
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))"
 
@@ -545,3 +545,18 @@ def latest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five newest observations of every offer."""
     newest = history.latest_observations(event_log(spark, sf_dir), 5)
     return newest.select("observation_id", "dedupe_key", "event", big("place"))
+
+
+@query(
+    """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+    len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS links FROM pages"""
+)
+def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and numbers of links of the given pages, read by the tokeniser."""
+    c = F.col
+    given = data.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    titles = raw_parts(given).where("kind = 'body'").select("page_id", "title")
+    links = anchors(given).groupBy("page_id").agg(big(F.count(F.lit(1)), "links"))
+    return titles.join(links, "page_id", "left").select(
+        "page_id", "title", F.coalesce(c("links"), F.lit(0).cast("bigint")).alias("links")
+    )
