@@ -548,7 +548,9 @@ def latest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+    """SELECT page_id, replace(replace(replace(replace(replace(
+      regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'),
+      '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS title,
     len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS links FROM pages"""
 )
 def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
