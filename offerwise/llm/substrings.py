@@ -42,8 +42,9 @@ ANCHOR = 100
 VARIANTS = 512
 #: Windows of one range of a split anchor.
 RANGE = 16
-#: Bytes of snippets that a task merges at a time.
-BATCH_BYTES = 1 << 20
+#: Bytes of snippets that a task merges at a time, and bytes of one task.
+BATCH_BYTES = 1 << 18
+TASK_BYTES = 16 << 20
 _PLACE_BITS = 22
 
 
@@ -331,7 +332,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bytes_ = snippets.select("grp", "variant", "n", "bytes").dropDuplicates(["grp", "variant"])
     bytes_ = stage(bytes_.join(sizes, "grp"), "group-bytes")
     weight = bytes_.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, weight // (4 * BATCH_BYTES))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, weight // TASK_BYTES)
     runs = "grp bigint, variant bigint, runs array<struct<a:bigint,b:bigint>>"
     small = (
         bytes_.filter(F.col("kinds") <= VARIANTS)
