@@ -228,6 +228,18 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""{_EVENTS} SELECT events.dedupe_key, event, title, new_status AS current_status
+    FROM events JOIN merged USING (dedupe_key)"""
+)
+def observed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of an upsert with the offers it speaks of."""
+    step = _upserted(spark, sf_dir)
+    return history.with_offer(step.observations, step.offers).select(
+        "dedupe_key", "event", "title", "current_status"
+    )
+
+
 @query(f"{_EVENTS} SELECT dedupe_key, event, coalesce(nullif(changes, ''), 'none') AS changes FROM events")
 def term_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upserted(spark, sf_dir).result.select(

@@ -547,10 +547,13 @@ def latest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("observation_id", "dedupe_key", "event", big("place"))
 
 
-@query(
-    """SELECT page_id, replace(replace(replace(replace(replace(
+_TITLE = """replace(replace(replace(replace(replace(
       regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'),
-      '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS title,
+      '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')"""
+
+
+@query(
+    f"""SELECT page_id, {_TITLE} AS title,
     len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS links FROM pages"""
 )
 def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,3 +565,33 @@ def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.join(links, "page_id", "left").select(
         "page_id", "title", F.coalesce(c("links"), F.lit(0).cast("bigint")).alias("links")
     )
+
+
+@query(
+    f"""SELECT page_id, contains(lower({_TITLE}), 'tion') OR contains(lower(url), 'tion')
+      AS about_brand FROM pages"""
+)
+def about_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that tell by title or address that they are about the brand."""
+    given = data.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    bodies = raw_parts(given).where("kind = 'body'")
+    named = replace(PARAMS, brand="tion")
+    return bodies.select("page_id", pages.about_brand(named).alias("about_brand"))
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'chromium' ELSE 'http' END AS via,
+    len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS candidates FROM pages
+    WHERE regexp_matches(html, '<a [^>]*href=')"""
+)
+def pick_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of direct and rendered copies; the direct copy of every third page, and
+    the rendered copy of another third, holds none."""
+    c = F.col
+    given = data.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    direct = given.where(c("page_id") % 3 != 1).withColumn("via", F.lit("http"))
+    rendered = given.where(c("page_id") % 3 != 2).withColumn("via", F.lit("chromium"))
+    found = anchors(direct.unionByName(rendered))
+    return pages.pick_rendered(found).groupBy("page_id", "via").agg(
+        big(F.count(F.lit(1)), "candidates")
+    )
