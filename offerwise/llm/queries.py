@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerwise.llm import decontaminate, fingerprints, lines, minhash, packing, substrings, toxicity, urls, warc
+from offerwise.llm import decontaminate, fingerprints, lines, minhash, ordering, packing, substrings, toxicity, urls, warc
 from offerwise.llm.common import table
 from offerwise.llm.oracles import ORACLES as SQL
 from offerwise.session import carry_code
@@ -36,6 +36,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.training_order(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from offerwise.llm import (
     lines,
     minhash,
     oracles,
+    ordering,
     packing,
     substrings,
     toxicity,
@@ -162,8 +164,9 @@ def block_set(text):
     }
 
 
-@pytest.mark.parametrize("ranges", [1, 7])
-def test_fingerprints_against_sets(spark, monkeypatch, ranges):
+@pytest.mark.parametrize(("ranges", "quantiles"), [(1, 128), (7, 128), (7, 2)])
+def test_fingerprints_against_sets(spark, monkeypatch, ranges, quantiles):
+    monkeypatch.setattr(fingerprints, "QUANTILES", quantiles)
     texts = [r for i, r in enumerate(odd_texts()) if r[0] not in {x[0] for x in odd_texts()[:i]}]
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", max(1, len(texts) // ranges))
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs_of(spark, texts)).collect()}
@@ -265,6 +268,36 @@ def test_packing_plan_holds_every_piece():
         assert sum(bins.values()) <= least * 1.03 + 2
 
 
+def test_training_order_round_trip_and_resume(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    folder = f"file://{tmp_path}/shards"
+    docs = odd.coalesce(1)
+    rows = ordering.ordered(docs, length=64, key=7)
+    shards = ordering.write_shards(rows, folder, length=64, shard_rows=10).collect()
+    back = sorted(ordering.read_shards(spark, folder, 0, 64, 10).collect(), key=lambda r: r["slot"])
+    n = len(back)
+    assert [r["slot"] for r in back] == list(range(n)) == sorted(r["index"] for r in back)
+    assert sum(s["records"] for s in shards) == n and len(shards) == -(-n // 10)
+    index = np.array([r["index"] for r in back])
+    assert ordering.slots(index, n, 7).tolist() == list(range(n))
+    whole = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    want = []
+    for r in docs.select("text").collect():
+        want += [*whole.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+    ids = b"".join(bytes(r["ids"]) for r in sorted(back, key=lambda r: r["index"]))
+    assert np.frombuffer(ids, "<u4").tolist() == want
+    later = ordering.read_shards(spark, folder, 57, 64, 10).collect()
+    assert sorted(r["slot"] for r in later) == list(range(57, n))
+
+
+def test_slots_are_a_permutation():
+    for n in (1, 2, 3, 5, 64, 1000, 4097):
+        for key in (0, 1, 99):
+            assert sorted(ordering.slots(np.arange(n), n, key).tolist()) == list(range(n))
+    assert ordering.slots(np.arange(1000), 1000, 1).tolist() != ordering.slots(np.arange(1000), 1000, 2).tolist()
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -386,6 +419,7 @@ def test_empty_tables(spark, items):
     assert decontaminate.contamination(docs_of(spark, [(1, "a")]), no_items).count() == 1
     assert minhash.near_duplicates(docs).count() == 0
     assert packing.pack(docs).count() == 0
+    assert ordering.training_order(docs).count() == 0
     assert toxicity.toxicity(docs, labels).count() == 0
     assert fingerprints.fingerprints(docs).count() == 0
     assert substrings.remove_repeats(docs).count() == 0
