@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerwise.llm.common import bounded_broadcast, same, stage, text_of
+from offerwise.llm.common import bounded_broadcast, same, short_batches, stage, text_of
 from offerwise.llm.shingles import mix, normalised, shingle_sets
 
 BANDS = 22
@@ -151,6 +151,7 @@ def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row per document row: doc_id, text_hash, n_shingles, component_id."""
+    short_batches(docs.sparkSession)
     own = docs.select(
         "doc_id",
         F.xxhash64(text_of("text")).alias("text_hash"),
@@ -237,17 +238,20 @@ def near_duplicates(
     at = stage(at, "placed")
     mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = stage(mixed.filter("lo <> hi").select("bucket"), "mixed")
-    at = stage(at.join(mixed, "bucket"), "mixed-members")
+    at = at.join(mixed, "bucket").join(classes.select("class", "bands"), "class")
+    at = stage(at, "mixed-members")
+    # a pair comes up in the first of its common buckets only
+    once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")
     across = (
         at.alias("x")
         .join(
             at.alias("y"),
             (F.col("x.bucket") == F.col("y.bucket"))
             & (F.col("x.comp") < F.col("y.comp"))
-            & may_link("x", "y"),
+            & may_link("x", "y")
+            & once,
         )
         .select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-        .distinct()
     )
     known = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = stage(across.join(known, ["a", "b"], "left_anti"), "cross-pairs")
