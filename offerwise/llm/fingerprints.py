@@ -33,7 +33,9 @@ PART = 8
 #: Peeling rounds, each over one part.
 ROUNDS = 15
 #: Documents in one range, and paragraph digests in one task.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
+#: Ranges that are cut at quantiles; more ranges divide each of these evenly.
+QUANTILES = 128
 TASK_DIGESTS = 150_000
 
 
@@ -129,16 +131,19 @@ def peel(cells: DataFrame, keys: list[str], rounds: int = ROUNDS) -> DataFrame:
     )
 
 
-def likeness(pairs: DataFrame) -> DataFrame:
+def likeness(pairs: DataFrame, much: bool = False) -> DataFrame:
     """(row, side, likeness) of (row, side, a, b) rows, a and b the digests of two texts.
 
     Sketches of ``PART`` cells first; those that don't peel out again with room for every
-    digest, then each time twice as large.
+    digest, then each time twice as large. Texts that differ ``much`` get the room at once.
     """
     spark = pairs.sparkSession
     folder = shared_folder(spark, "likeness")
     total = F.size("a") + F.size("b")
-    left = pairs.withColumns({"part": F.lit(PART).cast("bigint"), "seed": F.lit(0)})
+    # three parts of this size have one and a half cells for each digest of either text
+    room = F.ceil(total / 2) + 4
+    first = F.greatest(F.lit(PART), room) if much else F.lit(PART)
+    left = pairs.withColumns({"part": first.cast("bigint"), "seed": F.lit(0)})
     keys = ["row", "side", "part", "seed"]
     level = 0
     while True:
@@ -161,8 +166,7 @@ def likeness(pairs: DataFrame) -> DataFrame:
         if stuck.isEmpty():
             break
         level += 1
-        # three parts of this size have one and a half cells for each digest of either text
-        again = F.greatest(F.col("part") * 2, F.ceil(total / 2) + 4).cast("bigint")
+        again = F.greatest(F.col("part") * 2, room).cast("bigint")
         left = left.join(stuck, ["row", "side"], "left_semi").withColumns(
             {"part": again, "seed": F.lit(level)}
         )
@@ -191,21 +195,30 @@ def sketch_text(cells: Column) -> Column:
 
 
 def followed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text, digests, next_text, next_digests): every document with the next in
-    ascending doc_id, the last with the first.
+    """(row, doc_id, text, next_text): every document with the next in ascending doc_id, the
+    last with the first.
 
     Documents are dealt into ranges of their ids. Each range also gets a copy of the first
     row of the range that follows, so no row has to look beyond its range.
     """
     own = docs.select("doc_id", text_of("text").alias("text"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
-    count = own.count()
-    ranges = max(1, count // RANGE_ROWS)
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = own.approxQuantile("doc_id", shares, 0.1 / ranges) if shares else []
-    cut = F.array(*(F.lit(int(c)) for c in sorted(set(cuts)))).cast("array<bigint>")
-    place = F.size(F.filter(cut, lambda c: c <= F.coalesce("doc_id", F.lit(-(2**63)))))
-    own = own.withColumn("range", place.cast("bigint"))
+    size = own.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    size = size.first()
+    ranges = max(1, size["n"] // RANGE_ROWS)
+    coarse = min(ranges, QUANTILES)
+    fine = -(-ranges // coarse)
+    shares = [i / coarse for i in range(1, coarse)]
+    cuts = own.approxQuantile("doc_id", shares, 0.1 / coarse) if shares else []
+    ends = sorted({int(c) for c in cuts} | {size["lo"] or 0, (size["hi"] or 0) + 1})
+    cut = F.array(*map(F.lit, ends)).cast("array<bigint>")
+    # the quantile's range, then the part of it; null ids come first
+    nth = F.size(F.filter(cut, lambda c: c <= F.col("doc_id"))).cast("bigint")
+    lo, hi = F.get(cut, F.col("nth").cast("int") - 1), F.get(cut, F.col("nth").cast("int"))
+    part = F.floor((F.col("doc_id") - lo) / (hi - lo) * fine)
+    place = F.col("nth") * fine + F.least(part, F.lit(fine - 1))
+    own = own.withColumn("nth", nth).withColumn("range", F.coalesce(place, F.lit(0)).cast("bigint"))
+    own = own.drop("nth")
     id_order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_hash")
     # one row per range
     firsts = own.groupBy("range").agg(F.min(id_order).alias("first"))
@@ -226,7 +239,6 @@ def followed(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text", "text_hash", F.col("ahead").alias("range"), F.lit(1).alias("copy"))
     )
     both = own.withColumn("copy", F.lit(0)).unionByName(copies)
-    both = both.select("*", F.struct("text", digests(F.col("text")).alias("digests")).alias("t"))
     order = Window.partitionBy("range").orderBy(
         "copy", F.col("doc_id").asc_nulls_first(), "text_hash"
     )
@@ -234,13 +246,10 @@ def followed(docs: DataFrame) -> DataFrame:
         (F.col("range") * 2**40 + F.row_number().over(order)).alias("row"),
         "doc_id",
         "copy",
-        "t",
-        F.lead("t").over(order).alias("next"),
-    ).filter("copy = 0")
-    return rows.select(
-        "row", "doc_id", F.col("t.text").alias("text"), F.col("t.digests").alias("digests"),
-        F.col("next.text").alias("next_text"), F.col("next.digests").alias("next_digests"),
-    )
+        "text",
+        F.lead("text").over(order).alias("next_text"),
+    )
+    return rows.filter("copy = 0").drop("copy")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -258,9 +267,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             "doc_id",
             F.length("text").cast("bigint").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
-            F.col("digests").alias("a"),
+            digests(F.col("text")).alias("a"),
             digests(F.col("edited")).alias("e"),
-            F.col("next_digests").alias("b"),
+            digests(F.col("next_text")).alias("b"),
         ),
         "versions",
     )
@@ -270,7 +279,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             F.struct(F.lit("next").alias("side"), F.col("b").alias("b")),
         )
     )
-    near = likeness(rows.select("row", "a", sides.alias("s")).select("row", "a", "s.side", "s.b"))
+    pairs = rows.select("row", "a", sides.alias("s")).select("row", "a", "s.side", "s.b")
+    # half of an edited text is another's, and so is all of the next document
+    near = likeness(pairs, much=True)
     near = near.groupBy("row").agg(
         F.max(F.when(F.col("side") == "edited", F.col("likeness"))).alias("near_edited"),
         F.max(F.when(F.col("side") == "next", F.col("likeness"))).alias("near_next"),
