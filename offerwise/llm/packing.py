@@ -43,9 +43,11 @@ CACHE_WORDS = 250_000
 class WordTokenizer:
     """Byte-level BPE ids of whole texts, words looked up in a bounded cache.
 
-    No token of this vocabulary spans a single blank between other characters, so texts are
-    cut there. Texts with runs of blanks, and any with the special token, are encoded whole.
-    Ranks are the same vocabulary as the JSON file, in the form of the faster library.
+    Texts are cut before every blank, which changes no ids unless a token spans the cut. Texts
+    that hold the string of a token with a blank behind its first byte (in this vocabulary blank
+    and no-break blank in turn, as ``&nbsp; &nbsp;`` leaves them), runs of blanks or the special
+    token are encoded whole. Ranks are the same vocabulary as the JSON file, in the form of the
+    faster library.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -60,11 +62,17 @@ class WordTokenizer:
         self.words = tiktoken.Encoding(
             "words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         )
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        # a character that such a token holds only in part is left out, so the rest still occurs
+        across = {t.decode("utf-8", "ignore") for t in ranks if b" " in t[1:]}
+        self.uncut: list[str] = []
+        for string in sorted({"  ", *special, *across}, key=len):
+            if not any(short in string for short in self.uncut):
+                self.uncut.append(string)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        if "  " in text or any(s in text for s in self.special):
+        if any(s in text for s in self.uncut):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
         first, *rest = text.split(" ")
         words = [first, *(" " + word for word in rest)]

@@ -253,6 +253,18 @@ def test_packing_round_trip(odd):
     assert len(sequences) <= -(-total // packing.CAPACITY) + 2
 
 
+def test_word_ids_where_tokens_span_blanks():
+    tokenizer = packing.WordTokenizer(*packing.tokenizer_paths())
+    assert tokenizer.ids("a \xa0 \xa0 b").tolist() == [64, 11504, 275]
+    rng = random.Random(5)
+    parts = [" ", "\xa0", " \xa0", "\xa0 ", "\n", "a", "menu", "home", "'s", "1", "\u00e9", "!"]
+    texts = ["menu \xa0 \xa0 \xa0 home", "\xa0 \xa0 \xa0", " \xa0" * 17 + "x"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(5000)]
+    for text in texts:
+        want = tokenizer.whole.encode(text, add_special_tokens=False).ids
+        assert tokenizer.ids(text).tolist() == want, text
+
+
 def test_packing_plan_holds_every_piece():
     rng = random.Random(2)
     for size in (1, 50, 5000):
