@@ -22,7 +22,7 @@ CSV_COLUMNS = (
     "effectiveDiscountAtTarget targetMatch potentialTargetMatch uncertaintyReason newUsersOnly "
     "appOnly selectedUsersOnly selectedProductsOnly firstOrderOnly expiryDate firstSeenAt "
     "lastSeenAt lastValidatedAt validationMethod validationNotes sourceCount independentSources "
-    "sources"
+    "sources lineageKey"
 ).split()
 
 VALID_NOTE = (
@@ -31,6 +31,10 @@ VALID_NOTE = (
 )
 
 LINEAGE = ("name", "url", "type", "discoveredAt", "lastSeenAt", "reportedExpired")
+NESTED_TYPE = (
+    "array<struct<name:string,url:string,type:string,discoveredAt:string,lastSeenAt:string,"
+    "reportedExpired:boolean>>"
+)
 
 
 def source_lineage(sources: DataFrame) -> DataFrame:
@@ -67,10 +71,11 @@ def source_summary(sources: DataFrame, limit: int = 6) -> DataFrame:
 
 
 def nested_sources(offers: DataFrame, sources: DataFrame, params: Params) -> DataFrame:
-    """Each offer's lineage as an array.
+    """Each offer's lineage as an array, gathered in one row.
 
     With ``max_nested_sources`` set, offers above it get none here; their complete lineage
-    is in the lineage table that is written with every report.
+    is in the lineage table that is written with every report. Written reports call this
+    only when it is set.
     """
     limit = params.max_nested_sources
     small = (offers if limit is None else offers.where(F.col("source_count") <= limit)).select(KEY)
@@ -181,10 +186,14 @@ def _csv_text(value: Column, kind: str) -> Column:
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
-    """Rows as the 30 text columns of the CSV report; empty text for null."""
+    """Rows as the text columns of the CSV report; empty text for null.
+
+    ``lineageKey`` finds the offer's rows in the lineage table.
+    """
     joined = F.array_join(
         F.transform("sources", lambda s: F.concat(s["name"], F.lit("|"), s["url"])), " ; "
     )
+    rows = rows.withColumn("lineageKey", F.col(KEY))
     kinds = dict(rows.dtypes)
     cells = [
         F.coalesce(
@@ -208,24 +217,30 @@ def write_reports(ranked: DataFrame, sources: DataFrame, params: Params, folder:
 
     ``latest_json``/``latest_csv`` and ``valid_json``/``valid_csv`` are folders of
     part files in rank order, ``summary_json`` holds counts and target settings, and
-    ``source_lineage`` is every offer's complete lineage as Parquet.
+    ``source_lineage`` is every offer's complete lineage as Parquet, by offer and arrival.
+    Rows name their offer in it by ``lineageKey`` and nest sources only where
+    ``max_nested_sources`` asks for it.
     """
     # the sorted rows feed five outputs, so they are computed once
     held = cut(ranked.orderBy(*rank_order()))
-    nested = nested_sources(held, sources, params)
+    nesting = params.max_nested_sources is not None
+    nested = nested_sources(held, sources, params) if nesting else None
+    no_sources = F.lit(None).cast(NESTED_TYPE)
 
     def in_order(df: DataFrame) -> DataFrame:
         return df.orderBy(*rank_order())
 
     def rows_of(df: DataFrame) -> DataFrame:
-        with_sources = in_order(df.join(nested, KEY, "left"))
+        with_sources = in_order(
+            df.join(nested, KEY, "left") if nesting else df.withColumn("sources", no_sources)
+        )
         # report_rows keeps its input order; the nested lineage rides along
         return report_rows(with_sources, params, extra=("sources",))
 
     valid = held.where(F.col("status") == "valid")
     for name, part in (("latest", held), ("valid", valid)):
         rows = rows_of(part)
-        rows.drop(KEY).write.mode("overwrite").option("ignoreNullFields", "false").json(
+        rows.withColumnRenamed(KEY, "lineageKey").write.mode("overwrite").option("ignoreNullFields", "false").json(
             f"{folder}/{name}_json"
         )
         (
@@ -236,7 +251,9 @@ def write_reports(ranked: DataFrame, sources: DataFrame, params: Params, folder:
             .option("emptyValue", "")
             .csv(f"{folder}/{name}_csv")
         )
-    source_lineage(sources).write.mode("overwrite").parquet(f"{folder}/source_lineage")
+    # arrival is part of the range key, so one offer's sources spread over tasks
+    by_arrival = source_lineage(sources).orderBy(KEY, "arrived_at", "first_seq")
+    by_arrival.write.mode("overwrite").parquet(f"{folder}/source_lineage")
     report_summary(held, params).write.mode("overwrite").option(
         "ignoreNullFields", "false"
     ).json(f"{folder}/summary_json")

@@ -50,7 +50,8 @@ class Params:
     # there are never more than ``hot_share`` hot keys and they may be broadcast
     hot_share: int = 4096
     hot_min_rows: int = 1_000_000
-    # off unless set: offers with more sources keep them only in the lineage table
+    # written reports: offers with at most so many sources also nest them in their row;
+    # off unless set, as the lineage table next to each report holds all sources as rows
     max_nested_sources: int | None = None
 
     extra_source_urls: tuple[str, ...] = field(default=())

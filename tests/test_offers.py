@@ -350,6 +350,20 @@ def test_files(spark, params, tmp_path):
     assert head["generatedAtIST"] == "2026-08-19 20:30 IST"
 
 
+def test_written_reports_gather_no_sources_by_default(spark, params, tmp_path, monkeypatch):
+    gathered = []
+    nested = report.nested_sources
+    monkeypatch.setattr(report, "nested_sources", lambda *a: gathered.append(1) or nested(*a))
+    many = [source("ONE", f"d{i}.in", first_seq=9 - i) for i in range(5)]
+    report_plan.publish(make(spark, OFFERS, [offer("ONE", status="valid")]), make(spark, SOURCES, many), params, str(tmp_path))
+    assert not gathered
+    row = spark.read.json(str(tmp_path / "latest_json")).first()
+    assert row.sourceCount == 5 and row.lineageKey == "CODE:ONE"
+    assert spark.read.option("header", True).csv(str(tmp_path / "latest_csv")).first().lineageKey == "CODE:ONE"
+    lineage = spark.read.parquet(str(tmp_path / "source_lineage")).where(f"dedupe_key = '{row.lineageKey}'")
+    assert [r.name for r in lineage.collect()] == ["d4.in", "d3.in", "d2.in", "d1.in", "d0.in"]
+
+
 def test_source_summary_keeps_the_first_six(spark):
     rows = [source("A", f"d{i}.in", first_seq=i) for i in (8, 2, 3, 1, 5, 6, 7, 4)]
     found = report.source_summary(make(spark, SOURCES, rows)).first()
