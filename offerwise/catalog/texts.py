@@ -307,7 +307,8 @@ _DOC_TITLE = "CASE WHEN length({t}) <= 120 THEN {t} ELSE left({t}, 117) || '...'
       END AS dedupe_key FROM titled"""
 )
 def dedupe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of offers titled by documents, with and without codes."""
+    """Keys of offers titled by documents, with and without codes, by the title's first 90
+    characters, as the reference has them."""
     c = F.col
     k = c("doc_id")
     kinds = F.array(*map(F.lit, ("flat", "percentage", "sale", "cashback", "unknown")))
@@ -322,7 +323,7 @@ def dedupe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 9, F.concat(F.lit("doc "), k.cast("string"))).alias("code"),
     )
     titled = shaped.withColumn("title", text_fn.title_of(c("raw_text")))
-    return titled.select("doc_id", "title", key_of().alias("dedupe_key"))
+    return titled.select("doc_id", "title", key_of(90).alias("dedupe_key"))
 
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerwise.functions.codes import normalise_code
-from offerwise.functions.text import number_text
+from offerwise.functions.text import number_text, title_of
 from offerwise.operators.skew import split_join
 from offerwise.params import Params
 from offerwise.session import cut
@@ -37,23 +37,23 @@ def cycle_score() -> Column:
     )
 
 
-def dedupe_key() -> Column:
-    """``CODE:<code>``, or ``OFFER:`` and a fingerprint of the terms when there is no code."""
+def dedupe_key(chars: int | None = None) -> Column:
+    """``CODE:<code>``, or ``OFFER:`` and a fingerprint of the terms when there is no code.
+
+    The cleaned title is one of the terms, or the whole text where the title is its cut form.
+    With ``chars`` only so many characters of the title count.
+    """
     c = F.col
     code = normalise_code(c("code"))
-    title = F.substring(
-        F.trim(
-            F.regexp_replace(
-                F.regexp_replace(
-                    F.lower(F.coalesce(c("title"), c("raw_text"))), "[^a-z0-9%₹ ]", ""
-                ),
-                " +",
-                " ",
-            )
-        ),
-        1,
-        90,
+    title = F.coalesce(c("title"), c("raw_text"))
+    if chars is None:
+        cut_title = (c("title") != c("raw_text")) & (c("title") == title_of(c("raw_text")))
+        title = F.when(cut_title, c("raw_text")).otherwise(title)
+    title = F.trim(
+        F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9%₹ ]", ""), " +", " ")
     )
+    if chars is not None:
+        title = F.substring(title, 1, chars)
     numbers = [
         F.coalesce(number_text(c(n)), F.lit(""))
         for n in ("discount_value", "minimum_order", "maximum_discount")
@@ -71,11 +71,14 @@ def dedupe_key() -> Column:
     )
 
 
-def text_key(text: str = "raw_text") -> Column:
-    """Identity of a candidate inside one document."""
-    return F.coalesce(
-        F.col("code"), F.concat(F.lit("TXT:"), F.lower(F.substring(F.col(text), 1, 80)))
-    )
+def text_key(text: str = "raw_text", chars: int | None = None) -> Column:
+    """Identity of a candidate inside one document: its code, or else the hash of its text.
+
+    With ``chars`` only so many first characters of the text count.
+    """
+    whole = F.col(text)
+    told = F.sha2(F.lower(whole), 256) if chars is None else F.lower(F.substring(whole, 1, chars))
+    return F.coalesce(F.col("code"), F.concat(F.lit("TXT:"), told))
 
 
 def _best(df: DataFrame, keys: list[str], score: Column, order: str) -> DataFrame:
@@ -105,7 +108,7 @@ def page_dedupe(df: DataFrame, params: Params, page: list[str], pos: str = "pos"
     everything further down the page is dropped, better duplicates too.
     """
     c = F.col
-    keyed = df.withColumn("_key", text_key())
+    keyed = df.withColumn("_key", text_key(chars=params.text_key_chars))
     if params.max_candidates_per_page is None:
         return _best(keyed, [*page, "_key"], information_score(), pos).drop("_key")
     firsts = keyed.groupBy(*page, "_key").agg(

@@ -210,7 +210,7 @@ def merge_sources(claims: DataFrame, params: Params) -> DataFrame:
         c("first.source_domain"),
         c("first.discovered_at"),
         "last_seen_at",
-        F.substring("snippet", 1, 400).alias("snippet"),
+        "snippet",
         c("last.discount_type").alias("claim_type"),
         c("last.discount_value").alias("claim_value"),
         c("last.minimum_order").alias("claim_minimum"),

@@ -207,7 +207,7 @@ def apply_outcome(judged: DataFrame, params: Params) -> DataFrame:
             "status": c("outcome_status"),
             "last_validated_at": now,
             "validation_method": c("outcome_method"),
-            "validation_notes": F.substring("outcome_notes", 1, 1000),
+            "validation_notes": c("outcome_notes"),
             "validation_attempts": (c("validation_attempts") + 1).cast("int"),
             "cart_accepted_at": F.when(c("accepted_by_cart"), now).otherwise(
                 c("cart_accepted_at")
@@ -224,7 +224,7 @@ def apply_outcome(judged: DataFrame, params: Params) -> DataFrame:
             ).otherwise(c("discount_type")),
         }
     )
-    result = F.substring(F.concat_ws(": ", "outcome_status", "outcome_notes"), 1, 500)
+    result = F.concat_ws(": ", "outcome_status", "outcome_notes")
     return apply_expiry_state(changed, params).withColumns(
         {
             "event": F.when(c("previous_status") == c("status"), "validated").otherwise(

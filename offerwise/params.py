@@ -46,6 +46,11 @@ class Params:
     # off unless set: at most so many codes or texts of one page
     max_candidates_per_page: int | None = None
 
+    # identity of offers without a code: whole texts unless set, else so many first characters
+    # of the cleaned title (in the dedupe key) and of the text (within a page or document)
+    title_key_chars: int | None = None
+    text_key_chars: int | None = None
+
     # execution: a key is hot above max(hot_min_rows, total / hot_share) rows, so
     # there are never more than ``hot_share`` hot keys and they may be broadcast
     hot_share: int = 4096

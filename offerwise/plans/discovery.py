@@ -39,9 +39,10 @@ def empty_store(spark) -> Stored:
     return Stored(spark.createDataFrame([], OFFERS), spark.createDataFrame([], SOURCES))
 
 
-def claims_of(candidates: DataFrame) -> DataFrame:
+def claims_of(candidates: DataFrame, params: Params | None = None) -> DataFrame:
     """Candidates with their dedupe key, one claim per offer, publisher and page."""
-    return conform(cycle_dedupe(candidates.withColumn(KEY, dedupe_key())), CLAIMS)
+    key = dedupe_key(params.title_key_chars if params else None)
+    return conform(cycle_dedupe(candidates.withColumn(KEY, key)), CLAIMS)
 
 
 def _stored_as_claims(offers: DataFrame) -> DataFrame:

@@ -50,6 +50,6 @@ def with_source(
             "source_domain": host_of(url),
             "discovered_at": now if discovered_at is None else discovered_at,
             "last_seen_at": now,
-            "snippet": F.substring("raw_text", 1, 400),
+            "snippet": F.col("raw_text"),
         }
     )

@@ -41,7 +41,9 @@ def text_candidates(
         .withColumn("code", code_from_text(c("raw_text"), params))
         .drop("about_brand")
     )
-    offers = offers_only(named, params).withColumn("_key", text_key())
+    offers = offers_only(named, params).withColumn(
+        "_key", text_key(chars=params.text_key_chars)
+    )
     fields = [f for f in offers.columns if f not in (*keys, "_key")]
     first = F.min_by(F.struct(*fields), c("pos"))
     return (

@@ -232,6 +232,26 @@ def test_dedupe_keys(spark):
     assert keys[2].startswith("OFFER:") and len(keys[2]) == 26
 
 
+def test_offers_that_differ_behind_a_long_opening(spark, params):
+    opening = "Acme festive season sale on selected styles for men and women in all stores of the country today, "
+    texts = [opening + end for end in ("jackets and coats", "shoes and boots", "SHOES and boots")]
+    assert len(opening) > 90
+    rows = [claim(i, "", code=None, title=title, raw_text=t) for i, (t, title) in enumerate(
+        [(t, t) for t in texts] + [(opening + opening + t, (opening + opening)[:117] + "...") for t in "ab"])]
+    full = frame(spark, rows)
+
+    def keys(**kwargs):
+        return [r.k for r in full.select("seq", dedupe_key(**kwargs).alias("k")).orderBy("seq").collect()]
+
+    found = keys()
+    assert found[1] == found[2] and len(set(found)) == 4
+    assert len(set(keys(chars=90)[:3])) == 1
+    pages = full.withColumn("page", F.lit(1))
+    assert page_dedupe(pages, params, ["page"], pos="seq").count() == 4
+    short = replace(params, text_key_chars=80)
+    assert page_dedupe(pages, short, ["page"], pos="seq").count() == 1
+
+
 def test_cycle_dedupe_keeps_the_best_at_the_first_place(spark):
     rows = [
         claim(1, "CODE:A1BC"), claim(2, "CODE:A1BC", discount_value=5.0),
