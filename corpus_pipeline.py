@@ -40,10 +40,32 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    out = minhash.near_duplicates(docs, SIMILAR, BANDS)
-    copies = out.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return without(docs, copies.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    """Of each group of near duplicates one row stays: the smallest id that is not null, among
+    its rows the least text hash, and one of the rows that are equal in both. Texts without
+    shingles are in no group and all stay.
+    """
+    out = minhash.placed_rows(docs, SIMILAR, BANDS).filter("component is not null")
+    out = stage(out.select("component", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "placed")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")
+    groups = out.groupBy("component").agg(F.min(order).alias("kept"), F.count("*").alias("n"))
+    groups = bounded_broadcast(stage(groups.filter("n > 1").drop("n"), "groups"))
+    pairs = out.join(groups, "component").groupBy("_id", "_hash").agg(
+        F.first(order.eqNullSafe(F.col("kept"))).alias("stays"), F.count("*").alias("n")
+    )
+    pairs = stage(pairs, "pairs")
+    gone = pairs.filter("not stays or n > 1").select("_id", "_hash")
+    repeated = stage(pairs.filter("stays and n > 1").select("_id", "_hash"), "repeated")
+    rest = without(docs, gone)
+    if repeated.isEmpty():
+        return rest
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(text_of("text")).alias("hash"))
+    met = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    one = (
+        rows.join(bounded_broadcast(repeated), met, "left_semi")
+        .groupBy("doc.doc_id", "hash")
+        .agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    )
+    return rest.unionByName(one.select("doc.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

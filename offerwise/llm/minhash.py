@@ -151,6 +151,15 @@ def near_duplicates(
     docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row per document row: doc_id, text_hash, n_shingles, component_id."""
+    return placed_rows(docs, percent, bands, rows).drop("component")
+
+
+def placed_rows(
+    docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``component``, which tells components apart even
+    where ids are null or repeated; null for texts without shingles, which link with nothing.
+    """
     short_batches(docs.sparkSession)
     own = docs.select(
         "doc_id",
@@ -264,8 +273,10 @@ def near_duplicates(
     ).withColumn("comp", F.coalesce("comp", "class"))
     placed = stage(placed, "class-components")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = stage(placed.join(stage(least, "least"), "comp").select("class", "component_id"), "named")
+    named = placed.join(stage(least, "least"), "comp").select("class", "comp", "component_id")
+    named = stage(named, "named")
     return signed.drop("bands").join(named, "class", "left").select(
         "doc_id", "text_hash", "n_shingles",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("comp").alias("component"),
     )

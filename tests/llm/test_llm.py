@@ -451,6 +451,24 @@ def test_null_ids(spark, items):
     assert substrings.remove_repeats(docs).count() == 4
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    texts = [
+        (1, a), (1, a), (1, a), (2, a), (1, a + "  "),  # repeated rows and copies of one group
+        (None, b), (None, b), (None, b + " "),  # no ids at all
+        (None, c), (7, c), (7, c),
+        (1, "quite another text of the same id"), (None, "quite another text without id"),
+        (9, ""), (9, ""), (None, None),  # no shingles: in no group
+    ]
+    docs = docs_of(spark, texts)
+    out = corpus_pipeline.without_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = Counter((r["doc_id"], (r["text"] or "").strip()) for r in out.collect())
+    assert left == Counter([
+        (1, a), (None, b), (7, c), (1, texts[11][1]), (None, texts[12][1]), (9, ""), (9, ""), (None, ""),
+    ])
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_id", F.lit(1))
     count = docs.count()
