@@ -75,9 +75,91 @@ select page_id, payload_bytes, payload_digest,
 from r
 """
 
+# the table of CRC-32, and the checksum of an ASCII string by it
+CRC_TABLE = """bits(k, i, c) as (select k, 0, k from range(256) r(k) union all
+  select k, i + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where i < 8),
+crc as (select list(c order by k) as t from bits where i = 8)"""
+
+
+def crc32(text: str) -> str:
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::bigint)"
+    step = "xor(c >> 8, t[(xor(c, x) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, x: {step}), 4294967295)"
+
+
+def _edit(state: str, cost: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+# dear enough to stand for a state that no edits reach
+FAR = "{'c': 1000000000, 'a': ''}"
+
+
+def _follow(initial: str, state: str) -> str:
+    """Keep or change the next row to the role with this initial."""
+    return f"""case when gone then {FAR} when initial = '{initial}' then {_edit(state, 'cut', 'K')}
+      else {_edit(state, '2 + cut', 'R')} end"""
+
+
+OP11 = f"""
+with recursive {CRC_TABLE},
+keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+fated as (select conv_id, turn, role, text, {crc32("key")} % 20 as fate from keyed, crc),
+hurt as (select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(range(case when fate = 3 then 2 else 1 end)) as copy from fated where fate <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from hurt),
+again as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as repeated,
+    trim(text, {STRIP}) as bare from placed),
+judged as (select *, bare = '' as blank, bare <> '' and repeated as duplicate,
+    bare <> '' and not repeated and right(bare, 1) not in ('.', '!', '?') as truncated,
+    left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as before from again),
+rows_ as (select *, blank or duplicate as gone, truncated::bigint as cut from judged),
+start as (select distinct conv_id, {{'c': 0::bigint, 'a': ''}} as x from conversations),
+walk(conv_id, i, s0, s1, s2, s3) as (
+  select conv_id, 0::bigint, x, {FAR}, {_edit("x", "2", "I")}, {_edit("x", "4", "II")} from start
+  union all
+  select conv_id, i, n0, n1, m2, {_least("n3", _edit("m2", "2", "I"))} from (
+    select *, {_least("n2", _edit("n0", "2", "I"), _edit("n1", "2", "I"), _edit("n3", "2", "I"))} as m2 from (
+      select w.conv_id, r.i, {_edit("s0", "3", "D")} as n0,
+        {_least(_edit("s1", "3", "D"), f"case when gone or initial <> 's' then {FAR} else {_edit('s0', 'cut', 'K')} end")} as n1,
+        {_least(_edit("s2", "3", "D"), _follow("u", "s0"), _follow("u", "s1"), _follow("u", "s3"))} as n2,
+        {_least(_edit("s3", "3", "D"), _follow("a", "s2"))} as n3
+      from walk w join rows_ r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1))),
+ended as (select conv_id, i, {_least("s0", "s3")} as best from walk
+  qualify row_number() over (partition by conv_id order by i desc) = 1),
+letters as (select conv_id, best.a as audit, p, substr(best.a, p::int, 1) as op
+  from ended, lateral (select unnest(range(1, length(best.a) + 1)) as p)),
+counted as (select *, count(*) filter (op <> 'I') over up as i, count(*) filter (op <> 'D') over up as made
+  from letters window up as (partition by conv_id order by p)),
+told as (select c.*, r.role, r.text,
+    max(case when op = 'K' and made = 1 and initial = 's' then 1 else 0 end) over (partition by c.conv_id) as led
+  from counted c left join rows_ r on op <> 'I' and r.conv_id is not distinct from c.conv_id and r.i = c.i),
+lines as (select conv_id, p, case op when 'K' then role
+    else case when (made - led) % 2 = 1 then 'user' else 'assistant' end end || ':' ||
+    case op when 'I' then '' else text end as line from told where op <> 'D'),
+texts as (select conv_id, string_agg(line, chr(10) order by p) as text from lines group by conv_id),
+faults as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+    count(*) filter (truncated) as truncated,
+    count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from rows_ group by conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.c as cost, best.a as audit,
+  sha256(coalesce(t.text, '')) as repaired_sha256
+from ended e left join faults f on f.conv_id is not distinct from e.conv_id
+  left join texts t on t.conv_id is not distinct from e.conv_id
+"""
+
 ORACLES = {
     "op2_warc": OP2,
     "op9_minhash": OP9,
     "op5_line_dedup": OP5,
     "op10_decontamination": OP10,
+    "op11_conversations": OP11,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerwise.llm import decontaminate, fingerprints, lines, minhash, ordering, packing, substrings, toxicity, urls, warc
+from offerwise.llm import conversations, decontaminate, fingerprints, lines, minhash, ordering, packing, substrings, toxicity, urls, warc
 from offerwise.llm.common import table
 from offerwise.llm.oracles import ORACLES as SQL
 from offerwise.session import carry_code
@@ -89,3 +89,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
