@@ -3,11 +3,12 @@
 import hashlib
 import itertools
 import random
+import zlib
 
 import duckdb
 import pandas as pd
 
-from offerwise.llm import conversations, oracles
+from offerwise.llm import conversations, manifest, oracles
 
 CONV = "conv_id bigint, turn bigint, role string, text string, copies string, n string, long string, digest string"
 
@@ -125,3 +126,84 @@ def test_repair_of_dropped_rows_and_empty_tables(spark):
     assert conversations.repaired(conversations.damaged(conv_table(spark, []))).count() == 0
     own = conversations.repaired(conversations.given(conv_table(spark, [(5, 0, "assistant", "Hi.")]))).first()
     assert own["audit"] == "IK" and own["cost"] == 2
+
+
+# --- manifest ---------------------------------------------------------------------
+
+DOCS = (
+    "doc_id bigint, text string, lang string, source string, n_chars bigint, "
+    "leaf string, rank string, part string, at string, size string, path string, parts string, lo string"
+)
+
+
+def h(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_of(row: tuple) -> str:
+    doc_id, text, lang, source, n_chars = row
+    values = (doc_id, source, lang, n_chars, text)
+    return h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def brute_tree(level: list[str]) -> tuple[str, list[list[tuple[str, str]]]]:
+    """(root, for each leaf the (left, right) siblings from below)."""
+    paths, at = [[] for _ in level], list(range(len(level)))
+    while len(level) > 1:
+        runs = [level[k : k + 16] for k in range(0, len(level), 16)]
+        for path, (n, place) in zip(paths, enumerate(at), strict=True):
+            run, k = runs[place // 16], place % 16
+            path.append(("".join(run[:k]), "".join(run[k + 1 :])))
+            at[n] = place // 16
+        level = [h(*run) for run in runs]
+    return level[0], paths
+
+
+def brute_manifest(rows: list[tuple]) -> list[tuple]:
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    held = {s: sorted((r for r in rows if r[3] == s), key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r))) for s in sources}
+    trees = {s: brute_tree([leaf_of(r) for r in own]) for s, own in held.items()}
+    root, tops = brute_tree([trees[s][0] for s in sources])
+    out = []
+    for s, top in zip(sources, tops, strict=True):
+        for row, path in zip(held[s], trees[s][1], strict=True):
+            path = path + top
+            doc_id, text = row[0], row[1]
+            if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0 and text is not None:
+                lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+                below = leaf_of((doc_id, lower, *row[2:]))
+            else:
+                below = leaf_of(row)
+            for left, right in path:
+                below = h(left, below, right)
+            proof = h(*(left + right for left, right in path))
+            out.append((doc_id, leaf_of(row), trees[s][0], root, proof, below, below == root))
+    return out
+
+
+def docs_table(spark, rows):
+    return spark.createDataFrame([(*r, *"abcdefgh") for r in rows], DOCS)
+
+
+def test_manifest_matches_brute_force(spark):
+    rng = random.Random(6)
+    texts = [None, "", "lower only", "Some Capitals", "\u00c9COLE", "x" * 30_000 + "Y"]
+    rows = [
+        (k, rng.choice(texts), rng.choice(["en", None]), rng.choice(["hot"] * 60 + ["b", "\u00e9", "", None]), 3)
+        for k in range(600)
+    ]
+    rows += [(k, "One Source", None, f"src{k}", None) for k in range(1000, 1040)]
+    rows += [(None, "No Id", "en", "hot", 1), (7, "Same id", "en", "hot", 1), *[(9, "Twice", "en", "b", 5)] * 3]
+    want = told(brute_manifest(rows))
+    assert told(manifest.manifest(docs_table(spark, rows)).collect()) == want
+    few = rows[:1]
+    assert told(manifest.manifest(docs_table(spark, few)).collect()) == told(brute_manifest(few))
+    assert manifest.manifest(docs_table(spark, [])).count() == 0
+
+
+def test_manifest_matches_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    out = manifest.manifest(docs)
+    assert told(out.collect()) == told(brute_manifest(rows))
+    assert 0 < out.filter("not verified").count() < len(rows) / 3
