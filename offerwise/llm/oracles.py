@@ -156,10 +156,79 @@ from ended e left join faults f on f.conv_id is not distinct from e.conv_id
   left join texts t on t.conv_id is not distinct from e.conv_id
 """
 
+def _tree(name: str, levels: int) -> str:
+    """CTEs of the trees over ``{name}0`` (g, r, d, n: group, rank, digest, nodes of the group):
+    a CTE for each level, ``{name}_roots`` (g, d), and ``{name}_sides`` (k, g, r, l, e), the
+    digests left and right of each node in its run."""
+    out, holds = [], "n > 1"
+    for k in range(1, levels + 1):
+        out.append(
+            f"{name}{k} as (select g, r // 16 as r, sha256(string_agg(d, '' order by r)) as d, (n + 15) // 16 as n "
+            f"from {name}{k - 1} where {holds} group by g, r // 16, n)"
+        )
+    every = " union all ".join(f"select {k} as k, g, r, d, n from {name}{k}" for k in range(levels + 1))
+    run = "partition by k, g, r // 16 order by r rows between"
+    out.append(f"{name}_all as ({every})")
+    out.append(f"{name}_roots as (select g, d from {name}_all where n = 1)")
+    out.append(
+        f"{name}_sides as (select k, g, r, "
+        f"coalesce(string_agg(d, '') over ({run} unbounded preceding and 1 preceding), '') as l, "
+        f"coalesce(string_agg(d, '') over ({run} 1 following and unbounded following), '') as e "
+        f"from {name}_all where n > 1)"
+    )
+    return ",\n".join(out)
+
+
+def _climb(start: str, name: str, levels: int, group: str, rank: str) -> str:
+    """CTEs ``{start}0`` to ``{start}{levels}``: ``proof`` grows and ``x`` is folded level by level."""
+    out = []
+    for k in range(levels):
+        out.append(
+            f"{start}{k + 1} as (select a.* exclude (x, proof), a.proof || coalesce(l || e, '') as proof, "
+            f"case when s.k is null then x else sha256(l || x || e) end as x "
+            f"from {start}{k} a left join {name}_sides s on s.k = {k} and s.g is not distinct from a.{group} "
+            f"and s.r = a.{rank} // {16**k})"
+        )
+    return ",\n".join(out)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+# trees of up to 16 ** 6 leaves and 16 ** 4 sources
+OP12 = f"""
+with recursive {CRC_TABLE},
+leaves as (select doc_id, source, {_leaf("text")} as leaf,
+    case when {crc32("doc_id::varchar")} % 5 = 0 then {_leaf(f"translate(text, {UPPER}, {LOWER})")} end as hurt
+  from documents, crc),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as r,
+    count(*) over (partition by source) as n from leaves),
+t0 as (select source as g, r, leaf as d, n from placed),
+{_tree("t", 6)},
+ranked as (select g as source, d as subroot, row_number() over (order by g nulls first) - 1 as q,
+    count(*) over () as n from t_roots),
+u0 as (select 0 as g, q as r, subroot as d, n from ranked),
+{_tree("u", 4)},
+a0 as (select p.doc_id, p.leaf, p.source, p.r, k.subroot, k.q, 0 as one, '' as proof, coalesce(p.hurt, p.leaf) as x
+  from placed p join ranked k on k.source is not distinct from p.source),
+{_climb("a", "t", 6, "source", "r")},
+b0 as (select * from a6),
+{_climb("b", "u", 4, "one", "q")}
+select doc_id, leaf, subroot, u_roots.d as root, sha256(proof) as proof_sha256, x as folded_root,
+  x = u_roots.d as verified
+from b4, u_roots
+"""
+
 ORACLES = {
     "op2_warc": OP2,
     "op9_minhash": OP9,
     "op5_line_dedup": OP5,
     "op10_decontamination": OP10,
     "op11_conversations": OP11,
+    "op12_manifest": OP12,
 }
