@@ -13,8 +13,7 @@ never re-reads old texts. Each run has one row per key, so a line that a third o
 documents share is one row per batch.
 
 Defined results: a null or empty text is one empty line; the empty key is never dropped;
-repeated doc_ids with different texts are different documents, fully equal rows (doc_id
-and text) are one; null doc_ids are documents told apart by their text.
+every row is a document, also one whose id or whole content others repeat.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerwise.llm.common import bounded_broadcast, lower_ascii, shared_folder, stage, text_of
+from offerwise.llm.common import bounded_broadcast, let, lower_ascii, shared_folder, stage, text_of
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -38,11 +37,13 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(STRIP)))
+    bare = F.btrim(line, F.lit(STRIP))
+    # of ASCII alone both are the same, and the first is many times faster
+    ascii_only = F.octet_length(bare) == F.char_length(bare)
+    return F.when(ascii_only, F.lower(bare)).otherwise(lower_ascii(bare))
 
 
-def _hashed(line: Column) -> Column:
-    key = line_key(line)
+def _hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2"))
 
 
@@ -114,14 +115,14 @@ def drop_common_lines(
         F.struct("*").alias("doc"), F.xxhash64(text_of("text")).alias("text_hash")
     )
     lines = lines_of(F.col("doc.text"))
-    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: line_key(x) != ""), _hashed))
-    held = rows.select(F.col("doc.doc_id").alias("doc_id"), "text_hash", keys.alias("keys"))
-    # fully equal rows are one document
-    seen = held.select("doc_id", "text_hash", F.explode("keys").alias("k")).select(
-        "doc_id", "text_hash", "k.k1", "k.k2"
+    keys = let(
+        F.transform(lines, line_key),
+        lambda found: F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), _hashed)),
     )
+    # one row per document row and key
+    held = rows.select(F.col("doc.doc_id").alias("doc_id"), "text_hash", F.explode(keys).alias("k"))
     batch = F.pmod(F.col("text_hash"), F.lit(batches)).cast("int").alias("batch")
-    seen = stage(seen.distinct().select("*", batch), "line-keys")
+    seen = stage(held.select("doc_id", "text_hash", "k.k1", "k.k2", batch), "line-keys")
     for b in range(batches):
         store.add(seen.filter(F.col("batch") == b).select("k1", "k2"))
     frequent = bounded_broadcast(stage(store.frequent().select("k1", "k2"), "frequent-lines"))
@@ -138,7 +139,7 @@ def drop_common_lines(
     )
     stays = F.filter(
         lines,
-        lambda x: F.col("drops").isNull() | ~F.array_contains(F.col("drops"), _hashed(x)),
+        lambda x: F.col("drops").isNull() | ~F.array_contains(F.col("drops"), _hashed(line_key(x))),
     )
     return joined.select("doc", lines.alias("lines"), stays.alias("stays")).select(
         "doc",
