@@ -22,10 +22,10 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +34,14 @@ from offerwise.llm.common import bounded_broadcast, short_batches, stage, text_o
 CAPACITY = 2048
 ROUNDS = 30
 STEP = 0.5
-#: Pieces that one task numbers at a time.
-CHUNK_ROWS = 200_000
-#: Words whose ids a task keeps before it starts anew.
-CACHE_WORDS = 250_000
+#: Pieces of one length that are numbered together.
+CHUNK_ROWS = 1000
+#: Bytes of text that are tokenized at a time; a longer text is alone.
+SLICE_BYTES = 8_000_000
 
 
 class WordTokenizer:
-    """Byte-level BPE ids of whole texts, words looked up in a bounded cache.
+    """Byte-level BPE ids of whole texts; a batch's distinct words are encoded once.
 
     Texts are cut before every blank, which changes no ids unless a token spans the cut. Texts
     that hold the string of a token with a blank behind its first byte (in this vocabulary blank
@@ -69,19 +69,66 @@ class WordTokenizer:
         for string in sorted({"  ", *special, *across}, key=len):
             if not any(short in string for short in self.uncut):
                 self.uncut.append(string)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.uncut):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        first, *rest = text.split(" ")
-        words = [first, *(" " + word for word in rest)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        for word in set(words).difference(cache):
-            cache[word] = tuple(self.words.encode_ordinary(word))
-        return np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), dtype="<u4")
+        return next(self.each(pa.array([text], pa.string())))
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, none of them null, at most ``SLICE_BYTES`` or one text at a time."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(texts)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield from self._each(texts.slice(start, end - start))
+
+    def _each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        apart = np.zeros(len(texts), dtype=bool)
+        for string in self.uncut:
+            apart |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(~apart)), " ")
+        words, firsts = split.flatten(), np.append(0, np.cumsum(pc.list_value_length(split)))
+        later = np.ones(len(words), dtype=bool)
+        later[firsts[:-1]] = False
+        ids, starts, lengths, word = self._encoded(words.filter(pa.array(later)))
+        # of the words behind the first, the n-th text has those from ends[n] to ends[n + 1]
+        ends = firsts - np.arange(len(firsts))
+        text = 0
+        for k, alone in enumerate(apart):
+            if alone:
+                yield self._whole(texts[k].as_py())
+                continue
+            own = word[ends[text] : ends[text + 1]]
+            sizes = lengths[own]
+            upto = np.cumsum(sizes)
+            rest = ids[np.repeat(starts[own] - (upto - sizes), sizes) + np.arange(sizes.sum())]
+            first = self.words.encode_ordinary(words[int(firsts[text])].as_py())
+            text += 1
+            yield np.concatenate([np.array(first, dtype="<u4"), rest]) if first else rest
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, ...]:
+        """Ids of all distinct words with a blank before each, where each distinct word's ids
+        start, their number, and which of them each word is."""
+        held = words.dictionary_encode()
+        distinct = held.dictionary
+        if not len(distinct):
+            return np.empty(0, "<u4"), *[np.empty(0, np.int64)] * 3
+        empty = pc.equal(distinct, "").to_numpy(zero_copy_only=False)
+        listed = pa.ListArray.from_arrays([0, len(distinct)], pc.if_else(pa.array(empty), "x", distinct))
+        joined = pc.binary_join(listed, " ")[0].as_py()
+        ids = np.array(self.words.encode_ordinary(" " + joined), dtype="<u4")
+        starts = np.flatnonzero(self.opens[ids])
+        lengths = np.diff(starts, append=len(ids))
+        if len(starts) != len(distinct):
+            raise ValueError("a token spans two words")
+        # a blank at the end of a text has no word behind it
+        ids = np.append(ids, np.array(self.words.encode_ordinary(" "), dtype="<u4"))
+        starts[empty], lengths[empty] = len(ids) - 1, 1
+        return ids, starts, lengths, held.indices.to_numpy()
 
 
 def piece_bounds(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -96,9 +143,9 @@ def _piece_rows(paths: tuple[str, str, str], capacity: int):
         tokenizer = WordTokenizer(*paths)
         for batch in batches:
             docs, pieces, starts, lengths, sums = [], [], [], [], []
-            texts = batch.column("text")
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = np.append(tokenizer.ids(text.as_py()), np.uint32(0)).astype("<u4")
+            texts = tokenizer.each(batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                ids = np.append(ids, np.uint32(0)).astype("<u4")
                 for k, (start, length) in enumerate(piece_bounds(len(ids), capacity)):
                     docs.append(doc_id)
                     pieces.append(k)
@@ -281,9 +328,12 @@ def pack(
         slot_rows(plan_bins(bars, capacity)),
         "length bigint, lo bigint, hi bigint, copies bigint, sequence bigint, place bigint",
     )
-    chunks = max(1, sum(bars.values()) // CHUNK_ROWS)
-    chunk = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks))
-    pieces = pieces.withColumn("chunk", chunk)
+    # a length's pieces in chunks of about CHUNK_ROWS; one row per length, at most ``capacity``
+    cuts = spark.createDataFrame(
+        [(k, 1 + n // CHUNK_ROWS) for k, n in bars.items()], "length bigint, chunks bigint"
+    )
+    chunk = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("chunks"))
+    pieces = pieces.join(F.broadcast(cuts), "length").withColumn("chunk", chunk)
     within = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("length", "chunk").agg(F.count("*").alias("n"))
