@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerwise.llm import conversations, decontaminate, fingerprints, lines, manifest, minhash, ordering, packing, substrings, toxicity, urls, warc
+from offerwise.llm import conversations, decontaminate, fingerprints, lines, manifest, minhash, online, ordering, packing, substrings, toxicity, urls, warc
 from offerwise.llm.common import table
 from offerwise.llm.oracles import ORACLES as SQL
 from offerwise.session import carry_code
@@ -99,3 +99,8 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return online.pack_online(table(spark, sf_dir, "documents"))

@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 
-from offerwise.llm import conversations, manifest, oracles
+from offerwise.llm import conversations, manifest, online, oracles, packing
 
 CONV = "conv_id bigint, turn bigint, role string, text string, copies string, n string, long string, digest string"
 
@@ -211,3 +213,92 @@ def test_manifest_matches_brute_force_on_documents(spark):
     con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
     assert told(con.sql(oracles.OP12).fetchall()) == want
     assert 0 < out.filter("not verified").count() < len(rows) / 3
+
+
+# --- online packing -----------------------------------------------------------------
+
+
+def whole(level: int, capacity: int) -> bool:
+    return level == 0 or level == capacity or level & (level - 1) == 0
+
+
+def test_levels_make_the_sum_of_squares_least():
+    rng = random.Random(8)
+    levels, fills = online.Levels(64), {}
+    for _ in range(2000):
+        size = rng.randint(1, 63)
+        before = Counter(f for f in fills.values() if f < 64)
+
+        def squares(counts):
+            return sum(n * n for level, n in counts.items() if not whole(level, 64))
+
+        choices = {}
+        for level in [0, *before]:
+            if level + size <= 64:
+                after = Counter(before)
+                after[level] -= 1
+                after[level + size] += 1
+                after[0] = after[64] = 0
+                choices[level] = squares(after)
+        window, level = levels.place(size)
+        assert fills.get(window, 0) == level
+        assert choices[level] == min(choices.values())
+        assert level == max(k for k, v in choices.items() if v == choices[level])
+        fills[window] = level + size
+    assert levels.open == sum(f < 64 for f in fills.values())
+    left = levels.close()
+    assert left == {w: f for w, f in fills.items() if f < 64} and levels.open == 0
+
+
+def check_packed(docs, rows, capacity: int) -> None:
+    tokenizer = packing.WordTokenizer(*packing.tokenizer_paths()).whole
+    want = Counter()
+    for r in docs:
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want[r["doc_id"], tuple(ids)] += 1
+    # pieces of each document follow one another; repeated ids are told apart by their tokens
+    by_doc, sequences = {}, {}
+    for r in rows:
+        by_doc.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    assert Counter({(d, len(t)): n for (d, t), n in want.items()}).keys() == by_doc.keys()
+    for (doc_id, ids), n in want.items():
+        own = Counter((r["start"], r["length"]) for r in by_doc[doc_id, len(ids)])
+        assert sum(length * k for (_, length), k in own.items()) == len(ids) * n * sum(
+            d == doc_id and len(t) == len(ids) for d, t in want
+        )
+        sums = {(s, n_): zlib.crc32(np.array(ids[s : s + n_], "<u4").tobytes()) for s, n_ in own}
+        if sum(d == doc_id and len(t) == len(ids) for d, t in want) == 1:
+            assert all(r["ids_crc32"] == sums[r["start"], r["length"]] for r in by_doc[doc_id, len(ids)])
+            if n == 1:
+                at = 0
+                for start, length in sorted(own):
+                    assert start == at
+                    at += length
+    for held in sequences.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r["offset"]):
+            assert r["offset"] == at and r["length"] > 0
+            at += r["length"]
+        assert whole(at, capacity)
+
+
+def test_online_packing_of_odd_rows(spark):
+    rng = random.Random(9)
+    words = ["alpha", "beta", "menu \u00a0 \u00a0 x", "<|endoftext|>", "  ", "\n", "caf\u00e9"]
+    texts = [None, "", " ", *(" ".join(rng.choices(words, k=rng.randint(1, 300))) for _ in range(300)), "z " * 40_000]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    rows += [(None, "no id", None, None, None), (5, "same id, other text", None, None, None)]
+    rows += [(6000, "twice the same row", None, None, None)] * 2
+    docs = docs_table(spark, rows).repartition(5)
+    given = docs.select("doc_id", "text").collect()
+    for capacity, open_windows in ((2048, 2048), (256, 4)):
+        out = online.pack_online(docs, capacity=capacity, open_windows=open_windows).collect()
+        check_packed(given, out, capacity)
+    assert online.pack_online(docs_table(spark, [])).count() == 0
+
+
+def test_online_packing_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = online.pack_online(docs).collect()
+    check_packed(docs.select("doc_id", "text").collect(), out, 2048)
