@@ -39,6 +39,8 @@ from offerwise.llm.packing import WordTokenizer, tokenizer_paths
 
 LENGTH = 2048
 SHARD_ROWS = 4096
+#: Records that a reader takes at a time.
+READ_ROWS = 512
 KEY = 0x5EED
 ROUNDS = 4
 #: index, number of ids
@@ -91,8 +93,8 @@ def _sequence_rows(paths: tuple[str, str, str], length: int):
             )
 
         for batch in batches:
-            for text in batch.column("text"):
-                ids = np.append(tokenizer.ids(text.as_py()), np.uint32(0)).astype(ID)
+            for found in tokenizer.each(batch.column("text")):
+                ids = np.append(found, np.uint32(0)).astype(ID)
                 held.append(ids)
                 size += len(ids)
             whole = size // length * length
@@ -189,29 +191,32 @@ def read_shards(
     shard_rows: int = SHARD_ROWS,
     with_ids: bool = True,
 ) -> DataFrame:
-    """(slot, index, length, ids_crc32, ids) from slot ``start`` on; shards before it aren't
-    opened. Without ``with_ids`` the ids are read and summed, but stay in the task (null)."""
+    """(slot, index, length, ids_crc32, ids) from slot ``start`` on. Shards before it aren't
+    opened, and its own is read from the slot's byte on. Without ``with_ids`` the ids are read
+    and summed, but stay in the task (null)."""
     stride = HEAD.itemsize + ID.itemsize * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                data = memoryview(content.as_py())
-                first = int(re.search(r"shard-(\d+)\.bin", path.as_py())[1]) * shard_rows
-                for at in range(max(0, start - first), len(data) // stride, 512):
+        system, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for shard in (x for batch in batches for x in batch.column("shard").to_pylist()):
+            slot = max(start, shard * shard_rows)
+            with system.open_input_file(f"{root}/{name(shard)}") as file:
+                file.seek((slot - shard * shard_rows) * stride)
+                while data := file.read(READ_ROWS * stride):
                     rows = []
-                    for k in range(at, min(at + 512, len(data) // stride)):
-                        record = data[k * stride : (k + 1) * stride]
+                    for at in range(0, len(data), stride):
+                        record = memoryview(data)[at : at + stride]
                         head = np.frombuffer(record[: HEAD.itemsize], dtype=HEAD)[0]
                         ids = np.frombuffer(
                             record[HEAD.itemsize :], dtype=ID, count=int(head["length"])
                         ).astype("<u4")
                         rows.append(
                             {
-                                "slot": first + k, "index": int(head["index"]), "length": len(ids),
+                                "slot": slot, "index": int(head["index"]), "length": len(ids),
                                 "ids_crc32": zlib.crc32(ids), "ids": ids.tobytes() if with_ids else None,
                             }
                         )
+                        slot += 1
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema(
@@ -220,9 +225,13 @@ def read_shards(
             ("ids_crc32", pa.int64()), ("ids", pa.binary()),
         ]
     )
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(folder)
-    number = F.regexp_extract("path", r"shard-(\d+)\.bin", 1).cast("bigint")
-    return files.where(number >= start // shard_rows).select("path", "content").mapInArrow(
+    system, root = pyarrow.fs.FileSystem.from_uri(folder)
+    found = [x.base_name for x in system.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))]
+    last = max((int(m[1]) for x in found if (m := re.fullmatch(r"shard-(\d+)\.bin", x))), default=-1)
+    first = start // shard_rows
+    parts = max(1, min(last + 1 - first, 4 * spark.sparkContext.defaultParallelism))
+    numbers = spark.range(first, max(first, last + 1), 1, parts).toDF("shard")
+    return numbers.mapInArrow(
         run, "slot bigint, index bigint, length bigint, ids_crc32 bigint, ids binary"
     )
 
