@@ -143,15 +143,22 @@ def attached(
     )
 
 
-def paths(levels: list[DataFrame], tops: DataFrame, group: str, carried: list[str]) -> DataFrame:
+def paths(
+    levels: list[DataFrame], tops: DataFrame | None, group: str, carried: list[str]
+) -> DataFrame:
     """The rows of the lowest level with their path to what ``tops`` (group, path, carried)
-    says lies above each group's only node."""
-    tops = tops.select(F.col(group).alias("_group"), "path", *carried)
+    says lies above each group's only node; without ``tops`` that is nothing."""
+    if tops is not None:
+        tops = tops.select(F.col(group).alias("_group"), "path", *carried)
+    nothing = F.array().cast("array<struct<left: string, right: string>>")
     above = None
     for k in range(len(levels) - 1, -1, -1):
         nodes = levels[k]
         only = nodes.filter(complete())
-        out = only.join(tops, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+        if tops is None:
+            out = only.withColumn("path", nothing)
+        else:
+            out = only.join(tops, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
         if above is not None:
             rest = attached(nodes.filter(~complete()), above, group, FAN**k, carried)
             out = out.unionByName(rest)
@@ -161,7 +168,6 @@ def paths(levels: list[DataFrame], tops: DataFrame, group: str, carried: list[st
 
 def manifest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
-    spark = docs.sparkSession
     held = ranked(stage(leaves(docs), "leaves"), "source", "doc_id", "leaf")
     held = held.withColumns(
         {"lo": F.col("rank"), "hi": F.col("rank") + 1, "digest": F.col("leaf")}
@@ -174,9 +180,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     subroots = subroots.withColumns({"lo": F.col("rank"), "hi": F.col("rank") + 1}).drop("rank")
     top = levels_of(subroots, "all")
     found = top[-1].first()
-    nothing = F.array().cast("array<struct<left: string, right: string>>")
-    ends = spark.range(1).select(F.lit(0).alias("all"), nothing.alias("path"))
-    tops = paths(top, F.broadcast(ends), "all", []).select(
+    tops = paths(top, None, "all", []).select(
         "source", "path", F.col("digest").alias("subroot")
     )
     tops = bounded_broadcast(stage(tops, "subroot-paths"))

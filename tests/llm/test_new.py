@@ -213,6 +213,7 @@ def test_manifest_matches_brute_force_on_documents(spark):
     con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
     assert told(con.sql(oracles.OP12).fetchall()) == want
     assert 0 < out.filter("not verified").count() < len(rows) / 3
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 # --- online packing -----------------------------------------------------------------
