@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -348,18 +349,54 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("line", big("line"))
 
 
+_PATH = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1), '#.*$', '')"
+
+
 @query(
-    """WITH paths AS (SELECT page_id AS url_id, url,
-      regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1), '#.*$', '') AS path FROM pages),
-    ruled AS (SELECT url_id, url, greatest(CASE WHEN path LIKE '/en/%' THEN 4 ELSE -1 END,
-        CASE WHEN path LIKE '/%?page=%' THEN 8 ELSE -1 END)::BIGINT AS denied_by,
-      CASE WHEN path LIKE '/en/%.html' THEN 11 ELSE -1 END::BIGINT AS allowed_by FROM paths)
-    SELECT *, denied_by < 0 OR allowed_by >= denied_by AS allowed FROM ruled"""
+    f"""WITH given AS (SELECT page_id, url, {_HOST} AS domain, coalesce(nullif({_PATH}, ''), '/') AS path
+      FROM pages WHERE url NOT LIKE '%#%'),
+    own AS (SELECT DISTINCT domain, path FROM given WHERE page_id % 5 = 0),
+    odd AS (SELECT page_id * 4 AS url_id, domain, url AS asked, path FROM given
+      UNION ALL SELECT page_id * 4 + 1, domain, url || '|{{a}} b?page=2',
+        CASE WHEN path LIKE '%?%' THEN path || '|{{a}}%20b?page=2' ELSE path || '|%7Ba%7D%20b?page=2' END FROM given
+      UNION ALL SELECT page_id * 4 + 2, domain, url || '/../x|y z',
+        CASE WHEN path LIKE '%?%' THEN path || '/../x|y%20z'
+          WHEN path = '/' THEN '/x|y%20z' ELSE regexp_replace(path, '/?[^/]*$', '/x|y%20z') END FROM given
+        WHERE path NOT LIKE '%/'
+      UNION ALL SELECT page_id * 4 + 3, domain, replace(url, 'https:', 'ftp:'), NULL FROM given
+        WHERE url LIKE 'https:%'),
+    ruled AS (SELECT url_id, asked AS url, path IS NOT NULL AS web, greatest(
+        CASE WHEN odd.path LIKE '/en/%' THEN 4 ELSE -1 END,
+        CASE WHEN odd.path LIKE '/%?page=%' THEN 8 ELSE -1 END,
+        coalesce(length(own.path) + 1, -1))::BIGINT AS denied_by,
+      CASE WHEN odd.path LIKE '/en/%.html' THEN 11 ELSE -1 END::BIGINT AS allowed_by
+      FROM odd LEFT JOIN own USING (domain, path))
+    SELECT url_id, url, denied_by, allowed_by, web AND (denied_by < 0 OR allowed_by >= denied_by) AS allowed
+    FROM ruled"""
 )
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = robots.robots_rules(robots_texts(spark, sf_dir), PARAMS)
-    asked = data.table(spark, sf_dir, "pages").select(F.col("page_id").alias("url_id"), "url")
-    return robots.robots_allowed(asked, rules).withColumns(
+    """All pages and odd links made of them, judged by their hosts' texts and by rules that
+    deny a fifth of all pages one by one."""
+    c = F.col
+    given = data.table(spark, sf_dir, "pages").where(~c("url").contains("#"))
+    host, target = urls.host_of(c("url")), robots.target_of(c("url"))
+    own = given.where(c("page_id") % 5 == 0).select(
+        host.alias("domain"),
+        F.lit("disallow").alias("kind"),
+        F.concat(target, F.lit("$")).alias("pattern"),
+        F.lit(0).alias("line"),
+    )
+    rules = robots.robots_rules(robots_texts(spark, sf_dir), PARAMS).unionByName(own)
+    ends = {1: "|{a} b?page=2", 2: "/../x|y z"}
+    asked = [given.select((c("page_id") * 4).alias("url_id"), "url")]
+    for k, end in ends.items():
+        kept = given if k == 1 else given.where(~target.endswith("/"))
+        asked.append(kept.select((c("page_id") * 4 + k).alias("url_id"), F.concat("url", F.lit(end)).alias("url")))
+    other = F.regexp_replace("url", "^https:", "ftp:")
+    asked.append(
+        given.where(c("url").startswith("https:")).select((c("page_id") * 4 + 3).alias("url_id"), other.alias("url"))
+    )
+    return robots.robots_allowed(reduce(DataFrame.unionByName, asked), rules).withColumns(
         {"denied_by": big("denied_by"), "allowed_by": big("allowed_by")}
     )
 

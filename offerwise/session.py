@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Defaults that suit every job here; a cluster's own settings win.
 SETTINGS = {
@@ -73,6 +75,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again.
+
+    As ``cut``, but later steps read only the columns they use; partitions and their order
+    are not kept.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    kept = df.select(*(F.col(n).cast("string") if kind == "void" else F.col(n) for n, kind in df.dtypes))
+    kept.write.parquet(path)
+    return df.sparkSession.read.schema(kept.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy parsing when the input has too few splits.
 

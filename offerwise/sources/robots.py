@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerwise.functions.urls import host_of
+from offerwise.functions.urls import fold_dots, host_of, url_part
 from offerwise.params import Params
+from offerwise.session import staged
 
 MAX_CRAWL_DELAY_MS = 30_000
 
@@ -76,42 +77,81 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), wild, F.when(anchored, F.lit("$")).otherwise(F.lit("")))
 
 
+def rule_nodes(rules: DataFrame) -> DataFrame:
+    """The rules as rows of a prefix trie: domain, kind, ``literal`` (the beginning that is
+    taken as it is), ``depth`` (its length), ``regex`` where there is more, ``size``."""
+    c = F.col
+    body = F.when(c("pattern").endswith("$"), F.expr("substring(pattern, 1, length(pattern) - 1)"))
+    literal = F.split_part(F.coalesce(body, c("pattern")), F.lit("*"), F.lit(1))
+    more = c("pattern").contains("*") | c("pattern").endswith("$")
+    named = rules.where(c("kind").isin("allow", "disallow")).withColumn("literal", literal)
+    return named.select(
+        "domain",
+        "kind",
+        "literal",
+        F.length("literal").alias("depth"),
+        F.when(more, pattern_regex(c("pattern"))).alias("regex"),
+        F.length("pattern").alias("size"),
+    ).distinct()
+
+
+# What URL parsers percent-encode in a path and in a query.
+ENCODED_IN_PATH = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "`": "%60", "{": "%7B", "}": "%7D"}
+ENCODED_IN_QUERY = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "'": "%27"}
+
+
+def _encoded(value: Column, table: dict[str, str]) -> Column:
+    for char, code in table.items():
+        value = F.when(value.contains(char), F.replace(value, F.lit(char), F.lit(code))).otherwise(value)
+    return value
+
+
+def target_of(url: Column) -> Column:
+    """Path and query as rules see them: dot segments folded, encoded as URL parsers do."""
+    bare = F.trim(url)
+    path = F.translate(url_part(bare, 3), "\\", "/")
+    path = F.when(path.rlike(r"/\.{1,2}(/|$)"), fold_dots(path)).otherwise(path)
+    path = F.when(path == "", "/").otherwise(path)
+    query = F.when(url_part(bare, 4) == "?", "").otherwise(url_part(bare, 4))
+    return F.concat(_encoded(path, ENCODED_IN_PATH), _encoded(query, ENCODED_IN_QUERY))
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls(url_id, url)`` with ``allowed``: the longest matching rule decides, a tie allows.
 
-    Rules are collected per domain into one narrow row (a robots text is bounded), so
-    a domain with very many URLs is only a probe side and may be split by AQE.
+    A longest-match join over the trie of rules: a target meets the depths that its domain's
+    rules have, then the rules whose literal is its beginning of that depth, and only what
+    lies behind is matched as a pattern. A domain may have any number of rules: nothing is
+    gathered by domain, and rules that share no beginning with a target are never compared.
+    A URL that is none, or not of the web, is refused.
     """
     c = F.col
-    per_domain = (
-        rules.where(c("kind").isin("allow", "disallow"))
-        .groupBy("domain")
-        .agg(
-            F.collect_list(
-                F.struct("kind", pattern_regex(c("pattern")).alias("regex"), F.length("pattern").alias("size"))
-            ).alias("rules")
+    nodes = staged(rule_nodes(rules))
+    host = host_of(c("url"))
+    web = F.lower(url_part(c("url"), 1)).isin("http", "https")
+    web = web & (host != "unknown") & ~host.rlike(r"[\s<>^|]")
+    asked = staged(
+        urls.select("url_id", "url").withColumns(
+            {"domain": host, "web": F.coalesce(web, F.lit(False)), "target": target_of(c("url"))}
         )
     )
-    scheme = F.lower(F.try_parse_url("url", F.lit("PROTOCOL")))
-    path = F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
-    query = F.try_parse_url("url", F.lit("QUERY"))
-    target = F.concat(path, F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
-    asked = urls.withColumns(
-        {
-            "domain": host_of(c("url")),
-            "web": F.coalesce(scheme.isin("http", "https"), F.lit(False)),
-            "target": target,
-        }
+    depths = nodes.select("domain", "depth").distinct()
+    begun = (
+        asked.where("web")
+        .select("domain", "target")
+        .distinct()
+        .join(depths, "domain")
+        .where(c("depth") <= F.length("target"))
+        .withColumn("literal", F.expr("substring(target, 1, depth)"))
+        .drop("depth")
     )
-
-    def longest(kind: str) -> Column:
-        fitting = F.filter(
-            "rules", lambda r: (r["kind"] == kind) & F.rlike(c("target"), r["regex"])
-        )
-        return F.coalesce(F.array_max(F.transform(fitting, lambda r: r["size"])), F.lit(-1))
-
-    matched = asked.join(per_domain, "domain", "left").withColumns(
-        {"denied_by": longest("disallow"), "allowed_by": longest("allow")}
+    met = begun.join(nodes.drop("depth"), ["domain", "literal"]).where(
+        c("regex").isNull() | F.rlike("target", c("regex"))
+    )
+    sizes = met.groupBy("domain", "target").agg(
+        F.max(F.when(c("kind") == "disallow", c("size"))).alias("denied_by"),
+        F.max(F.when(c("kind") == "allow", c("size"))).alias("allowed_by"),
     )
+    judged = asked.join(sizes, ["domain", "target"], "left").fillna(-1, ["denied_by", "allowed_by"])
     allowed = c("web") & ((c("denied_by") < 0) | (c("allowed_by") >= c("denied_by")))
-    return matched.select("url_id", "url", "denied_by", "allowed_by", allowed.alias("allowed"))
+    return judged.select("url_id", "url", "denied_by", "allowed_by", allowed.alias("allowed"))

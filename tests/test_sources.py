@@ -155,6 +155,49 @@ def test_robots_patterns(spark):
     assert all(r.want == r.got for r in got)
 
 
+def test_odd_links_and_many_rules(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    parts = ["a", "b", "x|y", "c d", "{e}", "e+", "", "f.html", "..", "\u00e9"]
+    urls = [f"{s}://{h}/" + "/".join(rng.choices(parts, k=rng.randint(0, 4))) + rng.choice(["", "?q=1 2", "?"])
+            for s in ("http", "https", "ftp") for h in ("a.in", "b.in", "") for _ in range(80)]
+    urls += ["https://a.in", "no url", "https://a b/x", "https://A.in:8080/a#f"]
+    made = ["/", "/a", "/a/*", "/*/b", "/a/b$", "/x|y", "/*?q=", "/c%20d", "/%7Be%7D/*f.html$", "/e+", "*", "/b$", "/a$b"]
+    rules = [(h, k, p) for h in ("a.in", "b.in") for p in made for k in ("allow", "disallow") if rng.random() < 0.5]
+    rules += [("a.in", "disallow", f"/never/{i}") for i in range(2000)]
+
+    def fits(target, pattern):
+        body = re.escape(pattern.removesuffix("$")).replace(r"\*", ".*")
+        return re.match(body + ("$" if pattern.endswith("$") else ""), target) is not None
+
+    def want(url):
+        m = re.match(r"(https?)://([a-zA-Z.]+)(:\d+)?(?=[/?#]|$)([^?#]*)(\?[^#]*)?", url)
+        if not m:
+            return False
+        path, kept = m[4], []
+        if "/.." in path:
+            for part in path.split("/")[1:]:
+                kept = kept[:-1] if part == ".." else [*kept, part]
+            path = "/" + "/".join(kept) + ("/" if path.endswith("/..") and kept else "")
+        query = "" if m[5] in (None, "?") else m[5]
+        for char, code in ((" ", "%20"), ("{", "%7B"), ("}", "%7D")):
+            path = path.replace(char, code)
+        target = (path or "/") + query.replace(" ", "%20")
+        sizes = {k: max([len(p) for h, kind, p in rules if h == m[2].lower() and kind == k and fits(target, p)], default=-1)
+                 for k in ("allow", "disallow")}
+        return sizes["disallow"] < 0 or sizes["allow"] >= sizes["disallow"]
+
+    asked = spark.createDataFrame(list(enumerate(urls)), "url_id long, url string")
+    ruled = spark.createDataFrame(rules, "domain string, kind string, pattern string")
+    found = robots.robots_allowed(asked, ruled)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    for r in found.collect():
+        assert r.allowed == want(urls[r.url_id]), urls[r.url_id]
+    assert found.count() == len(urls)
+
+
 def test_listings(spark, params):
     payload = json.dumps({"data": {"children": [
         {"data": {"title": "ACME deal", "selftext": "Use code ACME500 for Rs.500 off", "permalink": "/r/x/1",
