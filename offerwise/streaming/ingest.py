@@ -1,26 +1,132 @@
-"""Continuous claim ingestion into the offer tables."""
+"""Continuous claim ingestion into the offer tables.
+
+The tables are keyed stores of runs, so a micro-batch writes the offers and pages it changed.
+Evidence decays, so offers change without claims too. A calendar says when: with each offer
+that is written goes the next instant at which its score or status can change, in a folder of
+that day. A cycle takes the offers that its claims name and those whose instant has come since
+the cycle before, reads these and their pages only, and leaves all others as they are, which is
+what rescoring all would give.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from offerwise.params import Params
-from offerwise.plans.discovery import Stored, discovery_cycle, empty_store
+from offerwise.plans.discovery import KEY, Stored, Upserted, discovery_cycle
 from offerwise.schemas import OFFERS, SOURCES
 from offerwise.session import cut
+from offerwise.streaming.store import KeyedStore
+
+CALENDAR = "dedupe_key STRING, next_change_at TIMESTAMP"
+#: After so many batches the calendar is written anew, from all offers.
+RENEW = 16
+#: So many runs of a level of a table merge into one of the next.
+FAN = 4
+
+
+def offer_store(store: str) -> KeyedStore:
+    return KeyedStore(f"{store}/offers", f"{OFFERS}, next_change_at TIMESTAMP", (KEY,), FAN)
+
+
+def source_store(store: str) -> KeyedStore:
+    return KeyedStore(f"{store}/sources", SOURCES, (KEY, "source_name", "source_url"), FAN)
 
 
 def read_store(spark: SparkSession, store: str, version: int) -> Stored:
     """The tables as one micro-batch left them; empty before the first."""
-    if version < 0:
-        return empty_store(spark)
-    return Stored(
-        spark.read.schema(OFFERS).parquet(f"{store}/v{version}/offers"),
-        spark.read.schema(SOURCES).parquet(f"{store}/v{version}/sources"),
+    offers = offer_store(store).read(spark, version).drop("next_change_at")
+    return Stored(offers, source_store(store).read(spark, version))
+
+
+def read_observations(spark: SparkSession, store: str, version: int) -> DataFrame:
+    """What one micro-batch observed."""
+    return spark.read.parquet(f"{store}/observations/{version}")
+
+
+def next_change(offers: DataFrame, sources: DataFrame, params: Params) -> DataFrame:
+    """``offers`` with the first instant from now on behind which a rule may read them otherwise.
+
+    An instant is when a span that a rule allows ends: rules hold up to it and not after it.
+    It may be early (a page that ages beside a fresher one of its domain), never late.
+    """
+    c, now = F.col, params.now_col()
+
+    def ends(at: Column, hours: float) -> Column:
+        end = at + F.make_dt_interval(secs=F.lit(hours * 3600.0))
+        return F.when(end >= now, end)
+
+    third = ends(c("last_seen_at"), 24 * params.third_party_recent_days)
+    official = c("source_type") == "official"
+    week = ends(c("last_seen_at"), 24 * params.official_recent_days)
+    aging = sources.groupBy(KEY).agg(
+        F.min(F.when(~official, third)).alias("_third"), F.min(F.when(official, week)).alias("_official")
+    )
+    seen = c("last_seen_at")
+    spans = [
+        F.when(c("expiry_date") >= now, c("expiry_date")),
+        ends(c("cart_accepted_at"), params.cart_evidence_hours),
+        ends(c("official_confirmed_at"), 24 * params.official_recent_days),
+        *(ends(seen, hours) for hours in (24, 24 * 7, 24 * params.third_party_recent_days)),
+        c("_third"),
+        c("_official"),
+    ]
+    dated = offers.join(aging, KEY, "left")
+    return dated.withColumn("next_change_at", F.least(*spans)).drop("_third", "_official")
+
+
+def _write_calendar(offers: DataFrame, store: str, version: int) -> None:
+    days = offers.where("next_change_at is not null").select(
+        KEY, "next_change_at", F.to_date("next_change_at").alias("day")
     )
+    days.write.mode("overwrite").partitionBy("day").parquet(f"{store}/calendar/{version}")
+
+
+def due(spark: SparkSession, store: str, version: int, since: Params, params: Params) -> DataFrame:
+    """The offers that may have changed after ``since`` and before now; only those days are read.
+
+    An entry that a later batch has overtaken makes its offer due once more, which changes nothing.
+    """
+    base = max(0, (version - 1) // RENEW * RENEW)
+    read = [
+        spark.read.schema(f"{CALENDAR}, day DATE").parquet(f"{store}/calendar/{v}")
+        for v in range(base, version)
+    ]
+    if not read:
+        return spark.createDataFrame([], CALENDAR).select(KEY)
+    c = F.col
+    days = c("day").between(F.to_date(since.now_col()), F.to_date(params.now_col()))
+    come = (c("next_change_at") >= since.now_col()) & (c("next_change_at") < params.now_col())
+    return reduce(DataFrame.unionByName, read).where(days & come).select(KEY).distinct()
+
+
+def upsert_batch(
+    claims: DataFrame, store: str, version: int, params: Params, since: Params | None = None
+) -> Upserted:
+    """One cycle over the offers it concerns. ``since`` has the clock of the cycle before."""
+    spark = claims.sparkSession
+    claims = cut(claims)
+    named = claims.select(KEY)
+    if since is not None:
+        named = named.unionByName(due(spark, store, version, since, params))
+    named = cut(named.distinct())
+    offers = offer_store(store).read(spark, version - 1, named).drop("next_change_at")
+    sources = source_store(store).read(spark, version - 1, named)
+    step = discovery_cycle(Stored(offers, sources), claims, params)
+    dated = cut(next_change(step.offers, step.sources, params))
+    offer_store(store).write(dated, version)
+    pages = claims.select(KEY, "source_name", "source_url").distinct()
+    source_store(store).write(step.sources.join(pages, pages.columns, "left_semi"), version)
+    step.observations.write.mode("overwrite").parquet(f"{store}/observations/{version}")
+    if version % RENEW == 0:
+        dated = offer_store(store).read(spark, version)
+    _write_calendar(dated, store, version)
+    return step
 
 
 def params_of(params: Params | Callable[[int], Params], number: int) -> Params:
@@ -39,19 +145,14 @@ def upsert_stream(
     """Upsert, sweep and rescore with every micro-batch. ``store`` is a folder all executors
     share; ``params`` may be a function of the batch's number, so that the clock moves.
 
-    Micro-batches run one after another, so cycles never overlap. Each batch reads
-    the version before it and writes its own, overwriting what a failed attempt left,
-    so a batch that is retried gives the same tables.
+    Micro-batches run one after another, so cycles never overlap, and the clock never goes
+    back. Each batch reads the version before it and writes its own, overwriting what a failed
+    attempt left, so a batch that is retried gives the same tables.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        stored = read_store(spark, store, number - 1)
-        step = discovery_cycle(stored, cut(to_claims(batch)), params_of(params, number))
-        base = f"{store}/v{number}"
-        step.offers.write.mode("overwrite").parquet(f"{base}/offers")
-        step.sources.write.mode("overwrite").parquet(f"{base}/sources")
-        step.observations.write.mode("overwrite").parquet(f"{base}/observations")
+        since = params_of(params, number - 1) if number else None
+        upsert_batch(to_claims(batch), store, number, params_of(params, number), since)
 
     writer = stream.writeStream.foreachBatch(run).option(
         "checkpointLocation", f"{store}/_progress"

@@ -1,6 +1,7 @@
 """Streams against the batch results and a sequential fold."""
 
 import datetime as dt
+import random
 from dataclasses import replace
 
 import pytest
@@ -9,7 +10,8 @@ from test_merge import claim, fold, frame, random_claims
 
 from offerwise.operators import history
 from offerwise.plans import discovery
-from offerwise.schemas import CLAIMS, names
+from offerwise.schemas import CLAIMS, OFFERS, names
+from offerwise.streaming import ingest
 from offerwise.streaming.ingest import read_store, upsert_stream
 from offerwise.streaming.observations import observe_stream, read_events
 
@@ -111,6 +113,38 @@ def test_the_clock_moves_between_batches(spark, params, tmp_path):
     assert read_store(spark, store, 2).offers.first().status == "expired"
 
 
+def test_a_batch_writes_what_it_changes_and_the_calendar_finds_what_ages(spark, params, tmp_path, monkeypatch):
+    """Against whole cycles over all offers, with a clock that moves by hours, days and weeks."""
+    rng = random.Random(8)
+    rows = random_claims(120, 30, seed=21)
+    batches = [rows[:90], *(rows[i : i + 10] for i in range(90, 120, 10))]
+    hours = [0, 0, 24 * 8, 24 * 31]
+    clocks = [replace(params, now=NOW + dt.timedelta(hours=h)) for h in hours]
+    store, whole = str(tmp_path / "store"), discovery.empty_store(spark)
+    monkeypatch.setattr(ingest, "FAN", 3)
+    for number, (batch, clock) in enumerate(zip(batches, clocks, strict=True)):
+        batch = [dict(r, last_seen_at=clock.now - dt.timedelta(hours=rng.randrange(900))) for r in batch]
+        given = frame(spark, batch)
+        if number == 1:  # an attempt that failed half way is overwritten
+            ingest.offer_store(store).write(
+                spark.createDataFrame([], f"{OFFERS}, next_change_at TIMESTAMP"), number
+            )
+        step = ingest.upsert_batch(given, store, number, clock, clocks[number - 1] if number else None)
+        want = discovery.discovery_cycle(whole, given, clock)
+        whole = discovery.Stored(want.offers, want.sources)
+        if number == 1:
+            run = spark.read.parquet(f"{store}/offers/runs/{number}-0")
+            assert run.count() == len({r["dedupe_key"] for r in batch}) < want.offers.count()
+        events = ["dedupe_key", "event", "status", "confidence"]
+        assert sorted(map(str, step.observations.select(*events).collect())) == sorted(
+            map(str, want.observations.select(*events).collect())
+        )
+    found = read_store(spark, store, number)
+    for mine, theirs in ((found.offers, want.offers), (found.sources, want.sources)):
+        assert sorted(map(str, mine.collect())) == sorted(map(str, theirs.select(*mine.columns).collect()))
+    assert [level for level, _ in ingest.offer_store(store).runs(spark, number)] == [1, 0]
+
+
 def test_observation_log_is_appended_by_day(spark, params, tmp_path):
     step = discovery.upsert(discovery.empty_store(spark), frame(spark, [claim(1, "CODE:A1BC")]), params)
     for _ in range(2):
