@@ -59,14 +59,21 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
       {sql.ts('last_seen')} AS last_seen_at FROM merged JOIN evid USING (dedupe_key)"""
 )
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items arriving as a stream, upserted batch by batch."""
-    lines = stream_of(spark, sf_dir, "lineitem")
-    store = shared_folder(spark, "offers")
-    running = upsert_stream(
-        lines, lambda rows: data.claims_from(spark, sf_dir, rows), store, PARAMS
-    )
-    running.awaitTermination()
-    last = running.lastProgress["batchId"] if running.lastProgress else -1
+    """Line items arriving in two parts, by ship date: a stream that goes on where it stopped
+    takes each as one micro-batch, and upserts the offers it names."""
+    store, folder = shared_folder(spark, "offers"), shared_folder(spark, "lines")
+    given = data.table(spark, sf_dir, "lineitem")
+    shipped = F.coalesce(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date"))
+    cuts = [F.lit(day).cast("date") for day in ("0001-01-01", "1997-01-01", "9999-12-31")]
+    last = -1
+    for k, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        given.where((shipped >= start) & (shipped < end)).write.parquet(f"{folder}/{k}")
+        lines = spark.readStream.schema(given.schema).option("recursiveFileLookup", True).parquet(folder)
+        running = upsert_stream(
+            lines, lambda rows: data.claims_from(spark, sf_dir, rows), store, PARAMS
+        )
+        running.awaitTermination()
+        last = running.lastProgress["batchId"] if running.lastProgress else last
     return read_store(spark, store, last).offers.select(
         *batch._term_columns(),
         big("source_count"),
