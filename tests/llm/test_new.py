@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 
-from offerwise.llm import conversations, manifest, online, oracles, packing
+from offerwise.llm import conversations, manifest, online, oracles, packing, substrings
 
 CONV = "conv_id bigint, turn bigint, role string, text string, copies string, n string, long string, digest string"
 
@@ -303,3 +303,31 @@ def test_online_packing_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = online.pack_online(docs).collect()
     check_packed(docs.select("doc_id", "text").collect(), out, 2048)
+
+
+# --- repeated substrings of the given documents ---------------------------------------
+
+
+def test_removed_bytes_are_those_of_every_repeated_string(spark):
+    """All 400-byte strings of all documents, counted one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    starts = [[hash(t[i : i + 400]) for i in range(len(t) - 399)] for _, t in texts]
+    seen, again = set(), set()
+    for own in starts:
+        for code in own:
+            (again if code in seen else seen).add(code)
+    want = []
+    for (doc_id, text), own in zip(texts, starts, strict=True):
+        gone = np.zeros(len(text) + 1, dtype=np.int64)
+        for i, code in enumerate(own):
+            if code in again:
+                gone[i] += 1
+                gone[i + 400] -= 1
+        gone = np.cumsum(gone)[: len(text)] > 0
+        kept = np.frombuffer(text, dtype="u1")[~gone].tobytes()
+        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
+        want.append((doc_id, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    out = substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert told(out.collect()) == told(want)
+    assert sum(w[2] > 0 for w in want) > 100
