@@ -522,21 +522,36 @@ def union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{sql.chain(sql.claims())}, found AS (SELECT source_name, count(*) AS n FROM claims GROUP BY 1)
+    f"""{sql.chain(sql.claims())}, found AS (SELECT source_name, count(*) AS n FROM claims GROUP BY 1),
+    fetched AS (SELECT 'pub' || user_id AS name, ts, event_type = 'error' AS bad,
+      CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens
+      FROM events),
+    numbered AS (SELECT *, sum(opens) OVER (PARTITION BY name ORDER BY ts) AS session FROM fetched),
+    runs AS (SELECT name, session, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS ms, bool_or(bad) AS bad
+      FROM numbered GROUP BY 1, 2),
+    took AS (SELECT name, count(*) AS sessions, count(*) FILTER (bad) AS bad, sum(ms) AS ms FROM runs GROUP BY 1)
     SELECT 'pub' || s_suppkey AS name, coalesce(n, 0)::BIGINT AS candidates,
       coalesce(n, 0)::BIGINT AS with_codes, (s_acctbal < 0)::BIGINT AS errors,
-      s_acctbal < 0 AS failed
-    FROM supplier LEFT JOIN found ON source_name = 'pub' || s_suppkey"""
+      coalesce(sessions, 0)::BIGINT AS sessions, coalesce(bad, 0)::BIGINT AS failed_sessions,
+      coalesce(ms, 0)::BIGINT AS duration_ms, s_acctbal < 0 AS failed
+    FROM supplier LEFT JOIN found ON source_name = 'pub' || s_suppkey
+      LEFT JOIN took ON took.name = 'pub' || s_suppkey"""
 )
 def source_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as registered sources; those in debt failed once."""
+    """Suppliers as registered sources; those in debt failed once. Events are their fetches."""
     c = F.col
     claims = data.claims(spark, sf_dir).withColumn("source_label", c("source_name"))
     listed = data.table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("pub"), c("s_suppkey").cast("string")).alias("name"), "s_acctbal"
     )
     failed = listed.where(c("s_acctbal") < 0).select("name")
-    return discovery.source_metrics(claims, listed.select("name"), failed)
+    fetches = data.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("pub"), c("user_id").cast("string")).alias("name"),
+        c("ts").cast("timestamp").alias("fetched_at"),
+        (c("event_type") == "error").alias("failed"),
+    )
+    sessions = discovery.source_sessions(fetches)
+    return discovery.source_metrics(claims, listed.select("name"), failed, sessions)
 
 
 # --- history --------------------------------------------------------------------------

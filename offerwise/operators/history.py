@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerwise.functions.text import iso_ms, number_text
@@ -69,14 +69,31 @@ def observe(df: DataFrame, params: Params, **values: Column) -> DataFrame:
     return conform(named, OBSERVATIONS)
 
 
-def append_observations(observations: DataFrame, path: str) -> None:
-    """Append to the log, one folder per day."""
+def append_observations(observations: DataFrame, path: str, batch: str | int) -> None:
+    """Append one batch to the log, one folder per batch and day; its mark comes last.
+
+    A batch that is written again, whole or after a failure, replaces what it wrote before, so
+    rows are never there twice. ``read_observations`` has the log.
+    """
     (
         observations.withColumn("observed_on", F.to_date("observed_at"))
-        .write.mode("append")
+        .write.mode("overwrite")
         .partitionBy("observed_on")
-        .parquet(path)
+        .parquet(f"{path}/rows/batch={batch}")
     )
+    mark = observations.sparkSession.range(1).select(F.lit(str(batch)).alias("batch")).coalesce(1)
+    mark.write.mode("overwrite").parquet(f"{path}/done/{batch}")
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """All batches that ended, with ``batch`` and ``observed_on``; days and batches are pruned.
+
+    A batch whose job failed has no mark and is left out. There are as many marks as batches.
+    """
+    marks = spark.read.schema("batch STRING").option("recursiveFileLookup", True).parquet(f"{path}/done")
+    folders = [f"{path}/rows/batch={r[0]}" for r in marks.collect()]
+    schema = f"{OBSERVATIONS}, batch STRING, observed_on DATE"
+    return spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(*folders)
 
 
 def replay(observations: DataFrame, span: str = "day") -> DataFrame:

@@ -203,22 +203,49 @@ def discovery_cycle(stored: Stored, claims: DataFrame, params: Params) -> Upsert
     return Upserted(cut(conform(rescored, OFFERS)), sources, log, step.result)
 
 
-def source_metrics(claims: DataFrame, registry: DataFrame, errors: DataFrame) -> DataFrame:
-    """Per source of the cycle: candidates, with codes, errors; silent sources too."""
+def source_sessions(fetches: DataFrame, gap: str = "2 hours") -> DataFrame:
+    """Runs of a source: ``fetches(name, fetched_at, failed)`` that follow one another within
+    ``gap``, with start, duration, number of fetches and of those that failed."""
+    c = F.col
+    return (
+        fetches.groupBy("name", F.session_window("fetched_at", gap).alias("session"))
+        .agg(
+            F.min("fetched_at").alias("started_at"),
+            F.max("fetched_at").alias("_ended"),
+            F.count(F.lit(1)).alias("fetches"),
+            F.count(F.when(c("failed"), 1)).alias("failed_fetches"),
+        )
+        .withColumn(
+            "duration_ms",
+            F.expr("(unix_micros(_ended) - unix_micros(started_at)) div 1000"),
+        )
+        .drop("session", "_ended")
+    )
+
+
+def source_metrics(
+    claims: DataFrame, registry: DataFrame, errors: DataFrame, sessions: DataFrame
+) -> DataFrame:
+    """Per source of the cycle: candidates, with codes, errors, and of its ``source_sessions``
+    the number, the whole duration and how many had a failure; silent sources too."""
     c = F.col
     found = claims.groupBy(c("source_label").alias("name")).agg(
         F.count(F.lit(1)).alias("candidates"),
         F.count(F.when(c("code").isNotNull(), 1)).alias("with_codes"),
     )
     failed = errors.groupBy("name").agg(F.count(F.lit(1)).alias("errors"))
+    took = sessions.groupBy("name").agg(
+        F.count(F.lit(1)).alias("sessions"),
+        F.count(F.when(c("failed_fetches") > 0, 1)).alias("failed_sessions"),
+        F.sum("duration_ms").alias("duration_ms"),
+    )
+    counts = ("candidates", "with_codes", "errors", "sessions", "failed_sessions", "duration_ms")
     return (
         registry.select("name")
         .join(found, "name", "left")
         .join(failed, "name", "left")
-        .select(
-            "name",
-            *(F.coalesce(n, F.lit(0)).alias(n) for n in ("candidates", "with_codes", "errors")),
-        )
+        .join(took, "name", "left")
+        .select("name", *(F.coalesce(n, F.lit(0)).alias(n) for n in counts))
         .withColumn("failed", c("errors") > 0)
     )
 

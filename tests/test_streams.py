@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import shutil
 from dataclasses import replace
 
 import pytest
@@ -145,10 +146,15 @@ def test_a_batch_writes_what_it_changes_and_the_calendar_finds_what_ages(spark,
     assert [level for level, _ in ingest.offer_store(store).runs(spark, number)] == [1, 0]
 
 
-def test_observation_log_is_appended_by_day(spark, params, tmp_path):
+def test_observation_log_is_appended_once_per_batch(spark, params, tmp_path):
+    log = str(tmp_path / "log")
     step = discovery.upsert(discovery.empty_store(spark), frame(spark, [claim(1, "CODE:A1BC")]), params)
-    for _ in range(2):
-        history.append_observations(step.observations, str(tmp_path / "log"))
-    log = spark.read.parquet(str(tmp_path / "log"))
-    assert log.count() == 2 and str(log.first().observed_on) == "2026-08-19"
+    for batch in (7, 7, 8):  # the first is written twice
+        history.append_observations(step.observations, log, batch)
+    found = history.read_observations(spark, log).collect()
+    assert [(r.batch, str(r.observed_on)) for r in sorted(found, key=lambda r: r.batch)] == [
+        ("7", "2026-08-19"), ("8", "2026-08-19"),
+    ]
+    shutil.rmtree(tmp_path / "log" / "done" / "8")  # as a job leaves it that fails
+    assert [r.batch for r in history.read_observations(spark, log).collect()] == ["7"]
     assert set(names(CLAIMS)) >= {"dedupe_key", "seq"}
