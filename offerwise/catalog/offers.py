@@ -20,6 +20,7 @@ from offerwise.operators.pricing import refresh_derived as refreshed
 from offerwise.operators.pricing import with_target_analysis
 from offerwise.params import Params
 from offerwise.plans import discovery, revalidation
+from offerwise.plans import report as report_plan
 from offerwise.session import cut
 
 # --- merging -------------------------------------------------------------------
@@ -835,23 +836,36 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_rows(ranked.join(nested, "dedupe_key", "left"), PARAMS, ("sources",))
 
 
+def _cents(x: str) -> str:
+    return f"({x})::DECIMAL(18, 2)::VARCHAR"
+
+
+def _step(cart: float) -> str:
+    off = sql.raw_discount(f"{cart:g}")
+    pay = sql.round2(f"{cart:g} - {off}")
+    return f"{_cents(f'{cart:g}')} || ' - ' || {_cents(sql.round2(off))} || ' = ' || {_cents(pay)}"
+
+
+_STEPS = ", ".join(_step(cart) for cart in PARAMS.full_ladder)
+
+
 @query(
     f"""{sql.OFFERS}, listed AS (
-      SELECT dedupe_key, label FROM (
+      SELECT dedupe_key, label, n FROM (
         SELECT dedupe_key, label, row_number() OVER (PARTITION BY dedupe_key ORDER BY first_seq) AS n
         FROM (SELECT dedupe_key, source_name || '(' || CASE WHEN official THEN 'official'
             ELSE 'coupon-site' END || ')' AS label, first_seq FROM srcs)) WHERE n <= 6),
-    summed AS (SELECT dedupe_key, string_agg(label, ', ' ORDER BY label) AS source_summary
+    summed AS (SELECT dedupe_key, string_agg(label, ', ' ORDER BY n) AS source_summary
       FROM listed GROUP BY dedupe_key)
     SELECT dedupe_key, status, discount_at, price, "expiryDate", "lastSeenAt", validated_label,
-      "officialConfirmedAt", source_summary, steps
+      "officialConfirmedAt", source_summary, ladder
     FROM (SELECT dedupe_key, status, discount AS discount_at,
       CASE WHEN applicable THEN pay END AS price, {sql.iso('expiry')} AS "expiryDate",
       {sql.iso('last_seen')} AS "lastSeenAt",
       coalesce(strftime(validated + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M') || ' IST', 'never')
         AS validated_label,
       {sql.iso('greatest(official_seen, CASE WHEN first_official THEN ' + sql.NOW + ' END)')}
-        AS "officialConfirmedAt", {len(PARAMS.full_ladder)}::BIGINT AS steps
+        AS "officialConfirmedAt", concat_ws('; ', {_STEPS}) AS ladder
       FROM offers)
     JOIN summed USING (dedupe_key)"""
 )
@@ -859,11 +873,14 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshot, found = data.offers(spark, sf_dir)
     ranked = report.with_labels(ranking.rank_offers(snapshot, PARAMS), PARAMS)
     rows = report.report_rows(ranked, PARAMS, ("validated_label",))
-    # labels are compared as a sorted list; source_summary keeps arrival order
-    names = report.source_summary(found).withColumn(
-        "source_summary", F.array_join(F.array_sort(F.split("source_summary", ", ")), ", ")
+    cents = lambda x: x.cast("decimal(18,2)").cast("string")
+    steps = F.transform(
+        "cartValueAnalysis",
+        lambda s: F.concat(
+            cents(s["cartValue"]), F.lit(" - "), cents(s["discount"]), F.lit(" = "), cents(s["finalPrice"])
+        ),
     )
-    return rows.join(names, "dedupe_key").select(
+    return rows.join(report.source_summary(found), "dedupe_key").select(
         "dedupe_key",
         "status",
         F.col("discountAtTarget").alias("discount_at"),
@@ -873,7 +890,37 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "validated_label",
         "officialConfirmedAt",
         "source_summary",
-        big(F.size("cartValueAnalysis"), "steps"),
+        F.array_join(steps, "; ").alias("ladder"),
+    )
+
+
+_LISTED = """dedupe_key, code, title, status, kind AS "discountType", val AS "discountValue",
+  discount AS "discountAtTarget", CASE WHEN applicable THEN pay END AS "finalPriceAtTarget",
+  doubt AS "uncertaintyReason", independent AS "independentSources", confidence::BIGINT AS confidence"""
+
+
+@query(
+    f"""{sql.OFFERS}
+    SELECT 'best' AS list, {_LISTED} FROM (SELECT * FROM offers WHERE status = 'valid' ORDER BY {sql.RANKING} LIMIT 1)
+    UNION ALL SELECT 'targetMatches', {_LISTED} FROM offers WHERE hits AND doubt IS NULL
+    UNION ALL SELECT 'potentialTargetMatches', {_LISTED} FROM offers WHERE hits AND doubt IS NOT NULL"""
+)
+def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as it is assembled: the best offer and both target lists, in whole rows."""
+    shown = report_plan.build(*data.offers(spark, sf_dir), PARAMS)
+    return report.report_lists(shown.best, shown.target_matches, shown.potential_target_matches, PARAMS).select(
+        "list",
+        "dedupe_key",
+        "code",
+        "title",
+        "status",
+        "discountType",
+        "discountValue",
+        "discountAtTarget",
+        "finalPriceAtTarget",
+        "uncertaintyReason",
+        "independentSources",
+        big("confidence"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,7 +218,8 @@ def write_reports(ranked: DataFrame, sources: DataFrame, params: Params, folder:
     """Write the report set under ``folder``.
 
     ``latest_json``/``latest_csv`` and ``valid_json``/``valid_csv`` are folders of
-    part files in rank order, ``summary_json`` holds counts and target settings, and
+    part files in rank order, ``lists_json`` has the best offer and the target lists in whole
+    rows, ``summary_json``, written last, holds counts and target settings, and
     ``source_lineage`` is every offer's complete lineage as Parquet, by offer and arrival.
     Rows name their offer in it by ``lineageKey`` and nest sources only where
     ``max_nested_sources`` asks for it.
@@ -254,11 +257,32 @@ def write_reports(ranked: DataFrame, sources: DataFrame, params: Params, folder:
     # arrival is part of the range key, so one offer's sources spread over tasks
     by_arrival = source_lineage(sources).orderBy(KEY, "arrived_at", "first_seq")
     by_arrival.write.mode("overwrite").parquet(f"{folder}/source_lineage")
+    lists = report_lists(
+        held.where(F.col("status") == "valid").orderBy(*rank_order()).limit(1),
+        in_order(held.where("target_match")),
+        in_order(held.where("potential_target_match")),
+        params,
+    )
+    lists.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("list").json(
+        f"{folder}/lists_json"
+    )
     report_summary(held, params).write.mode("overwrite").option(
         "ignoreNullFields", "false"
     ).json(f"{folder}/summary_json")
 
 
+def report_lists(
+    best: DataFrame, matches: DataFrame, potential: DataFrame, params: Params
+) -> DataFrame:
+    """The best offer and both target lists as whole report rows, with the ``list`` they are in.
+
+    They are rows and not arrays in the report's head, so a list may have any length.
+    """
+    named = {"best": best, "targetMatches": matches, "potentialTargetMatches": potential}
+    parts = [report_rows(df, params).withColumn("list", F.lit(name)) for name, df in named.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def report_summary(ranked: DataFrame, params: Params) -> DataFrame:
     """The report's head: one row of counts, target settings and times."""
     c = F.col
