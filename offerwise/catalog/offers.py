@@ -953,30 +953,32 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _cell(x: str) -> str:
+    """A number as the CSV report prints it."""
+    return f"coalesce(regexp_replace(({x})::VARCHAR, '\\.0$', ''), '')"
+
+
 @query(
     f"""{sql.OFFERS}, nested AS (
       SELECT dedupe_key, string_agg(source_name || '|https://' || domain || '/offers', ' ; '
         ORDER BY first_seq) AS sources FROM srcs GROUP BY dedupe_key)
     SELECT code, title, status, confidence::VARCHAR AS confidence, kind AS "discountType",
-      {_num('val').replace("'unknown'", "''")} AS "discountValue", hedged::VARCHAR AS "isUpTo",
-      {_num('minimum').replace("'unknown'", "''")} AS "minimumOrder",
-      coalesce(doubt, '') AS "uncertaintyReason",
-      coalesce({sql.iso('expiry')}, '') AS "expiryDate",
-      source_count::VARCHAR AS "sourceCount", sources
+      {_cell('val')} AS "discountValue", hedged::VARCHAR AS "isUpTo",
+      {_cell('minimum')} AS "minimumOrder", (minimum IS NOT NULL)::VARCHAR AS "minimumOrderKnown",
+      {_cell('cap')} AS "maximumDiscount", {_cell('discount')} AS "discountAtTarget",
+      {_cell('CASE WHEN applicable THEN pay END')} AS "finalPriceAtTarget",
+      {_cell('eff')} AS "effectiveDiscountAtTarget",
+      (hits AND doubt IS NULL)::VARCHAR AS "targetMatch",
+      (hits AND doubt IS NOT NULL)::VARCHAR AS "potentialTargetMatch",
+      coalesce(doubt, '') AS "uncertaintyReason", '' AS "newUsersOnly", '' AS "appOnly",
+      '' AS "selectedUsersOnly", '' AS "selectedProductsOnly", '' AS "firstOrderOnly",
+      coalesce({sql.iso('expiry')}, '') AS "expiryDate", {sql.iso('first_seen')} AS "firstSeenAt",
+      {sql.iso('last_seen')} AS "lastSeenAt", coalesce({sql.iso('validated')}, '') AS "lastValidatedAt",
+      CASE WHEN k % 11 <> 0 THEN 'public-sources-only' ELSE '' END AS "validationMethod",
+      '' AS "validationNotes", source_count::VARCHAR AS "sourceCount",
+      independent::VARCHAR AS "independentSources", sources, dedupe_key AS "lineageKey"
     FROM offers JOIN nested USING (dedupe_key)"""
 )
 def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.csv_rows(_report(spark, sf_dir)).select(
-        "code",
-        "title",
-        "status",
-        "confidence",
-        "discountType",
-        "discountValue",
-        "isUpTo",
-        "minimumOrder",
-        "uncertaintyReason",
-        "expiryDate",
-        "sourceCount",
-        "sources",
-    )
+    """All columns of the CSV report."""
+    return report.csv_rows(_report(spark, sf_dir))
