@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerwise.functions.text import iso_ms, number_text
 from offerwise.params import Params
 from offerwise.schemas import OBSERVATIONS, conform
+from offerwise.session import staged
 
 # Tracked columns with the names used in change texts, in order.
 TRACKED = {
@@ -96,15 +97,24 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(*folders)
 
 
-def replay(observations: DataFrame, span: str = "day") -> DataFrame:
+def replay(observations: DataFrame, span: str = "day", hot_rows: int = 1_000_000) -> DataFrame:
     """Each offer's history: every row with the event and time before it.
 
-    Rows are ordered within (offer, span of time), so an offer with a very long
-    history is spread over tasks; the last row of the span before is handed over by
-    a table of one row per offer and span.
+    Rows are ordered within (offer, span), so an offer with a very long history is spread over
+    tasks; the last row of the span before is handed over by a table of one row per offer and
+    span. Spans are days, or where an offer has more than ``hot_rows`` rows in one (counted),
+    the ranges that a range sort by offer and time cuts, of which any one is a task's share.
     """
     c = F.col
-    spans = observations.withColumn("_span", F.date_trunc(span, "observed_at"))
+    days = observations.withColumn("_span", F.date_trunc(span, "observed_at"))
+    counts = days.groupBy("dedupe_key", "_span").agg(F.count(F.lit(1)).alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= hot_rows:
+        spans = days
+    else:
+        parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # ranges are numbered in the order of their rows
+        ranged = observations.repartitionByRange(parts, "dedupe_key", "observed_at", "observation_id")
+        spans = staged(ranged.withColumn("_span", F.spark_partition_id()))
     order = F.struct("observed_at", "observation_id")
     ends = spans.groupBy("dedupe_key", "_span").agg(
         F.max_by(F.struct("event", "observed_at"), order).alias("_end")

@@ -245,3 +245,16 @@ def test_replay_over_days(spark):
     df = spark.createDataFrame(rows, "observation_id long, dedupe_key string, event string, observed_at timestamp")
     found = {r.observation_id: r for r in history.replay(df).collect()}
     assert all(found[i].previous_event == (f"e{i - 3}" if i >= 3 else None) for i in range(60))
+
+
+def test_replay_of_a_hot_offer_day(spark):
+    """An offer with a third of all rows within one day is cut into ranges."""
+    rows = [(i, "HOT" if i % 3 == 0 else f"K{i % 7}", f"e{i}", NOW + dt.timedelta(seconds=i // 2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "observation_id long, dedupe_key string, event string, observed_at timestamp")
+    found = {r.observation_id: r for r in history.replay(df, hot_rows=100).collect()}
+    assert len(found) == len(rows)
+    last = {}
+    for i, key, event, at in rows:
+        before = last.get(key, (None, None))
+        assert (found[i].previous_event, found[i].previous_at) == before, i
+        last[key] = (event, at)
