@@ -83,26 +83,63 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_UPTO = "OVER (PARTITION BY dedupe_key ORDER BY seq)"
+
+
+def _within(mark: str) -> str:
+    return f"OVER (PARTITION BY dedupe_key, {mark} ORDER BY seq)"
+
+
+# the terms after each claim, by running and segmented windows
+_RUNNING = f"""{sql.chain(sql.claims())}, marked AS (
+  SELECT *, (date_diff('day', DATE '1970-01-01', seen::DATE)::BIGINT << 44) + (l_orderkey << 4) + l_linenumber AS arrival,
+    count(*) FILTER (official AND minimum IS NOT NULL) {_UPTO} AS m_min,
+    count(*) FILTER (official AND cap IS NOT NULL) {_UPTO} AS m_cap,
+    count(*) FILTER (official) {_UPTO} AS m_up,
+    count(*) FILTER (official AND expiry IS NOT NULL) {_UPTO} AS m_exp,
+    row_number() OVER (PARTITION BY dedupe_key, source_name ORDER BY seq) = 1 AS new_page
+  FROM claims
+), terms AS (
+  SELECT dedupe_key, seq, arrival, source_name,
+    coalesce(last_value(CASE WHEN official AND kind <> 'unknown' THEN kind END IGNORE NULLS) {_UPTO},
+      first_value(nullif(kind, 'unknown') IGNORE NULLS) {_UPTO}, 'unknown') AS kind,
+    coalesce(last_value(CASE WHEN official THEN val END IGNORE NULLS) {_UPTO},
+      first_value(val IGNORE NULLS) {_UPTO}) AS val,
+    max(minimum) {_within('m_min')} AS minimum, min(cap) {_within('m_cap')} AS cap,
+    bool_or(hedged) {_within('m_up')} AS hedged, min(expiry) {_within('m_exp')} AS expiry,
+    count(*) FILTER (new_page) {_UPTO} AS source_count
+  FROM marked
+), run AS (
+  SELECT *, CASE WHEN bool_or(coalesce(expiry < {sql.NOW}, false)) {_UPTO} THEN 'expired' ELSE 'unverified' END AS status
+  FROM terms
+), told AS (
+  SELECT n.dedupe_key, n.arrival AS seq, n.source_name, n.status, o.seq IS NULL AS is_new, o.status AS was,
+    array_to_string(list_filter([{batch._CHANGES}], lambda x: x IS NOT NULL), '; ') AS changes
+  FROM run n LEFT JOIN run o ON o.dedupe_key = n.dedupe_key AND o.seq = n.seq - 1
+)"""
+
+
 @query(
-    f"""{sql.chain(sql.claims(), sql.merged(), sql.sources(), sql.evidence())}
-    SELECT dedupe_key, claims AS events, source_count::BIGINT AS sources,
-      CASE WHEN ever_past THEN 'expired' ELSE 'unverified' END AS status
-    FROM merged JOIN evid USING (dedupe_key)"""
+    f"""{_RUNNING} SELECT dedupe_key, seq, source_name, status,
+      CASE WHEN is_new THEN 'discovered' WHEN changes = '' THEN 'rediscovered'
+        WHEN was <> status THEN 'status_changed' ELSE 'terms_changed' END AS event,
+      CASE WHEN NOT is_new AND was <> status THEN was ELSE 'none' END AS previous_status,
+      CASE WHEN is_new OR changes = '' THEN 'none' ELSE changes END AS changes FROM told"""
 )
 def stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event per claim; per offer their number, the discovery and the last state."""
-    c = F.col
+    """One event per claim, with what changed."""
     store = shared_folder(spark, "observations")
     lines = stream_of(spark, sf_dir, "lineitem")
     observe_stream(
         lines, lambda rows: data.claims_from(spark, sf_dir, rows), store, PARAMS
     ).awaitTermination()
-    events = read_events(spark, store)
-    grown = F.get(F.filter("changes", lambda t: t.startswith("sourceCount: ")), F.lit(0))
-    count = F.regexp_extract(grown, r"-> (\d+)$", 1).try_cast("bigint")
-    return events.groupBy("dedupe_key").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.coalesce(F.max(count), F.lit(1)).alias("sources"),
-        # expired is for good, and sorts before unverified
-        F.min("status").alias("status"),
+    none = F.lit("none")
+    return read_events(spark, store).select(
+        "dedupe_key",
+        "seq",
+        "source_name",
+        "status",
+        "event",
+        F.coalesce("previous_status", none).alias("previous_status"),
+        F.coalesce(F.array_join("changes", "; "), none).alias("changes"),
     )
