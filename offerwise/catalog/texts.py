@@ -288,27 +288,29 @@ def code_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CLEAN = "left(trim(regexp_replace(regexp_replace(lower({t}), '[^a-z0-9%₹ ]', '', 'g'), ' +', ' ', 'g'), ' '), 90)"
+_CLEAN = "coalesce(trim(regexp_replace(regexp_replace(lower({t}), '[^a-z0-9%₹ ]', '', 'g'), ' +', ' ', 'g'), ' '), '')"
 _PLAIN = "coalesce(regexp_replace({x}::DOUBLE::VARCHAR, '\\.0$', ''), '')"
 _DOC_TITLE = "CASE WHEN length({t}) <= 120 THEN {t} ELSE left({t}, 117) || '...' END"
 
 
 @query(
-    f"""WITH titled AS (SELECT doc_id, {_DOC_TITLE.format(t=_normal('text'))} AS title,
+    f"""WITH given AS (SELECT doc_id, {_normal('text')} AS raw FROM documents),
+    titled AS (SELECT doc_id, {_DOC_TITLE.format(t='raw')} AS title, {_CLEAN.format(t='raw')} AS whole,
+      left({_CLEAN.format(t=_DOC_TITLE.format(t='raw'))}, 90) AS opening,
       ['flat', 'percentage', 'sale', 'cashback', 'unknown'][doc_id % 5 + 1] AS kind,
       CASE WHEN doc_id % 5 < 4 THEN (doc_id % 900) / 2 END AS val,
       CASE WHEN doc_id % 3 = 0 THEN 500 + doc_id % 1000 END AS minimum,
       CASE WHEN doc_id % 7 = 0 THEN 200 END AS cap, doc_id % 4 = 1 AS hedged,
-      CASE WHEN doc_id % 10 = 9 THEN 'doc ' || doc_id END AS code FROM documents)
-    SELECT doc_id, title, CASE WHEN code IS NOT NULL THEN 'CODE:' || upper(replace(code, ' ', ''))
-      ELSE 'OFFER:' || left(sha1(concat_ws('|', kind, {_PLAIN.format(x='val')},
-        {_PLAIN.format(x='minimum')}, {_PLAIN.format(x='cap')},
-        CASE WHEN hedged THEN 'upto' ELSE 'exact' END, {_CLEAN.format(t='title')})), 20)
-      END AS dedupe_key FROM titled"""
+      CASE WHEN doc_id % 10 = 9 THEN 'doc ' || doc_id END AS code FROM given),
+    termed AS (SELECT *, 'CODE:' || upper(replace(code, ' ', '')) AS coded,
+      concat_ws('|', kind, {_PLAIN.format(x='val')}, {_PLAIN.format(x='minimum')}, {_PLAIN.format(x='cap')},
+        CASE WHEN hedged THEN 'upto' ELSE 'exact' END, '') AS terms FROM titled)
+    SELECT doc_id, title, coalesce(coded, 'OFFER:' || left(sha1(terms || whole), 20)) AS dedupe_key,
+      coalesce(coded, 'OFFER:' || left(sha1(terms || opening), 20)) AS short_key FROM termed"""
 )
 def dedupe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of offers titled by documents, with and without codes, by the title's first 90
-    characters, as the reference has them."""
+    """Keys of offers titled by documents, with and without codes: by the whole text, and by the
+    title's first 90 characters."""
     c = F.col
     k = c("doc_id")
     kinds = F.array(*map(F.lit, ("flat", "percentage", "sale", "cashback", "unknown")))
@@ -323,7 +325,7 @@ def dedupe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 == 9, F.concat(F.lit("doc "), k.cast("string"))).alias("code"),
     )
     titled = shaped.withColumn("title", text_fn.title_of(c("raw_text")))
-    return titled.select("doc_id", "title", key_of(90).alias("dedupe_key"))
+    return titled.select("doc_id", "title", key_of().alias("dedupe_key"), key_of(90).alias("short_key"))
 
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1))"

@@ -102,7 +102,7 @@ ENCODED_IN_QUERY = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "'": "%27"}
 
 def _encoded(value: Column, table: dict[str, str]) -> Column:
     for char, code in table.items():
-        value = F.when(value.contains(char), F.replace(value, F.lit(char), F.lit(code))).otherwise(value)
+        value = F.replace(value, F.lit(char), F.lit(code))
     return value
 
 
@@ -152,6 +152,8 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.max(F.when(c("kind") == "disallow", c("size"))).alias("denied_by"),
         F.max(F.when(c("kind") == "allow", c("size"))).alias("allowed_by"),
     )
-    judged = asked.join(sizes, ["domain", "target"], "left").fillna(-1, ["denied_by", "allowed_by"])
+    judged = asked.join(sizes, ["domain", "target"], "left").withColumns(
+        {n: F.when(c("web"), F.coalesce(n, F.lit(-1))).otherwise(-1) for n in ("denied_by", "allowed_by")}
+    )
     allowed = c("web") & ((c("denied_by") < 0) | (c("allowed_by") >= c("denied_by")))
     return judged.select("url_id", "url", "denied_by", "allowed_by", allowed.alias("allowed"))
