@@ -1,16 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A clause is read as a string of word kinds: insult, threat, target, negation, reported
-speech, other. Five small transducers read it side by side: one each for insults, threats,
-targets, negations and reported speech. Their composition is one table of transitions; its
-final state names the pattern that the clause matched (say, "insult at a target" or "insult
-in reported speech") and the path's weight is the sum of its insult and threat words.
-Isolated words are not scored: a clause is, by its pattern.
-
-Threat, target, negation and reporting words are fixed. Insults are learned: word beginnings
-that labelled toxic documents have and clean ones don't, with a test against chance, so that
-inflected forms count and any language can be learned. The weights of the patterns come from
-a logistic regression on the same rows.
+Words are read by two lexicon transducers: insults by learned beginnings, threats by fixed
+stems and their endings; both write a kind of word (insult, threat, target, negation, reported
+speech, other). Three transducers then read a clause's kinds in order, each what the one before
+it wrote: negation reaches the next ``REACH`` words only, and a second one within reach lifts it;
+reported speech holds for what follows the reporting word; targets may stand before or after.
+Their composition is one table of weighted arcs. An arc that reads an insult or a threat names
+the pattern it is part of, and the part of the word's weight that counts there.
+Isolated words are not scored: a clause is, by its patterns.
+
+Insults are learned: word beginnings that labelled toxic documents have and clean ones don't,
+with a test against chance, so that inflected forms count and any language can be learned. The
+other words are fixed, in four languages. The weights of the patterns come from a logistic
+regression on the same rows.
 
 Labels are learned from at most ``TRAIN_ROWS`` labelled documents, chosen by a hash of their
 id; everything else reads all rows and whole texts.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,70 +46,124 @@ STEM_LENGTHS = (4, 5, 6, 7, 8)
 CHANCE = 0.01
 PRECISION = 0.95
 
-# Fixed word lists.
-THREATS = ("kill", "hurt", "destroy", "beat", "burn", "shoot", "stab", "strangle", "crush")
+# Fixed word lists. Threats are stems with the endings of their language.
+THREATS = (
+    ("kill hurt destroy beat burn shoot stabb stab strangl strangle crush murder", "s ed d ing en t er"),
+    ("töt getöt umbring umgebracht verprügel erschieß erschoss erwürg verbrenn erstech", "e est st t et en n te ten"),
+    ("tuer tue frapp étrangl brûl égorg poignard massacr", "e es ez er ai as a ons ont é ée és"),
+    ("matar mato maté golpe estrangul quem apuñal dispar", "e é a á o ó as ar aré emos an ado ando"),
+)
 TARGETS = (
     "you", "your", "yours", "yourself", "he", "him", "his", "she", "her", "they", "them", "their",
-    "this", "that", "these", "those", "people", "du", "dich", "ihr", "sie", "tu", "toi", "vous",
-    "il", "elle", "usted", "ella", "ellos",
+    "this", "that", "these", "those", "people", "du", "dich", "dir", "euch", "ihr", "ihn", "sie", "tu",
+    "te", "toi", "vous", "il", "elle", "lui", "usted", "ustedes", "ella", "ellos",
 )
 NEGATIONS = (
     "not", "no", "never", "neither", "nobody", "nicht", "kein", "keine", "nie", "pas", "jamais",
-    "nunca", "isn't", "aren't", "wasn't", "don't", "doesn't",
+    "nunca", "isn't", "aren't", "wasn't", "weren't", "don't", "doesn't", "didn't", "won't",
 )
 REPORTS = (
     "said", "says", "say", "called", "calls", "quoted", "quote", "wrote", "reported", "claimed",
-    "sagte", "dit", "dijo",
+    "sagte", "sagten", "schrieb", "nannte", "dit", "disait", "dijo", "llamó", "escribió",
 )
 
-CLAUSE_END = re.compile(r"[.!?;:,\n]+")
+#: A colon ends no clause, as what is reported follows it.
+CLAUSE_END = re.compile(r"[.!?;,\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-KINDS = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "R"}
-
-#: kind -> the two-state transducer that reads it: (state, symbol) -> (state, takes weight)
-PARTS = {
-    name: {(0, mark): (1, name in ("insult", "threat")), (1, mark): (1, name in ("insult", "threat"))}
-    for name, mark in KINDS.items()
-}
-
-
-def compose(parts: dict[str, dict]) -> dict[tuple[tuple[int, ...], str], tuple[tuple, bool]]:
-    """The product of the transducers: every symbol moves all of them at once; a transducer
-    without an arc for the symbol stays where it is."""
-    names = list(parts)
-    start = (0,) * len(names)
-    table: dict = {}
-    open_states = [start]
-    while open_states:
-        state = open_states.pop()
-        for mark in KINDS.values():
-            moves = [parts[n].get((q, mark), (q, False)) for n, q in zip(names, state, strict=True)]
-            after = tuple(q for q, _ in moves)
-            table[state, mark] = (after, any(w for _, w in moves))
-            if (after, "I") not in table and after != state and after not in open_states:
-                open_states.append(after)
-    return table
-
-
-GRAMMAR = compose(PARTS)
-START = (0, 0, 0, 0, 0)
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ihtnro"
+#: Words that a negation reaches, and the part of a word's weight that counts when negated or reported.
+REACH = 3
+PART = {"negated": 0.5, "reported": 0.5}
+
+
+def threat_words() -> set[str]:
+    """Every stem alone and with each ending of its language."""
+    return {
+        stem + end for stems, ends in THREATS for stem in stems.split() for end in ("", *ends.split())
+    }
+
+
+#: A transducer: (state, read) -> (state, written, weight). State 0 is the first.
+Arcs = dict[tuple[int, str], tuple[int, str, float]]
+
+
+def negation_arcs() -> Arcs:
+    """The state is the number of words still within reach of a negation."""
+    arcs: Arcs = {}
+    for reach in range(REACH + 1):
+        left = max(0, reach - 1)
+        for kind in (TARGET, REPORT, OTHER):
+            arcs[reach, kind] = (left, kind, 1.0)
+        for kind in (INSULT, THREAT):
+            arcs[reach, kind] = (left, "negated", PART["negated"]) if reach else (0, kind, 1.0)
+        arcs[reach, NEGATION] = (0 if reach else REACH, OTHER, 1.0)
+    return arcs
+
+
+def report_arcs() -> Arcs:
+    """State 1 follows a reporting word."""
+    arcs: Arcs = {}
+    for state in (0, 1):
+        for kind in (TARGET, OTHER, "negated"):
+            arcs[state, kind] = (state, kind, 1.0)
+        for kind in (INSULT, THREAT):
+            arcs[state, kind] = (1, "reported", PART["reported"]) if state else (0, kind, 1.0)
+        arcs[state, REPORT] = (1, OTHER, 1.0)
+    return arcs
+
+
+def target_arcs() -> Arcs:
+    """State 1 has seen a target; other kinds pass, targets themselves are taken out."""
+    arcs: Arcs = {}
+    for state in (0, 1):
+        for kind in (INSULT, THREAT, "negated", "reported", OTHER):
+            arcs[state, kind] = (state, kind, 1.0)
+        arcs[state, TARGET] = (1, OTHER, 1.0)
+    return arcs
+
+
+def compose(first: Arcs, second: Arcs) -> tuple[Arcs, list[tuple[int, int]]]:
+    """``second`` reads what ``first`` writes; weights multiply. States are numbered as they
+    are met from the start; the list names the pair that each number stands for."""
+    kinds = sorted({kind for _, kind in first})
+    pairs, arcs, done = [(0, 0)], {}, 0
+    number = {(0, 0): 0}
+    while done < len(pairs):
+        p, q = pairs[done]
+        for kind in kinds:
+            p2, written, weight = first[p, kind]
+            q2, out, more = second[q, written]
+            if (p2, q2) not in number:
+                number[p2, q2] = len(pairs)
+                pairs.append((p2, q2))
+            arcs[done, kind] = (number[p2, q2], out, weight * more)
+        done += 1
+    return arcs, pairs
+
+
+_SAID, _ = compose(negation_arcs(), report_arcs())
+GRAMMAR, _PAIRS = compose(_SAID, target_arcs())
+#: States in which the clause has a target.
+AIMED = {n for n, (_, aimed) in enumerate(_PAIRS) if aimed}
 #: Patterns in the order of their features, with prior weights.
 PATTERNS = ("insult", "insult at target", "threat at target", "negated", "reported")
 PRIOR = np.array([2.0, 3.0, 1.0, 1.0, 1.0])
 PRIOR_BIAS = -3.0
 
 
-def pattern_of(state: tuple[int, ...]) -> str | None:
-    insult, threat, target, negation, report = state
-    if not insult and not (threat and target):
-        return None
-    if report:
-        return "reported"
-    if negation:
-        return "negated"
+def matched(clause: Iterable[tuple[str, float]]) -> dict[str, float]:
+    """Weights of the patterns of one clause, given as (kind, weight) of its words in order."""
+    state, found = 0, {}
+    for kind, own in clause:
+        state, out, part = GRAMMAR[state, kind]
+        if out != OTHER:
+            found[out] = found.get(out, 0.0) + own * part
+    insult, threat = found.pop(INSULT, 0.0), found.pop(THREAT, 0.0)
     if insult:
-        return "insult at target" if target else "insult"
-    return "threat at target"
+        found["insult at target" if state in AIMED else "insult"] = insult
+    if threat and state in AIMED:
+        found["threat at target"] = threat
+    return found
 
 
 @dataclass
@@ -122,25 +178,25 @@ class Grammar:
         import ahocorasick
 
         triggers = ahocorasick.Automaton()
-        for word in [*self.stems, *THREATS]:
+        threats = threat_words()
+        for word in [*self.stems, *threats]:
             triggers.add_word(word, len(word))
         triggers.make_automaton()
-        kind = {w: "T" for w in TARGETS} | {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS}
+        kind = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT)
         lengths = sorted({len(s) for s in self.stems})
-        threats = set(THREATS)
 
-        def read(word: str) -> tuple[str | None, float]:
+        def read(word: str) -> tuple[str, float]:
             for n in lengths:
                 if n <= len(word) and (weight := self.stems.get(word[:n])) is not None:
-                    return "I", weight
-            return ("H", 1.0) if word in threats else (kind.get(word), 0.0)
+                    return INSULT, weight
+            return (THREAT, 1.0) if word in threats else (kind.get(word, OTHER), 0.0)
 
         def features(text: str) -> np.ndarray:
             """Sum of the clauses' weights by pattern."""
-            text = text.lower()
+            text = text.lower().replace("’", "'")
             found = np.zeros(len(PATTERNS))
             done = 0
-            for end, length in triggers.iter(text) if len(triggers) else ():
+            for end, length in triggers.iter(text):
                 start = end - length + 1
                 if start < done or (start and (text[start - 1].isalpha())):
                     continue
@@ -150,14 +206,8 @@ class Grammar:
                 for brk in CLAUSE_END.finditer(text, done, start):
                     begin = brk.end()
                 done = upto
-                state, weight = START, 0.0
-                for word in WORD.finditer(text, begin, upto):
-                    mark, own = read(word.group())
-                    if mark:
-                        state, takes = GRAMMAR[state, mark]
-                        weight += own if takes else 0.0
-                name = pattern_of(state)
-                if name:
+                words = (read(m.group()) for m in WORD.finditer(text, begin, upto))
+                for name, weight in matched(words).items():
                     found[PATTERNS.index(name)] += weight
             return np.log1p(found)
 

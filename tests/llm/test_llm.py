@@ -359,6 +359,59 @@ def test_grammar_scores_clauses():
     assert not read("kill the lights. nonidiot").any()
 
 
+@pytest.mark.parametrize(
+    ("text", "patterns"),
+    [
+        ("you are not an idiot", {"negated"}),
+        ("no doubt you are an idiot", {"insult at target"}),  # out of reach
+        ("not no idiot", {"insult"}),  # the second negation lifts the first
+        ("you don’t look like idiots", {"negated"}),
+        ("the idiot said hello to you", {"insult at target"}),  # before the reporting word
+        ("he said: you idiot", {"reported"}),
+        ("he said so. you idiot", {"insult at target"}),  # another clause
+        ("she never called him an idiot", {"reported"}),
+        ("idiot, idiots, you idiotic", {"insult", "insult at target"}),
+        ("they were killing him", {"threat at target"}),
+        ("you will be killed", {"threat at target"}),
+        ("i will not hurt you", {"negated"}),
+        ("ich werde dich umbringen", {"threat at target"}),
+        ("il va te tuer", {"threat at target"}),
+        ("te matarán: te mataré", {"threat at target"}),
+        ("beatles burnish the hurtle", set()),
+        ("", set()),
+        ("idiot " * 50_000 + "you", {"insult at target"}),
+    ],
+)
+def test_patterns_of_clauses(text, patterns):
+    found = toxicity.Grammar({"idiot": 4.0}).reader()(text)
+    assert {n for n, x in zip(toxicity.PATTERNS, found, strict=True) if x} == patterns
+
+
+def test_composed_grammar_equals_transducers_in_turn():
+    import itertools
+
+    parts = [toxicity.negation_arcs(), toxicity.report_arcs(), toxicity.target_arcs()]
+    for kinds in itertools.product("ihtnro", repeat=5):
+        state, states = 0, [0, 0, 0]
+        for kind in kinds:
+            state, out, weight = toxicity.GRAMMAR[state, kind]
+            told, product = kind, 1.0
+            for k, arcs in enumerate(parts):
+                states[k], told, own = arcs[states[k], told]
+                product *= own
+            assert (out, weight) == (told, product)
+        assert (state in toxicity.AIMED) == bool(states[2])
+
+
+def test_held_out_rows_of_the_larger_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    hits = sum(r["predicted"] and r["toxic"] for r in out)
+    assert hits >= 0.84 * sum(r["toxic"] for r in out)
+    assert hits >= 0.9 * sum(r["predicted"] for r in out)
+
+
 PAGES = [
     (1, "https://a.example.com/en/x?y", "<p>" + "z" * 200), (2, None, "<p>" + "z" * 200),
     (3, "not a url", ""), (4, "http://X.NET/es/", None), (5, "http://x.net/es", "short"),
