@@ -33,14 +33,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     Lineage ends there, so a lost executor costs a reread, and columns that no one
-    reads are pruned.
+    reads are pruned. ``options`` are the writer's.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

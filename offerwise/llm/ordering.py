@@ -73,7 +73,6 @@ def slots(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def _sequence_rows(paths: tuple[str, str, str], length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(*paths)
-        packer = zstandard.ZstdCompressor(level=3)
         part, made = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         size = 0
@@ -87,7 +86,7 @@ def _sequence_rows(paths: tuple[str, str, str], length: int):
                     pa.array([part] * len(cut), pa.int64()),
                     pa.array(numbers, pa.int64()),
                     pa.array([len(c) for c in cut], pa.int64()),
-                    pa.array([packer.compress(c.tobytes()) for c in cut], pa.binary()),
+                    pa.array([c.tobytes() for c in cut], pa.binary()),
                 ],
                 names=["part", "number", "length", "ids"],
             )
@@ -108,7 +107,11 @@ def _sequence_rows(paths: tuple[str, str, str], length: int):
 
 
 def ordered(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """(index, slot, length, ids): every sequence with its slot; ids compressed."""
+    """(index, slot, length, ids): every sequence with its slot; ids compressed.
+
+    Staged sequences are compressed by the page, as neighbours share words; each one is
+    compressed alone only for the shuffle, which takes it away from them.
+    """
     short_batches(docs.sparkSession)
     cut = stage(
         docs.select(text_of("text").alias("text")).mapInArrow(
@@ -116,6 +119,7 @@ def ordered(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
             "part bigint, number bigint, length bigint, ids binary",
         ),
         "sequences",
+        compression="zstd",
     )
     counts = cut.groupBy("part").agg(F.count("*").alias("n"))
     n = counts.agg(F.sum("n")).first()[0] or 0
@@ -128,8 +132,13 @@ def ordered(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(slots(index.to_numpy(), n, key))
 
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series) -> pd.Series:
+        packer = zstandard.ZstdCompressor(level=3)
+        return ids.map(packer.compress)
+
     rows = cut.join(starts, "part").withColumn("index", F.col("start") + F.col("number"))
-    return rows.select("index", slot_of("index").alias("slot"), "length", "ids")
+    return rows.select("index", slot_of("index").alias("slot"), "length", packed("ids").alias("ids"))
 
 
 def _shard_rows(folder: str, length: int, shard_rows: int):
