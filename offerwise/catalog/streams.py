@@ -13,7 +13,7 @@ from offerwise.catalog import projection as data
 from offerwise.catalog.projection import PARAMS
 from offerwise.catalog.registry import big, query, ts
 from offerwise.session import SETTINGS, checkpoint_dir
-from offerwise.streaming.dedupe import drop_repeats
+from offerwise.streaming.dedupe import drop_repeats, once_per_window
 from offerwise.streaming.ingest import read_store, upsert_stream
 from offerwise.streaming.observations import observe_stream, read_events
 
@@ -52,6 +52,27 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(kept, shared_folder(spark, "dedupe")).select("user_id", "event_type")
 
 
+@query(
+    """SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day
+    FROM events WHERE ts IS NOT NULL"""
+)
+def stream_daily_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event per user, type and day. The events arrive in three parts by time, a micro-batch
+    each, so that the watermark moves and days that are over leave the state."""
+    c = F.col
+    given = data.table(spark, sf_dir, "events").withColumn("ts", c("ts").cast("timestamp"))
+    arrived, folder = shared_folder(spark, "events"), shared_folder(spark, "dedupe")
+    first, last = given.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    span = ((last or 0) - (first or 0)) / 3
+    part = F.coalesce(F.least(F.floor((c("ts").cast("double") - (first or 0)) / (span or 1)), F.lit(2)), F.lit(0))
+    kept = None
+    for k in range(3):
+        given.where(part == k).write.parquet(f"{arrived}/{k}")
+        events = spark.readStream.schema(given.schema).option("recursiveFileLookup", True).parquet(arrived)
+        kept = drain(once_per_window(events, ["user_id", "event_type"], "ts"), folder)
+    return kept.select("user_id", "event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"))
+
+
 @query(
     f"""{sql.chain(sql.claims(), sql.merged(), sql.sources(), sql.evidence())}
     SELECT {batch._TERM_SQL}, source_count, conflict AS conflicting_sources,

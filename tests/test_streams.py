@@ -13,6 +13,7 @@ from offerwise.operators import history
 from offerwise.plans import discovery
 from offerwise.schemas import CLAIMS, OFFERS, names
 from offerwise.streaming import ingest
+from offerwise.streaming.dedupe import once_per_window
 from offerwise.streaming.ingest import read_store, upsert_stream
 from offerwise.streaming.observations import observe_stream, read_events
 
@@ -158,3 +159,37 @@ def test_observation_log_is_appended_once_per_batch(spark, params, tmp_path):
     shutil.rmtree(tmp_path / "log" / "done" / "8")  # as a job leaves it that fails
     assert [r.batch for r in history.read_observations(spark, log).collect()] == ["7"]
     assert set(names(CLAIMS)) >= {"dedupe_key", "seq"}
+
+
+def test_days_that_are_over_leave_the_state(spark, tmp_path):
+    """Days straddle batches, a late row of an open day is a repeat, one of a past day is dropped."""
+    day = dt.datetime(2026, 3, 1)
+    hours = [
+        [(1, 1), (1, 5), (2, 20), (1, 23)],
+        [(1, 22), (1, 26), (2, 23), (3, 71)],  # one hour late, next day, repeat, watermark at 69 h
+        [(1, 30), (9, 40), (3, 50), (3, 73), (None, 73), (4, None)],  # past days, open day, next day
+    ]
+    rows, state = [], []
+    for k, batch in enumerate(hours):
+        events = [(u, None if h is None else day + dt.timedelta(hours=h), k) for u, h in batch]
+        spark.createDataFrame(events, "user_id int, ts timestamp, extra int").coalesce(1).write.parquet(
+            f"{tmp_path}/in/{k}"
+        )
+        given = (
+            spark.readStream.schema("user_id int, ts timestamp, extra int")
+            .option("recursiveFileLookup", True)
+            .parquet(f"{tmp_path}/in")
+        )
+        kept = once_per_window(given, ["user_id"], "ts")
+        run = (
+            kept.writeStream.format("parquet")
+            .option("checkpointLocation", f"{tmp_path}/_progress")
+            .trigger(availableNow=True)
+            .start(f"{tmp_path}/out")
+        )
+        run.awaitTermination()
+        state.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    for r in spark.read.schema(kept.schema).parquet(f"{tmp_path}/out").collect():
+        rows.append((r["user_id"], (r["window"]["start"] - day).days))
+    assert sorted(rows, key=str) == sorted([(1, 0), (2, 0), (1, 1), (3, 2), (3, 3), (None, 3)], key=str)
+    assert state[0] == 2 and state[1] < 5 and state[2] <= 3
