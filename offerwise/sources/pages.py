@@ -122,9 +122,9 @@ def pick_rendered(candidates: DataFrame) -> DataFrame:
     )
 
 
-def pick_copy(fetched: DataFrame) -> DataFrame:
-    """One copy per URL: the direct one if it hints at offers, else the rendered one,
-    else the direct one."""
+def pick_copy(fetched: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFrame:
+    """One copy per URL, or per ``keys`` where pages may share one: the direct one if it
+    hints at offers, else the rendered one, else the direct one."""
     c = F.col
     direct, rendered = c("via") == "http", c("via") == "chromium"
     rank = (
@@ -132,9 +132,9 @@ def pick_copy(fetched: DataFrame) -> DataFrame:
         .when(rendered & c("html").isNotNull(), 1)
         .when(direct, 2)
     )
-    fields = [f for f in fetched.columns if f != "url"]
+    fields = [f for f in fetched.columns if f not in keys]
     best = F.min_by(F.struct(*fields), rank)
-    return fetched.groupBy("url").agg(best.alias("_copy")).select("url", "_copy.*")
+    return fetched.groupBy(*keys).agg(best.alias("_copy")).select(*keys, "_copy.*")
 
 
 def readable(fetched: DataFrame) -> DataFrame:
