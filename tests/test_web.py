@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from offerwise.functions.urls import host_of, normalise_domain, resolve_url
 from offerwise.sources.html import page_parts, page_results, raw_parts
+from offerwise.sources.pages import pick_copy
 from offerwise.sources.plaintext import chunks
 
 
@@ -52,6 +53,22 @@ def test_every_node_container_chip_and_result_is_read():
     assert len(list(page_results(row * 60))) == 60
 
 
+def test_titles_cut_within_a_reference():
+    """A reference without its semicolon is text in a title; others are read."""
+    found = list(page_parts("<title>a &amp;amp; b &#233;&quot;&am</title><p>x &amp y</p>"))
+    assert {p["title"] for p in found} == {'a &amp; b é"&am'}
+    assert found[-1]["text"].endswith("x & y")
+    assert list(page_parts("<title>and&amp;&amp</title>"))[0]["title"] == "and&&amp"
+
+
+def test_pages_that_share_a_url_keep_their_own_copy(spark):
+    rows = [(1, "u", "http", "x"), (1, "u", "chromium", ""), (2, "u", "http", "10% off")]
+    fetched = spark.createDataFrame(rows, "page_id bigint, url string, via string, html string")
+    kept = pick_copy(fetched, ("page_id", "url")).select("page_id", "via").collect()
+    assert sorted(map(tuple, kept)) == [(1, "chromium"), (2, "http")]
+    assert pick_copy(fetched).count() == 1
+
+
 def test_positions_go_on_from_nodes_to_containers():
     page = (
         '<script type="application/ld+json">[{"name": "a"}, {"name": "b"}]</script>'
