@@ -15,8 +15,8 @@ from offerwise.functions.expiry import expiry_matches, nearest_date
 from offerwise.functions.terms import eligibility, is_empty_offer
 from offerwise.functions.terms import parse_terms as parse
 from offerwise.operators.dedupe import dedupe_key as key_of
-from offerwise.sources.candidates import with_source
 from offerwise.session import spread
+from offerwise.sources.candidates import with_source
 from offerwise.sources.plaintext import text_candidates
 
 _WS = "[\\t\\n\\x0b\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
@@ -438,7 +438,7 @@ def new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-sentence texts: a coded offer, prose, a sale, a repeated code and a late offer."""
     c = F.col
-    part = data.table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = spread(data.table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     values = {
         "k": c("p_partkey").cast("string"),
         "v": (100 + 20 * c("p_size")).cast("string"),

@@ -12,12 +12,20 @@ from offerwise.params import Params
 
 
 def offers_only(df: DataFrame, params: Params) -> DataFrame:
-    """Parse ``raw_text``; keep rows with a ``code`` or usable terms."""
-    c = F.col
-    parsed = parse_terms(df, "raw_text", params.now_col(), c("code").isNotNull())
-    return parsed.where(
-        c("code").isNotNull() | ~is_empty_offer(c("discount_type"), c("discount_value"))
-    ).withColumn("title", title_of(c("raw_text")))
+    """Parse ``raw_text``; keep rows with a ``code`` or usable terms.
+
+    A plain filter would be moved below the parsing with all of it written out in the
+    condition, so every text would be searched many times over; an exploded list of the
+    row, empty where it is no offer, is read after the parsing.
+    """
+    parsed = parse_terms(df, "raw_text", params.now_col(), F.col("code").isNotNull())
+    row = F.array(F.struct(*(F.col(f"`{n}`") for n in parsed.columns)))
+    offers = F.filter(
+        row,
+        lambda o: o["code"].isNotNull() | ~is_empty_offer(o["discount_type"], o["discount_value"]),
+    )
+    kept = parsed.select(F.explode(offers).alias("_offer")).select("_offer.*")
+    return kept.withColumn("title", title_of(F.col("raw_text")))
 
 
 def arrival(ordinal: Column, page_ord: Column, pos: Column) -> Column:

@@ -17,7 +17,7 @@ from offerwise.functions.text import (
 from offerwise.operators.dedupe import page_dedupe
 from offerwise.params import Params
 from offerwise.schemas import names
-from offerwise.session import cut
+from offerwise.session import staged
 from offerwise.sources.candidates import offers_only
 from offerwise.sources.html import PAGE, raw_parts
 from offerwise.sources.jsonld import published_date
@@ -97,8 +97,8 @@ def page_candidates(pages: DataFrame, params: Params) -> DataFrame:
     """
     c = F.col
     page = ["page_id", "via"]
-    parts = cut(raw_parts(pages))
-    found = cut(structured_candidates(parts, params))
+    parts = staged(raw_parts(pages))
+    found = staged(structured_candidates(parts, params))
     # pages without any structured candidate are read as text
     body = parts.where(c("kind") == "body").withColumn("text", normalise_text(c("text")))
     bare = body.where(about_brand(params) | mentions_brand(c("text"), params)).join(

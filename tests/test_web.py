@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerwise.functions.urls import host_of, normalise_domain, resolve_url
+from offerwise.sources.candidates import offers_only
 from offerwise.sources.html import page_parts, page_results, raw_parts
 from offerwise.sources.pages import pick_copy
 from offerwise.sources.plaintext import chunks
@@ -126,3 +127,13 @@ def test_links(spark, href, want):
 def test_all_chunks_of_a_text(spark):
     text = " ".join(f"Offer number {i} is here." for i in range(700))
     assert len(spark.range(1).select(chunks(F.lit(text))).first()[0]) == 700
+
+
+def test_texts_are_parsed_once(spark, params):
+    """The test for usable terms stays above the parsing and is not written out below it."""
+    rows = spark.createDataFrame([(1, "Flat Rs.200 off"), (2, "Good morning everyone")], "doc_id bigint, raw_text string")
+    named = rows.withColumn("code", F.lit(None).cast("string"))
+    found = offers_only(named, params)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.lower().count("regexp") for line in plan.splitlines()) < 40
+    assert [(r.doc_id, r.discount_value) for r in found.collect()] == [(1, 200.0)]
