@@ -9,7 +9,7 @@ from offerwise.functions.codes import normalise_code
 from offerwise.functions.text import number_text, title_of
 from offerwise.operators.skew import split_join
 from offerwise.params import Params
-from offerwise.session import cut
+from offerwise.session import staged
 
 
 def _points(cond: Column, points: int) -> Column:
@@ -126,7 +126,7 @@ def page_dedupe(df: DataFrame, params: Params, page: list[str], pos: str = "pos"
         .select(*page, F.when(c("_keys") == limit, c("_max")).alias("_last"))
     )
     sizes = firsts.groupBy(*page).agg(F.sum("_rows").alias("_rows"))
-    ends = cut(sizes.join(closing, page))
+    ends = staged(sizes.join(closing, page))
 
     def finish(rows: DataFrame) -> DataFrame:
         kept = rows.where(c("_last").isNull() | (c(pos) <= c("_last"))).drop("_last", "_rows")

@@ -16,7 +16,7 @@ from offerwise.operators.pricing import refresh_derived
 from offerwise.operators.validation import expire_sweep
 from offerwise.params import Params
 from offerwise.schemas import CLAIMS, OFFERS, SOURCES, conform, names
-from offerwise.session import cut
+from offerwise.session import staged
 
 KEY = "dedupe_key"
 
@@ -77,16 +77,19 @@ def upsert(stored: Stored, claims: DataFrame, params: Params) -> Upserted:
     """Merge one cycle's claims into the stored offers.
 
     Never duplicates: offers and claims meet in one aggregation by key. ``claims``
-    should be a materialised table, since merging reads it twice.
+    should be a materialised table, since merging reads it three times. What it returns
+    reads tables that are materialised here.
     """
     c, now = F.col, params.now_col()
     all_claims = conform(claims, CLAIMS)
     merged = merge_terms(all_claims.unionByName(_stored_as_claims(stored.offers)), params)
 
-    sources = merge_sources(
+    # evidence, the snapshots, the events and the result all read these two tables
+    merged_sources = merge_sources(
         all_claims.withColumn("arrived_at", now).unionByName(_sources_as_claims(stored.sources)),
         params,
     )
+    sources = staged(conform(merged_sources, SOURCES))
 
     before = stored.offers.select(
         KEY, *(c(n).alias(f"old_{n}") for n in names(OFFERS) if n != KEY)
@@ -130,8 +133,8 @@ def upsert(stored: Stored, claims: DataFrame, params: Params) -> Upserted:
     scored = refresh_derived(attach_evidence(state, sources, params), params)
     # offers no claim touched keep their score until the whole store is rescored
     kept = F.when(c("touched"), c("confidence")).otherwise(c("old_confidence"))
-    scored = scored.withColumns(
-        {"confidence": kept, "changes": history.changes("old_", "")}
+    scored = staged(
+        scored.withColumns({"confidence": kept, "changes": history.changes("old_", "")})
     )
     events = scored.where("touched").withColumn(
         "event", history.event_of(c("is_new"), c("changes"), c("old_status"), c("status"))
@@ -149,18 +152,22 @@ def upsert(stored: Stored, claims: DataFrame, params: Params) -> Upserted:
         validation_method=none,
     )
     result = events.select(KEY, "is_new", "event", held.alias("changes"), "status")
-    return Upserted(conform(scored, OFFERS), conform(sources, SOURCES), observations, result)
+    return Upserted(conform(scored, OFFERS), sources, observations, result)
 
 
-def discovery_cycle(stored: Stored, claims: DataFrame, params: Params) -> Upserted:
+def discovery_cycle(
+    stored: Stored, claims: DataFrame, params: Params, held: bool = False
+) -> Upserted:
     """Upsert, expiry sweep and rescoring of every offer, as one step.
 
+    ``held``: the claims are a materialised table already.
+
     The returned snapshots are materialised in the shared checkpoint folder, so they
     may overwrite the tables they were read from.
     """
     c = F.col
-    step = upsert(stored, cut(claims), params)
-    offers, sources = cut(step.offers), cut(step.sources)
+    step = upsert(stored, claims if held else staged(claims), params)
+    offers, sources = step.offers, step.sources
 
     swept = expire_sweep(offers, params)
     expired = history.observe(
@@ -200,7 +207,7 @@ def discovery_cycle(stored: Stored, claims: DataFrame, params: Params) -> Upsert
         validation_method=F.lit(None),
     )
     log = step.observations.unionByName(expired).unionByName(confidence_changed)
-    return Upserted(cut(conform(rescored, OFFERS)), sources, log, step.result)
+    return Upserted(staged(conform(rescored, OFFERS)), sources, log, step.result)
 
 
 def source_sessions(fetches: DataFrame, gap: str = "2 hours") -> DataFrame:

@@ -311,3 +311,12 @@ def test_page_dedupe_splits_hot_pages(spark, params, monkeypatch, hot):
         elif held[1] is None and r["discount_value"] is not None:
             want[page, r["code"]] = (held[0], r["discount_value"])
     assert found == want
+
+
+def test_numbers_of_the_first_pass_need_no_sort(spark, params):
+    """All buffers of pass 1 have a fixed width, so it is a hash aggregation."""
+    from offerwise.operators import merge
+
+    claims = spark.createDataFrame([], CLAIMS)
+    plan = merge._pass1(claims, params)._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
