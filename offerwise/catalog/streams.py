@@ -83,7 +83,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items arriving in two parts, by ship date: a stream that goes on where it stopped
     takes each as one micro-batch, and upserts the offers it names."""
     store, folder = shared_folder(spark, "offers"), shared_folder(spark, "lines")
-    given = data.table(spark, sf_dir, "lineitem")
+    given = data.table(spark, sf_dir, "lineitem").select(*data.LINE_COLUMNS)
     shipped = F.coalesce(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date"))
     cuts = [F.lit(day).cast("date") for day in ("0001-01-01", "1997-01-01", "9999-12-31")]
     last = -1

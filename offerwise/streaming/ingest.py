@@ -3,7 +3,7 @@
 The tables are keyed stores of runs, so a micro-batch writes the offers and pages it changed.
 Evidence decays, so offers change without claims too. A calendar says when: with each offer
 that is written goes the next instant at which its score or status can change, in a folder of
-that day. A cycle takes the offers that its claims name and those whose instant has come since
+that month. A cycle takes the offers that its claims name and those whose instant has come since
 the cycle before, reads these and their pages only, and leaves all others as they are, which is
 what rescoring all would give.
 """
@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from offerwise.params import Params
 from offerwise.plans.discovery import KEY, Stored, Upserted, discovery_cycle
 from offerwise.schemas import OFFERS, SOURCES
-from offerwise.session import cut
+from offerwise.session import staged
 from offerwise.streaming.store import KeyedStore
 
 CALENDAR = "dedupe_key STRING, next_change_at TIMESTAMP"
@@ -81,28 +81,31 @@ def next_change(offers: DataFrame, sources: DataFrame, params: Params) -> DataFr
 
 
 def _write_calendar(offers: DataFrame, store: str, version: int) -> None:
-    days = offers.where("next_change_at is not null").select(
-        KEY, "next_change_at", F.to_date("next_change_at").alias("day")
+    dated = offers.where("next_change_at is not null").select(
+        KEY, "next_change_at", F.trunc("next_change_at", "month").alias("month")
     )
-    days.write.mode("overwrite").partitionBy("day").parquet(f"{store}/calendar/{version}")
+    # by ranges, so a month is one file, or a few where it has many offers
+    ranged = dated.repartitionByRange("month", "next_change_at", KEY)
+    ranged.write.mode("overwrite").partitionBy("month").parquet(f"{store}/calendar/{version}")
 
 
 def due(spark: SparkSession, store: str, version: int, since: Params, params: Params) -> DataFrame:
-    """The offers that may have changed after ``since`` and before now; only those days are read.
+    """The offers that may have changed after ``since`` and before now; only those months are read.
 
     An entry that a later batch has overtaken makes its offer due once more, which changes nothing.
     """
     base = max(0, (version - 1) // RENEW * RENEW)
     read = [
-        spark.read.schema(f"{CALENDAR}, day DATE").parquet(f"{store}/calendar/{v}")
+        spark.read.schema(f"{CALENDAR}, month DATE").parquet(f"{store}/calendar/{v}")
         for v in range(base, version)
     ]
     if not read:
         return spark.createDataFrame([], CALENDAR).select(KEY)
     c = F.col
-    days = c("day").between(F.to_date(since.now_col()), F.to_date(params.now_col()))
+    first, last = (F.trunc(at, "month") for at in (since.now_col(), params.now_col()))
+    months = c("month").between(first, last)
     come = (c("next_change_at") >= since.now_col()) & (c("next_change_at") < params.now_col())
-    return reduce(DataFrame.unionByName, read).where(days & come).select(KEY).distinct()
+    return reduce(DataFrame.unionByName, read).where(months & come).select(KEY).distinct()
 
 
 def upsert_batch(
@@ -110,15 +113,15 @@ def upsert_batch(
 ) -> Upserted:
     """One cycle over the offers it concerns. ``since`` has the clock of the cycle before."""
     spark = claims.sparkSession
-    claims = cut(claims)
+    claims = staged(claims)
     named = claims.select(KEY)
     if since is not None:
         named = named.unionByName(due(spark, store, version, since, params))
-    named = cut(named.distinct())
+    named = staged(named.distinct())
     offers = offer_store(store).read(spark, version - 1, named).drop("next_change_at")
     sources = source_store(store).read(spark, version - 1, named)
-    step = discovery_cycle(Stored(offers, sources), claims, params)
-    dated = cut(next_change(step.offers, step.sources, params))
+    step = discovery_cycle(Stored(offers, sources), claims, params, held=True)
+    dated = staged(next_change(step.offers, step.sources, params))
     offer_store(store).write(dated, version)
     pages = claims.select(KEY, "source_name", "source_url").distinct()
     source_store(store).write(step.sources.join(pages, pages.columns, "left_semi"), version)
