@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from offerwise.operators.history import TRACKED, changes, event_of
 from offerwise.params import Params
 from offerwise.schemas import CLAIMS, conform
-from offerwise.session import cut
+from offerwise.session import staged
 from offerwise.streaming.ingest import params_of
 
 KEY = "dedupe_key"
@@ -47,6 +47,8 @@ EVENTS = """
     source_name STRING, changes ARRAY<STRING>
 """
 COMPACT = 16
+#: So many rows a task sorts at a time, a hot offer's apart: its windows hold the row several times.
+TASK_ROWS = 50_000
 
 
 def running_terms(rows: DataFrame, params: Params) -> DataFrame:
@@ -161,13 +163,20 @@ def read_events(spark: SparkSession, store: str) -> DataFrame:
     return files.parquet(f"{store}/events")
 
 
+def by_offer(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` dealt by offer over tasks whose number follows ``size``, so that a task's
+    memory does not."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-size // TASK_ROWS)), KEY)
+
+
 def observe_batch(
     claims: DataFrame, spark: SparkSession, store: str, number: int, params: Params
 ) -> None:
     """Append the events of one micro-batch and keep the offers it touched."""
     c = F.col
     page = F.concat_ws("|", "source_name", "source_url")
-    claims = cut(conform(claims, CLAIMS).withColumn("page", page))
+    claims = staged(conform(claims, CLAIMS).withColumn("page", page))
     touched = claims.select(KEY).distinct()
     offers = read_state(spark, store, number)
     pages = _read(spark, store, "pages", PAGES, number).drop("_v").distinct()
@@ -181,8 +190,9 @@ def observe_batch(
         {"stored": F.lit(0), "new_pages": c("source_count")}
     )
     rows = came.drop("_seen").unionByName(held.drop("source_count"), allowMissingColumns=True)
-    terms = cut(running_terms(rows, params))
-    events_of(terms).write.mode("overwrite").parquet(f"{store}/events/v{number}")
+    size = claims.count()
+    terms = staged(running_terms(by_offer(rows, size), params))
+    events_of(by_offer(terms, size)).write.mode("overwrite").parquet(f"{store}/events/v{number}")
 
     latest = F.row_number().over(
         Window.partitionBy(KEY).orderBy(c("stored").desc(), c("seq").desc())

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import pytest
 from conftest import NOW
+from pyspark.sql import functions as F
 from test_merge import claim, fold, frame, random_claims
 
 from offerwise.operators import history
@@ -193,3 +194,25 @@ def test_days_that_are_over_leave_the_state(spark, tmp_path):
         rows.append((r["user_id"], (r["window"]["start"] - day).days))
     assert sorted(rows, key=str) == sorted([(1, 0), (2, 0), (1, 1), (3, 2), (3, 3), (None, 3)], key=str)
     assert state[0] == 2 and state[1] < 5 and state[2] <= 3
+
+
+def test_a_month_of_the_calendar_is_not_scattered(spark, tmp_path):
+    """Files follow the months, not tasks times days."""
+    from offerwise.streaming import ingest
+
+    days = F.timestamp_seconds(F.col("id") % 40 * 86400)
+    offers = spark.range(0, 4000, 1, 16).select(
+        F.col("id").cast("string").alias("dedupe_key"), days.alias("next_change_at")
+    )
+    ingest._write_calendar(offers, str(tmp_path), 0)
+    files = list((tmp_path / "calendar" / "0").rglob("*.parquet"))
+    assert len(files) <= 2 + 4
+    assert spark.read.parquet(str(tmp_path / "calendar" / "0")).count() == 4000
+
+
+def test_tasks_of_observations_follow_the_rows(spark):
+    from offerwise.streaming import observations
+
+    rows = spark.range(10).select(F.col("id").cast("string").alias("dedupe_key"))
+    assert observations.by_offer(rows, 10).rdd.getNumPartitions() == 4
+    assert observations.by_offer(rows, 1_000_001).rdd.getNumPartitions() == 21
