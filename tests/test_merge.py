@@ -320,3 +320,21 @@ def test_numbers_of_the_first_pass_need_no_sort(spark, params):
     claims = spark.createDataFrame([], CLAIMS)
     plan = merge._pass1(claims, params)._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_dealt_claims_merge_in_place(spark, params, hot):
+    """Claims dealt by offer are merged without a shuffle; hot offers stay outside the buckets."""
+    claims = frame(spark, random_claims(1500, 60, seed=11, hot=0.3))
+    tuned = replace(params, hot_min_rows=50, hot_share=4) if hot else params
+    parts = skew.deal(claims, "dedupe_key", tuned)
+    assert [p.buckets is None for p in parts] == ([False, True] if hot else [False])
+    for merged in (merge.merge_terms, merge.merge_sources):
+        found = [merged(p.rows, params, p.buckets) for p in parts]
+        assert _exchanges(found[0]) == 0
+        rows = sorted(str(r) for df in found for r in df.collect())
+        assert rows == sorted(map(str, merged(claims, params).collect()))
