@@ -36,7 +36,8 @@ class Upserted(NamedTuple):
 
 
 def empty_store(spark) -> Stored:
-    return Stored(spark.createDataFrame([], OFFERS), spark.createDataFrame([], SOURCES))
+    # limited to nothing, so that plans drop it and what it is joined to stays in place
+    return Stored(*(spark.createDataFrame([], ddl).limit(0) for ddl in (OFFERS, SOURCES)))
 
 
 def claims_of(candidates: DataFrame, params: Params | None = None) -> DataFrame:
@@ -73,23 +74,29 @@ def _sources_as_claims(sources: DataFrame) -> DataFrame:
     return conform(shaped, f"{CLAIMS}, arrived_at TIMESTAMP")
 
 
-def upsert(stored: Stored, claims: DataFrame, params: Params) -> Upserted:
+def upsert(
+    stored: Stored, claims: DataFrame, params: Params, buckets: int | None = None
+) -> Upserted:
     """Merge one cycle's claims into the stored offers.
 
     Never duplicates: offers and claims meet in one aggregation by key. ``claims``
     should be a materialised table, since merging reads it three times. What it returns
-    reads tables that are materialised here.
+    reads tables that are materialised here. ``buckets``: claims and stored tables are bucketed
+    by offer (``skew.deal``), and so are the returned offers and sources.
     """
     c, now = F.col, params.now_col()
     all_claims = conform(claims, CLAIMS)
-    merged = merge_terms(all_claims.unionByName(_stored_as_claims(stored.offers)), params)
+    merged = merge_terms(
+        all_claims.unionByName(_stored_as_claims(stored.offers)), params, buckets
+    )
 
     # evidence, the snapshots, the events and the result all read these two tables
     merged_sources = merge_sources(
         all_claims.withColumn("arrived_at", now).unionByName(_sources_as_claims(stored.sources)),
         params,
+        buckets,
     )
-    sources = staged(conform(merged_sources, SOURCES))
+    sources = staged(conform(merged_sources, SOURCES), KEY, buckets)
 
     before = stored.offers.select(
         KEY, *(c(n).alias(f"old_{n}") for n in names(OFFERS) if n != KEY)
@@ -134,7 +141,9 @@ def upsert(stored: Stored, claims: DataFrame, params: Params) -> Upserted:
     # offers no claim touched keep their score until the whole store is rescored
     kept = F.when(c("touched"), c("confidence")).otherwise(c("old_confidence"))
     scored = staged(
-        scored.withColumns({"confidence": kept, "changes": history.changes("old_", "")})
+        scored.withColumns({"confidence": kept, "changes": history.changes("old_", "")}),
+        KEY,
+        buckets,
     )
     events = scored.where("touched").withColumn(
         "event", history.event_of(c("is_new"), c("changes"), c("old_status"), c("status"))

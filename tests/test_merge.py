@@ -338,3 +338,27 @@ def test_dealt_claims_merge_in_place(spark, params, hot):
         assert _exchanges(found[0]) == 0
         rows = sorted(str(r) for df in found for r in df.collect())
         assert rows == sorted(map(str, merged(claims, params).collect()))
+
+
+def test_dealt_upserts_stay_in_place(spark, params):
+    """Stored tables and claims of one dealing meet without a shuffle."""
+    claims = frame(spark, random_claims(600, 40, seed=5))
+    (rows, buckets), = skew.deal(claims, "dedupe_key", params)
+    first = discovery.upsert(
+        discovery.empty_store(spark), rows.where("seq < 300"), params, buckets
+    )
+    none = discovery._sources_as_claims(discovery.empty_store(spark).sources)
+    new = discovery.conform(rows, f"{CLAIMS}, arrived_at TIMESTAMP").unionByName(none)
+    assert _exchanges(merge.merge_sources(new, params, buckets)) == 0
+    stored = discovery.Stored(first.offers, first.sources)
+    late = discovery.conform(rows.where("seq >= 300"), CLAIMS)
+    both = late.withColumn("arrived_at", F.lit(NOW)).unionByName(
+        discovery._sources_as_claims(stored.sources)
+    )
+    assert _exchanges(merge.merge_sources(both, params, buckets)) == 0
+    step = discovery.upsert(stored, rows.where("seq >= 300"), params, buckets)
+    plain = discovery.upsert(discovery.empty_store(spark), claims, params)
+    same = ["dedupe_key", *COMPARED, "source_count", "status", "confidence"]
+    assert sorted(map(str, step.offers.select(*same).collect())) == sorted(
+        map(str, plain.offers.select(*same).collect())
+    )
