@@ -362,3 +362,43 @@ def test_dealt_upserts_stay_in_place(spark, params):
     assert sorted(map(str, step.offers.select(*same).collect())) == sorted(
         map(str, plain.offers.select(*same).collect())
     )
+
+
+def test_chosen_texts_ride_in_the_key_of_a_hash_aggregation(spark, params):
+    """The second pass combines all claims by numbers; only what is left of an offer is sorted."""
+    claims = frame(spark, random_claims(400, 20, seed=3))
+    first = merge._pass1(claims, params).localCheckpoint()
+    for publishers in (False, True):
+        second = merge._pass2(claims, first, params, 4, publishers)
+        plan = second._jdf.queryExecution().sparkPlan().toString()
+        lowest = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+        assert "HashAggregate(" in lowest and "ObjectHash" not in lowest
+        assert ("opening_source" in second.columns) == publishers
+    told = merge.merge_terms(claims, params).drop("opening_source", "closing_source")
+    plain = merge.merge_terms(claims, params, publishers=False)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, told.collect()))
+
+
+def test_claims_that_take_shape_late(spark, params):
+    """Narrow rows are dealt, and what reads them shapes them; counts go by a column that is as good."""
+    claims = frame(spark, random_claims(500, 30, seed=8)).withColumn("part", F.xxhash64("dedupe_key"))
+    shape = lambda rows: rows.withColumn("title", F.concat("title", "code"))
+    narrow = claims.drop("snippet")
+    (early,) = skew.deal(narrow, "dedupe_key", params, shape)
+    (late,) = skew.deal(narrow, "dedupe_key", params, shape, "part", late=True)
+    assert early.buckets == late.buckets
+    assert _exchanges(merge.merge_terms(late.rows, params, late.buckets)) == 0
+    rows = [merge.merge_terms(p.rows, params, p.buckets).collect() for p in (early, late)]
+    assert sorted(map(str, rows[0])) == sorted(map(str, rows[1]))
+    tuned = replace(params, hot_min_rows=10, hot_share=25)
+    parts = skew.deal(narrow, "dedupe_key", tuned, shape, "part", late=True)
+    assert [p.buckets is None for p in parts] == [False, True]
+    split = [r for p in parts for r in p.rows.select(early.rows.columns).collect()]
+    assert sorted(map(str, split)) == sorted(map(str, early.rows.collect()))
+
+
+def test_pages_are_sorted_by_a_number_first(spark, params):
+    """Keys and addresses begin alike, so a sort by them alone compares whole texts."""
+    claims = frame(spark, random_claims(50, 5, seed=2))
+    plan = merge.merge_sources(claims, params)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [page_hash" in plan.replace("_groupingexpression", "page_hash")

@@ -1,6 +1,7 @@
 """Pricing, evidence, validation, ranking and reports on small hand-made offers."""
 
 import json
+import random
 from dataclasses import replace
 
 import pytest
@@ -368,3 +369,57 @@ def test_source_summary_keeps_the_first_six(spark):
     rows = [source("A", f"d{i}.in", first_seq=i) for i in (8, 2, 3, 1, 5, 6, 7, 4)]
     found = report.source_summary(make(spark, SOURCES, rows)).first()
     assert found.source_summary == ", ".join(f"d{i}.in(coupon-site)" for i in range(1, 7))
+
+
+def test_evidence_is_combined_by_numbers(spark, params):
+    """Sources that matter by number only become one row of an offer; results as counted plainly."""
+    rng = random.Random(4)
+    rows = []
+    for seq in range(400):
+        host = f"p{rng.randrange(6)}.in"
+        rows.append(
+            dict(
+                dedupe_key=f"CODE:K{seq % 7}", source_name=f"n{seq}", source_url=f"https://www.{host}/{seq}",
+                source_type=rng.choice(["official", "coupon-site", "social"]),
+                source_domain=rng.choice([None, "", f"m.{host}"]), reported_expired=rng.choice([None, False, True]),
+                discovered_at=NOW, last_seen_at=ago(hours=rng.choice([3, 40, 60, 200, 700, 800, 5000])),
+                arrived_at=ago(hours=rng.randrange(3)), first_seq=seq, claim_type=rng.choice([None, "flat", "sale"]) if seq % 7 else "flat",
+                claim_value=10.0, claim_minimum=None, claim_cap=None, snippet=None,
+            )
+        )
+    sources = make(spark, SOURCES, rows)
+    plan = evidence.by_domain(sources, params)._jdf.queryExecution().sparkPlan().toString()
+    lowest = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+    assert "HashAggregate(" in lowest and "ObjectHash" not in lowest
+    found = {r["dedupe_key"]: r for r in evidence.evidence(sources, params).collect()}
+    for key in {r["dedupe_key"] for r in rows}:
+        mine = [r for r in rows if r["dedupe_key"] == key]
+        domain = lambda r: "" if r["source_domain"] == "" else f"p{r['source_url'].split('.')[1][1:]}.in"
+        age = lambda r: (NOW - r["last_seen_at"]).total_seconds() / 3600
+        order = lambda r: (r["arrived_at"], r["first_seq"])
+        proof = [r for r in mine if r["source_type"] == "official"]
+        reports = [r for r in mine if r["reported_expired"] and age(r) <= 24 * params.expiry_report_days]
+        third = [r for r in mine if r["source_type"] != "official" and age(r) <= 24 * params.third_party_recent_days]
+        current = [r for r in proof if not r["reported_expired"] and age(r) <= params.official_current_hours]
+        quoted = [r for r in reports if r["source_type"] == "official"]
+        got = found[key]
+        assert got["source_count"] == len(mine)
+        assert got["official_last_seen_at"] == max((r["last_seen_at"] for r in proof), default=None)
+        assert got["independent_sources"] == len({domain(r) for r in third} - {""})
+        assert got["any_reported_expired"] == any(r["reported_expired"] for r in mine)
+        assert got["recent_expiry_reports"] == len(reports)
+        assert got["reporting_domains"] == len({domain(r) for r in reports})
+        assert got["official_report_url"] == (min(quoted, key=order)["source_url"] if quoted else None)
+        newest = min(current, key=lambda r: (age(r), *order(r))) if current else None
+        assert got["current_official_url"] == (newest and newest["source_url"])
+        assert got["current_official_seen_at"] == (newest and newest["last_seen_at"])
+        assert got["conflicting_sources"] == (len({r["claim_type"] for r in mine} - {None}) > 1)
+
+
+def test_checks_are_spread_before_they_are_read(spark):
+    """A table of codes that lies in one split would be one task's work."""
+    from offerwise.catalog import offers as queries
+
+    checks = queries.checks(spark, "/root/testdata/sf0.001")
+    plan = queries.validation.check_verdicts(checks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("verdict") < plan.index("RepartitionByExpression [code")
