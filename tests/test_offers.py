@@ -416,6 +416,15 @@ def test_evidence_is_combined_by_numbers(spark, params):
         assert got["conflicting_sources"] == (len({r["claim_type"] for r in mine} - {None}) > 1)
 
 
+def test_nested_fields_that_are_read(spark, params):
+    """The CSV report gathers names and addresses only."""
+    rows = [dict(dedupe_key="CODE:A", source_name=f"n{i}", source_url=f"u{i}", arrived_at=NOW, first_seq=-i) for i in range(3)]
+    offers = spark.createDataFrame([("CODE:A", 3)], "dedupe_key string, source_count int")
+    rows = [dict.fromkeys(names(SOURCES)) | r for r in rows]
+    nested = report.nested_sources(offers, make(spark, SOURCES, rows), params, ("name", "url"))
+    assert [tuple(s) for s in nested.first()["sources"]] == [("n2", "u2"), ("n1", "u1"), ("n0", "u0")]
+
+
 def test_checks_are_spread_before_they_are_read(spark):
     """A table of codes that lies in one split would be one task's work."""
     from offerwise.catalog import offers as queries
