@@ -331,3 +331,30 @@ def test_removed_bytes_are_those_of_every_repeated_string(spark):
     out = substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert told(out.collect()) == told(want)
     assert sum(w[2] > 0 for w in want) > 100
+
+
+def test_planted_passages_show_in_removed_bytes_and_not_in_size(spark):
+    """Passages of over 50 words in two documents each go from 400 bytes on; clean documents stay."""
+    rng = random.Random(12)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(4, 8))) for _ in range(n))
+
+    rows, want = [], []
+    for k, size in enumerate([380, 399, 400, 401, 650, 2000] * 4):
+        passage = words(size)[:size]
+        assert passage.count(" ") > 50
+        gone = size if size >= 400 else 0
+        for side in "XY":
+            # marks that differ keep the bytes beside the passage from being shared
+            before, after = words(rng.randint(5, 400)) + side, side + words(rng.randint(5, 400))
+            text = before + passage + after
+            kept = before + after if gone else text
+            rows.append((2 * k + (side == "Y"), text))
+            want.append((rows[-1][0], len(text), gone, int(gone > 0), hashlib.sha256(kept.encode()).hexdigest()))
+        clean = words(rng.randint(60, 900))
+        rows.append((1000 + k, clean))
+        want.append((1000 + k, len(clean), 0, 0, hashlib.sha256(clean.encode()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, out.collect())) == sorted(want)
