@@ -91,7 +91,11 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         given.where((shipped >= start) & (shipped < end)).write.parquet(f"{folder}/{k}")
         lines = spark.readStream.schema(given.schema).option("recursiveFileLookup", True).parquet(folder)
         running = upsert_stream(
-            lines, lambda rows: data.claims_from(spark, sf_dir, rows), store, PARAMS
+            lines,
+            lambda rows: data.claims_from(spark, sf_dir, rows),
+            store,
+            PARAMS,
+            keyed=data.with_offer_key,
         )
         running.awaitTermination()
         last = running.lastProgress["batchId"] if running.lastProgress else last

@@ -33,6 +33,7 @@ class Upserted(NamedTuple):
     sources: DataFrame
     observations: DataFrame
     result: DataFrame  # one row per touched offer: event, changes, status
+    claimed: DataFrame  # the sources that the cycle's claims name
 
 
 def empty_store(spark) -> Stored:
@@ -92,11 +93,14 @@ def upsert(
 
     # evidence, the snapshots, the events and the result all read these two tables
     merged_sources = merge_sources(
-        all_claims.withColumn("arrived_at", now).unionByName(_sources_as_claims(stored.sources)),
+        all_claims.withColumns({"arrived_at": now, "claimed": F.lit(True)}).unionByName(
+            _sources_as_claims(stored.sources).withColumn("claimed", F.lit(False))
+        ),
         params,
         buckets,
     )
-    sources = staged(conform(merged_sources, SOURCES), KEY, buckets)
+    marked = staged(conform(merged_sources, f"{SOURCES}, claimed BOOLEAN"), KEY, buckets)
+    sources, claimed = marked.drop("claimed"), marked.where("claimed").drop("claimed")
 
     before = stored.offers.select(
         KEY, *(c(n).alias(f"old_{n}") for n in names(OFFERS) if n != KEY)
@@ -161,21 +165,25 @@ def upsert(
         validation_method=none,
     )
     result = events.select(KEY, "is_new", "event", held.alias("changes"), "status")
-    return Upserted(conform(scored, OFFERS), sources, observations, result)
+    return Upserted(conform(scored, OFFERS), sources, observations, result, claimed)
 
 
 def discovery_cycle(
-    stored: Stored, claims: DataFrame, params: Params, held: bool = False
+    stored: Stored,
+    claims: DataFrame,
+    params: Params,
+    held: bool = False,
+    buckets: int | None = None,
 ) -> Upserted:
     """Upsert, expiry sweep and rescoring of every offer, as one step.
 
-    ``held``: the claims are a materialised table already.
+    ``held``: the claims are a materialised table already. ``buckets``: as in ``upsert``.
 
     The returned snapshots are materialised in the shared checkpoint folder, so they
     may overwrite the tables they were read from.
     """
     c = F.col
-    step = upsert(stored, claims if held else staged(claims), params)
+    step = upsert(stored, claims if held else staged(claims), params, buckets)
     offers, sources = step.offers, step.sources
 
     swept = expire_sweep(offers, params)
@@ -216,7 +224,8 @@ def discovery_cycle(
         validation_method=F.lit(None),
     )
     log = step.observations.unionByName(expired).unionByName(confidence_changed)
-    return Upserted(staged(conform(rescored, OFFERS)), sources, log, step.result)
+    held_offers = staged(conform(rescored, OFFERS), KEY, buckets)
+    return Upserted(held_offers, sources, log, step.result, step.claimed)
 
 
 def source_sessions(fetches: DataFrame, gap: str = "2 hours") -> DataFrame:

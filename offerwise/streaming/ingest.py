@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from offerwise.operators.skew import deal
 from offerwise.params import Params
 from offerwise.plans.discovery import KEY, Stored, Upserted, discovery_cycle
-from offerwise.schemas import OFFERS, SOURCES
-from offerwise.session import staged
+from offerwise.schemas import CLAIMS, OFFERS, SOURCES, conform
+from offerwise.session import passing, staged
 from offerwise.streaming.store import KeyedStore
 
 CALENDAR = "dedupe_key STRING, next_change_at TIMESTAMP"
@@ -109,25 +110,52 @@ def due(spark: SparkSession, store: str, version: int, since: Params, params: Pa
 
 
 def upsert_batch(
-    claims: DataFrame, store: str, version: int, params: Params, since: Params | None = None
+    rows: DataFrame,
+    store: str,
+    version: int,
+    params: Params,
+    since: Params | None = None,
+    to_claims: Callable[[DataFrame], DataFrame] = lambda claims: claims,
 ) -> Upserted:
-    """One cycle over the offers it concerns. ``since`` has the clock of the cycle before."""
-    spark = claims.sparkSession
-    claims = staged(claims)
-    named = claims.select(KEY)
+    """One cycle over the offers it concerns. ``since`` has the clock of the cycle before.
+
+    ``rows`` are claims, or narrower rows with their offer's key that ``to_claims`` makes claims.
+    They are dealt by offer once, and what is stored of their offers is dealt in the same way.
+    """
+    spark, offers, pages = rows.sparkSession, offer_store(store), source_store(store)
+
+    def shape(dealt: DataFrame) -> DataFrame:
+        # merging reads neither the code nor the raw text of a claim
+        return conform(to_claims(dealt), CLAIMS).drop("code", "raw_text")
+
+    parts = deal(rows, KEY, params, shape, unit=offers.buckets)
+    named = [staged(part.rows.select(KEY).distinct(), KEY, part.buckets) for part in parts]
     if since is not None:
-        named = named.unionByName(due(spark, store, version, since, params))
-    named = staged(named.distinct())
-    offers = offer_store(store).read(spark, version - 1, named).drop("next_change_at")
-    sources = source_store(store).read(spark, version - 1, named)
-    step = discovery_cycle(Stored(offers, sources), claims, params, held=True)
-    dated = staged(next_change(step.offers, step.sources, params))
-    offer_store(store).write(dated, version)
-    pages = claims.select(KEY, "source_name", "source_url").distinct()
-    source_store(store).write(step.sources.join(pages, pages.columns, "left_semi"), version)
+        come = due(spark, store, version, since, params)
+        for hot in named[1:]:
+            come = come.join(hot, KEY, "left_anti")
+        named[0] = staged(named[0].unionByName(come).distinct(), KEY, parts[0].buckets)
+    steps = []
+    for (claims, buckets), keys in zip(parts, named, strict=True):
+        stored = Stored(
+            staged(offers.read(spark, version - 1, keys, buckets).drop("next_change_at"), KEY, buckets),
+            pages.read(spark, version - 1, keys, buckets),
+        )
+        steps.append(discovery_cycle(stored, claims, params, held=True, buckets=buckets))
+    dated = reduce(
+        DataFrame.unionByName,
+        (
+            staged(next_change(step.offers, step.sources, params), KEY, part.buckets)
+            for step, part in zip(steps, parts, strict=True)
+        ),
+    )
+    step = Upserted(*(reduce(DataFrame.unionByName, frames) for frames in zip(*steps, strict=True)))
+    placed = len(parts) == 1  # rows of hot offers are not in buckets
+    offers.write(dated, version, placed)
+    pages.write(step.claimed, version, placed)
     step.observations.write.mode("overwrite").parquet(f"{store}/observations/{version}")
     if version % RENEW == 0:
-        dated = offer_store(store).read(spark, version)
+        dated = offers.read(spark, version)
     _write_calendar(dated, store, version)
     return step
 
@@ -144,9 +172,12 @@ def upsert_stream(
     params: Params | Callable[[int], Params],
     available_now: bool = True,
     every: str = "30 minutes",
+    keyed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Upsert, sweep and rescore with every micro-batch. ``store`` is a folder all executors
     share; ``params`` may be a function of the batch's number, so that the clock moves.
+    ``keyed`` adds the offer's key to rows that are narrower than claims; ``to_claims`` then
+    gets rows that are dealt by it, and keeps them there.
 
     Micro-batches run one after another, so cycles never overlap, and the clock never goes
     back. Each batch reads the version before it and writes its own, overwriting what a failed
@@ -155,7 +186,9 @@ def upsert_stream(
 
     def run(batch: DataFrame, number: int) -> None:
         since = params_of(params, number - 1) if number else None
-        upsert_batch(to_claims(batch), store, number, params_of(params, number), since)
+        rows, shape = (to_claims(batch), lambda claims: claims) if keyed is None else (keyed(batch), to_claims)
+        with passing(batch.sparkSession, f"{store}/_passing"):
+            upsert_batch(rows, store, number, params_of(params, number), since, shape)
 
     writer = stream.writeStream.foreachBatch(run).option(
         "checkpointLocation", f"{store}/_progress"

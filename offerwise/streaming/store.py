@@ -6,7 +6,8 @@ rewritten once per level. A version is a list of runs, written last: a batch tha
 the version before it as it was, and one that is tried again overwrites its own run and list.
 
 Rows lie in ``buckets`` by the hash of their first key column, so a read that wants few keys
-reads their buckets only.
+reads their buckets only. It is the hash by which Spark deals rows: rows dealt by that column
+over a multiple of ``buckets`` are written where they are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class KeyedStore:
     buckets: int = 16
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.hash(self.keys[0]), F.lit(self.buckets)).cast("int")
 
     def runs(self, spark: SparkSession, version: int) -> list[tuple[int, str]]:
         """(level, folder) of the runs of a version, oldest first; none before the first."""
@@ -50,30 +51,39 @@ class KeyedStore:
         last = rows.groupBy(*keys).agg(F.max(VERSION).alias(VERSION))
         return rows.join(last, [*keys, VERSION])
 
-    def read(self, spark: SparkSession, version: int, wanted: DataFrame | None = None) -> DataFrame:
-        """The table as of a version; only rows with the first key column in ``wanted`` if given."""
+    def read(
+        self, spark: SparkSession, version: int, wanted: DataFrame | None = None, parts: int | None = None
+    ) -> DataFrame:
+        """The table as of a version; only rows with the first key column in ``wanted`` if given,
+        dealt by that column over ``parts`` if given."""
         runs = [run for _, run in self.runs(spark, version)]
         if not runs:
-            return spark.createDataFrame([], self.schema)
+            # limited to nothing, so that plans drop it
+            return spark.createDataFrame([], self.schema).limit(0)
         rows = self._rows(spark, runs)
         if wanted is not None:
             wanted = wanted.select(self.keys[0]).distinct()
             # at most ``buckets`` numbers
             met = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]
             rows = rows.where(F.col(BUCKET).isin(met)).join(wanted, self.keys[0], "left_semi")
+        if parts is not None:
+            rows = rows.repartition(parts, self.keys[0])
         latest = rows if len(runs) == 1 else self._latest(rows)
         return latest.drop(VERSION, BUCKET)
 
-    def _write(self, rows: DataFrame, run: str) -> None:
-        dealt = rows.repartition(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(16)))
+    def _write(self, rows: DataFrame, run: str, placed: bool = False) -> None:
+        dealt = rows if placed else rows.repartition(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(16)))
         dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.folder}/runs/{run}")
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        """Make ``version`` from the one before it and ``rows``, one for each key at most."""
+    def write(self, rows: DataFrame, version: int, placed: bool = False) -> None:
+        """Make ``version`` from the one before it and ``rows``, one for each key at most.
+
+        ``placed``: they are dealt by the first key column over a multiple of ``buckets``.
+        """
         spark = rows.sparkSession
         runs = self.runs(spark, version - 1)
         marked = rows.withColumn(VERSION, F.lit(version)).withColumn(BUCKET, self._bucket())
-        self._write(marked, f"{version}-0")
+        self._write(marked, f"{version}-0", placed)
         runs.append((0, f"{version}-0"))
         level = 0
         while sum(at == level for at, _ in runs) >= self.fan:

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import shutil
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from conftest import NOW
@@ -13,10 +14,12 @@ from test_merge import claim, fold, frame, random_claims
 from offerwise.operators import history
 from offerwise.plans import discovery
 from offerwise.schemas import CLAIMS, OFFERS, names
+from offerwise.session import checkpoint_dir, passing, staged
 from offerwise.streaming import ingest
 from offerwise.streaming.dedupe import once_per_window
 from offerwise.streaming.ingest import read_store, upsert_stream
 from offerwise.streaming.observations import observe_stream, read_events
+from offerwise.streaming.store import KeyedStore
 
 
 def files(spark, folder, parts):
@@ -216,3 +219,68 @@ def test_tasks_of_observations_follow_the_rows(spark):
     rows = spark.range(10).select(F.col("id").cast("string").alias("dedupe_key"))
     assert observations.by_offer(rows, 10).rdd.getNumPartitions() == 4
     assert observations.by_offer(rows, 1_000_001).rdd.getNumPartitions() == 21
+
+
+def left_behind(spark):
+    """Steps staged in the checkpoint folder."""
+    return set(Path(checkpoint_dir(spark).removeprefix("file:")).glob("staged-*"))
+
+
+def test_a_stream_leaves_its_tables_only(spark, params, tmp_path):
+    """What a micro-batch stages goes when it is over; steps outside keep theirs."""
+    rows, store = random_claims(60, 8, seed=3), str(tmp_path / "store")
+    kept = staged(spark.range(3))
+    before = left_behind(spark)
+    stream = files(spark, str(tmp_path / "in"), [rows[:30], rows[30:]])
+    upsert_stream(stream, lambda batch: batch, store, params).awaitTermination()
+    assert left_behind(spark) == before and kept.count() == 3
+    assert {p.name for p in Path(store).iterdir()} == {"_progress", "offers", "sources", "observations", "calendar"}
+    assert read_store(spark, store, 1).offers.count() == len({r["dedupe_key"] for r in rows})
+
+
+def test_passing_steps_go_when_they_fail_and_shuffles_with_their_job(spark, tmp_path):
+    folder, cleanup = str(tmp_path / "passing"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    with pytest.raises(ValueError, match="half way"), passing(spark, folder):
+        assert staged(spark.range(5)).count() == 5 and len(list((tmp_path / "passing").iterdir())) == 1
+        assert spark.conf.get(cleanup) == "true"
+        raise ValueError("half way")
+    assert not (tmp_path / "passing").exists() and spark.conf.get(cleanup) == before
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_narrow_rows_are_dealt_by_offer_and_stay(spark, params, tmp_path, hot):
+    """Rows become claims where they lie, hot offers apart, and the store holds what claims at once give."""
+    tuned = replace(params, hot_min_rows=40 if hot else 1_000_000)
+    rows = random_claims(240, 12, seed=13, hot=0.4)
+    store, later = str(tmp_path / "store"), replace(tuned, now=NOW + dt.timedelta(days=9))
+    stream = files(spark, str(tmp_path / "in"), [rows[:150], rows[150:]])
+    seen = []
+
+    def to_claims(dealt):
+        seen.append("title" in dealt.columns)
+        return dealt.withColumn("title", F.lit("t"))
+
+    upsert_stream(
+        stream, to_claims, store, lambda n: (tuned, later)[n], keyed=lambda batch: batch.drop("title")
+    ).awaitTermination()
+    assert seen == [False] * (3 if hot else 2)  # hot in the first batch only
+    whole = discovery.empty_store(spark)
+    for clock, part in ((tuned, rows[:150]), (later, rows[150:])):
+        want = discovery.discovery_cycle(whole, frame(spark, part).withColumn("title", F.lit("t")), clock)
+        whole = discovery.Stored(want.offers, want.sources)
+    found = read_store(spark, store, 1)
+    for mine, theirs in ((found.offers, whole.offers), (found.sources, whole.sources)):
+        assert sorted(map(str, mine.collect())) == sorted(map(str, theirs.select(*mine.columns).collect()))
+
+
+def test_dealt_rows_are_written_where_they_are(spark, tmp_path):
+    """The store's buckets are those of a dealing, so a task writes one file and reads find the rows."""
+    kept = KeyedStore(str(tmp_path / "kept"), "k STRING, n BIGINT", ("k",))
+    rows = staged(spark.range(500).selectExpr("string(id) k", "id n"), "k", 32)
+    kept.write(rows, 0, placed=True)
+    assert len(list((tmp_path / "kept" / "runs").rglob("*.parquet"))) <= 32
+    wanted = spark.createDataFrame([("7",), ("499",), ("x",)], "k STRING")
+    assert sorted(r.n for r in kept.read(spark, 0, wanted).collect()) == [7, 499]
+    assert kept.read(spark, 0, wanted, 32).rdd.getNumPartitions() == 32
+    assert kept.read(spark, 0).count() == 500
