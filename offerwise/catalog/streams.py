@@ -156,7 +156,11 @@ def stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shared_folder(spark, "observations")
     lines = stream_of(spark, sf_dir, "lineitem")
     observe_stream(
-        lines, lambda rows: data.claims_from(spark, sf_dir, rows), store, PARAMS
+        lines,
+        lambda rows: data.claims_from(spark, sf_dir, rows),
+        store,
+        PARAMS,
+        keyed=data.with_offer_key,
     ).awaitTermination()
     none = F.lit("none")
     return read_events(spark, store).select(

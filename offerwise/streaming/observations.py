@@ -6,6 +6,9 @@ windows over that order: a term starts anew at an official claim that names it a
 tightens in between. An event compares a row with the row before it.
 
 State is one row per offer and one per publishing page, in a folder all executors share.
+Claims are dealt by offer once, as narrow as they come, and written with the columns that terms
+need; terms and events are one step over them, in which the last event of an offer carries its
+terms, so no table of all terms is written.
 A micro-batch reads and writes only the offers it touches; every ``COMPACT`` batches the
 whole state is written as one version, and older versions are read no more. A batch that is
 retried overwrites its own version, so it gives the same events.
@@ -22,8 +25,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from offerwise.operators.history import TRACKED, changes, event_of
 from offerwise.params import Params
-from offerwise.schemas import CLAIMS, conform
-from offerwise.session import staged
+from offerwise.schemas import CLAIMS, conform, names
+from offerwise.session import passing, staged
 from offerwise.streaming.ingest import params_of
 
 KEY = "dedupe_key"
@@ -46,6 +49,11 @@ EVENTS = """
     dedupe_key STRING, seq BIGINT, event STRING, status STRING, previous_status STRING,
     source_name STRING, changes ARRAY<STRING>
 """
+#: What terms are made of.
+READ = (
+    "seq", "source_name", "source_type", "page", "discount_type", "discount_value", "minimum_order",
+    "minimum_order_known", "maximum_discount", "is_up_to", "expiry_date", "existing_users_allowed", *FLAGS,
+)
 COMPACT = 16
 #: So many rows a task sorts at a time, a hot offer's apart: its windows hold the row several times.
 TASK_ROWS = 50_000
@@ -121,12 +129,14 @@ def running_terms(rows: DataFrame, params: Params) -> DataFrame:
 
 
 def events_of(terms: DataFrame) -> DataFrame:
-    """One event per claim of ``running_terms``."""
+    """One event per claim of ``running_terms``; the last of an offer has its terms in ``after``."""
     c = F.col
     ordered = Window.partitionBy(KEY).orderBy("stored", "seq")
     lagged = {f"was_{name}": F.lag(name).over(ordered) for name in TRACKED}
     is_new = F.row_number().over(ordered) == 1
-    seen = terms.withColumns({**lagged, "_new": is_new}).where(c("stored") == 1)
+    is_last = F.lead(F.lit(1)).over(ordered).isNull()
+    marked = terms.withColumns({**lagged, "_new": is_new, "_last": is_last})
+    seen = marked.where(c("stored") == 1)
     diff = seen.withColumn("changes", changes("was_"))
     moved = ~c("_new") & (c("was_status") != c("status"))
     return diff.select(
@@ -137,6 +147,7 @@ def events_of(terms: DataFrame) -> DataFrame:
         F.when(moved, c("was_status")).alias("previous_status"),
         "source_name",
         F.when(~c("_new") & (F.size("changes") > 0), c("changes")).alias("changes"),
+        F.when(c("_last"), F.struct(*names(STATE))).alias("after"),
     )
 
 
@@ -147,7 +158,8 @@ def _read(spark: SparkSession, store: str, name: str, schema: str, number: int)
         spark.read.schema(schema).parquet(f"{store}/{name}/v{v}").withColumn("_v", F.lit(v))
         for v in range(base, number)
     ]
-    empty = spark.createDataFrame([], f"{schema}, _v INT")
+    # limited to nothing, so that plans drop it
+    empty = spark.createDataFrame([], f"{schema}, _v INT").limit(0)
     return reduce(DataFrame.unionByName, found, empty)
 
 
@@ -163,42 +175,53 @@ def read_events(spark: SparkSession, store: str) -> DataFrame:
     return files.parquet(f"{store}/events")
 
 
+def parts_of(spark: SparkSession, size: int) -> int:
+    """Tasks whose number follows ``size``, so that a task's memory does not."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_ROWS))
+
+
 def by_offer(rows: DataFrame, size: int) -> DataFrame:
-    """``rows`` dealt by offer over tasks whose number follows ``size``, so that a task's
-    memory does not."""
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(least, -(-size // TASK_ROWS)), KEY)
+    """``rows`` dealt by offer over ``parts_of`` their number."""
+    return rows.repartition(parts_of(rows.sparkSession, size), KEY)
 
 
 def observe_batch(
-    claims: DataFrame, spark: SparkSession, store: str, number: int, params: Params
+    rows: DataFrame,
+    spark: SparkSession,
+    store: str,
+    number: int,
+    params: Params,
+    to_claims: Callable[[DataFrame], DataFrame] = lambda claims: claims,
 ) -> None:
-    """Append the events of one micro-batch and keep the offers it touched."""
+    """Append the events of one micro-batch and keep the offers it touched.
+
+    ``rows`` are claims, or narrower rows with their offer's key that ``to_claims`` makes claims.
+    """
     c = F.col
     page = F.concat_ws("|", "source_name", "source_url")
-    claims = staged(conform(claims, CLAIMS).withColumn("page", page))
+    size = rows.count()
+    parts = parts_of(spark, size)
+    came = conform(to_claims(by_offer(rows, size)), CLAIMS).withColumn("page", page)
+    claims = staged(came.select(KEY, *READ), KEY, parts)
     touched = claims.select(KEY).distinct()
     offers = read_state(spark, store, number)
     pages = _read(spark, store, "pages", PAGES, number).drop("_v").distinct()
-    once = Window.partitionBy(KEY, "page").orderBy("seq")
-    known = pages.withColumn("_seen", F.lit(True))
-    new_page = c("_seen").isNull() & (F.row_number().over(once) == 1)
-    came = claims.join(known, [KEY, "page"], "left").withColumns(
-        {"stored": F.lit(1), "new_pages": new_page.cast("bigint"), "status": F.lit(None).cast("string")}
-    )
-    held = offers.join(touched, KEY, "left_semi").withColumns(
+    # a known page stands before the claims that name it, so that no claim leaves its place
+    known = by_offer(pages.where(c(KEY).isNotNull()), size).withColumn("_known", F.lit(True))
+    met = claims.withColumn("_known", F.lit(False)).unionByName(known, allowMissingColumns=True)
+    once = Window.partitionBy(KEY, "page").orderBy(c("_known").desc(), "seq")
+    new_page = F.row_number().over(once) == 1
+    first = met.withColumn("new_pages", new_page.cast("bigint")).where(~c("_known"))
+    came = first.drop("_known").withColumns({"stored": F.lit(1), "status": F.lit(None).cast("string")})
+    held = by_offer(offers.join(touched, KEY, "left_semi"), size).withColumns(
         {"stored": F.lit(0), "new_pages": c("source_count")}
     )
-    rows = came.drop("_seen").unionByName(held.drop("source_count"), allowMissingColumns=True)
-    size = claims.count()
-    terms = staged(running_terms(by_offer(rows, size), params))
-    events_of(by_offer(terms, size)).write.mode("overwrite").parquet(f"{store}/events/v{number}")
+    rows = came.unionByName(held.drop("source_count"), allowMissingColumns=True)
+    told = f"{store}/events/v{number}"
+    events_of(running_terms(rows, params)).write.mode("overwrite").parquet(told)
 
-    latest = F.row_number().over(
-        Window.partitionBy(KEY).orderBy(c("stored").desc(), c("seq").desc())
-    )
-    after = terms.withColumn("_place", latest).where("_place = 1")
-    new_offers = after.select(*offers.columns)
+    after = spark.read.schema(f"after STRUCT<{STATE}>").parquet(told).where("after is not null")
+    new_offers = after.select("after.*")
     new_pages = claims.select(KEY, "page").distinct()
     if number % COMPACT == 0:
         new_offers = offers.join(touched, KEY, "left_anti").unionByName(new_offers)
@@ -214,15 +237,19 @@ def observe_stream(
     params: Params | Callable[[int], Params],
     available_now: bool = True,
     every: str = "30 minutes",
+    keyed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Observe every claim of a stream; ``read_events`` has what it wrote.
 
-    ``params`` may be a function of the micro-batch's number, so that the clock moves. The
-    claims of one offer in one micro-batch are sorted by one task, which spills.
+    ``params`` may be a function of the micro-batch's number, so that the clock moves. ``keyed``
+    adds the offer's key to rows that are narrower than claims, which are then dealt by it before
+    ``to_claims`` gets them. The claims of one offer in one micro-batch are sorted by one task, which spills.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        observe_batch(to_claims(batch), batch.sparkSession, store, number, params_of(params, number))
+        rows, shape = (to_claims(batch), lambda claims: claims) if keyed is None else (keyed(batch), to_claims)
+        with passing(batch.sparkSession, f"{store}/_passing"):
+            observe_batch(rows, batch.sparkSession, store, number, params_of(params, number), shape)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{store}/_progress")
     trigger = {"availableNow": True} if available_now else {"processingTime": every}

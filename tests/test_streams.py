@@ -15,7 +15,7 @@ from offerwise.operators import history
 from offerwise.plans import discovery
 from offerwise.schemas import CLAIMS, OFFERS, names
 from offerwise.session import checkpoint_dir, passing, staged
-from offerwise.streaming import ingest
+from offerwise.streaming import ingest, observations
 from offerwise.streaming.dedupe import once_per_window
 from offerwise.streaming.ingest import read_store, upsert_stream
 from offerwise.streaming.observations import observe_stream, read_events
@@ -284,3 +284,35 @@ def test_dealt_rows_are_written_where_they_are(spark, tmp_path):
     assert sorted(r.n for r in kept.read(spark, 0, wanted).collect()) == [7, 499]
     assert kept.read(spark, 0, wanted, 32).rdd.getNumPartitions() == 32
     assert kept.read(spark, 0).count() == 500
+
+
+def test_observations_leave_events_and_state_only(spark, params, tmp_path):
+    """Narrow rows become claims where they lie, pages are known over batches, and the state is taken
+    from the last event of each offer."""
+    rows = [
+        claim(1, "CODE:A1BC", discount_value=800.0, source_name="a"),
+        claim(2, "CODE:B1CD", discount_value=50.0, source_name="a"),
+        claim(3, "CODE:A1BC", discount_value=800.0, source_name="a"),
+        claim(4, "CODE:A1BC", discount_value=800.0, source_name="b", minimum_order=999.0, minimum_order_known=True),
+        claim(5, "CODE:A1BC", discount_value=800.0, source_name="b"),
+    ]
+    stream, before = files(spark, str(tmp_path / "in"), [rows[:2], rows[2:4], rows[4:]]), left_behind(spark)
+    store = str(tmp_path / "observations")
+    observe_stream(
+        stream,
+        lambda dealt: dealt.withColumn("title", F.lit("t")),
+        store,
+        params,
+        keyed=lambda batch: batch.drop("title"),
+    ).awaitTermination()
+    assert left_behind(spark) == before
+    assert {p.name for p in Path(store).iterdir()} == {"_progress", "events", "offers", "pages"}
+    found = sorted(read_events(spark, store).collect(), key=lambda r: r.seq)
+    assert [e.event for e in found] == ["discovered", "discovered", "rediscovered", "terms_changed", "rediscovered"]
+    assert found[3].changes == ["minimumOrder: unknown -> 999", "sourceCount: 1 -> 2"]
+    held = {r.dedupe_key: r for r in observations.read_state(spark, store, 3).collect()}
+    assert {k: (r.source_count, r.minimum_order) for k, r in held.items()} == {
+        "CODE:A1BC": (2, 999.0), "CODE:B1CD": (1, None),
+    }
+    pages = spark.read.schema(observations.PAGES).option("recursiveFileLookup", True).parquet(f"{store}/pages")
+    assert pages.distinct().count() == 3
