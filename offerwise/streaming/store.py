@@ -7,7 +7,8 @@ the version before it as it was, and one that is tried again overwrites its own
 
 Rows lie in ``buckets`` by the hash of their first key column, so a read that wants few keys
 reads their buckets only. It is the hash by which Spark deals rows: rows dealt by that column
-over a multiple of ``buckets`` are written where they are.
+over a multiple of ``buckets`` are written where they are. Stores that an older form wrote, with
+another hash and their versions in ``lists``, are not read: a version that isn't there is an error.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class KeyedStore:
         """(level, folder) of the runs of a version, oldest first; none before the first."""
         if version < 0:
             return []
-        held = spark.read.schema("place INT, level INT, run STRING").parquet(f"{self.folder}/lists/{version}")
+        held = spark.read.schema("place INT, level INT, run STRING").parquet(f"{self.folder}/versions/{version}")
         return [(r["level"], r["run"]) for r in sorted(held.collect())]
 
     def _rows(self, spark: SparkSession, runs: Iterable[str]) -> DataFrame:
@@ -94,4 +95,4 @@ class KeyedStore:
             level += 1
         named = [(place, at, run) for place, (at, run) in enumerate(runs)]
         listed = spark.createDataFrame(named, "place INT, level INT, run STRING").coalesce(1)
-        listed.write.mode("overwrite").parquet(f"{self.folder}/lists/{version}")
+        listed.write.mode("overwrite").parquet(f"{self.folder}/versions/{version}")
